@@ -148,3 +148,20 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None
 
 def arrow_schema(fields: dict[str, pa.DataType]) -> pa.Schema:
     return pa.schema([pa.field(k, v) for k, v in fields.items()])
+
+
+def batch_column(table: pa.Table | pa.RecordBatch, name: str) -> pa.Array:
+    col = table.column(name)
+    return col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+
+
+def first_of_row(offsets: np.ndarray, n: int) -> np.ndarray:
+    """Row number of each of the n items that offsets deal to rows."""
+    return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)) if n else np.empty(0, np.int64)
+
+
+def is_train(id_column, k: int):
+    """False for the k-th part of the rows held out: crc32 of the id's text divides by k."""
+    from pyspark.sql import functions as F
+
+    return F.coalesce(F.crc32(F.encode(id_column.cast("string"), "UTF-8")) % k != 0, F.lit(True))
