@@ -18,7 +18,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ALNUM, batch_column, first_of_row, lower_ascii, map_arrow, slices, text_buffers, word_spans
 
@@ -146,19 +146,20 @@ def _blocks_of_items(benchmark: DataFrame, block_items: int):
         yield block
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_items: int = 20_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_items: int = 20_000, keep: bool = False) -> DataFrame:
     """Mark the rows of docs (doc_id, text) that hold passages of benchmark (item_id, text).
 
     Words are runs of ASCII letters and digits and of all non-ASCII characters, with A-Z in lower case. A document
     word inside an occurrence of a window (`window` consecutive words of an item; all its words if it has fewer) is
     hit. Returns doc_id, n_words, n_hit, n_items, items_sha256 (of the found item_ids, sorted as strings and joined
-    by commas) and contaminated: some hits, and a twentieth of the words at least. Null, empty and wordless texts have
+    by commas) and contaminated (with keep: after all columns of docs, of which those with these names are replaced): some hits, and a twentieth of the words at least. Null, empty and wordless texts have
     no words and are clean; an item without words matches nothing; repeated rows are marked alike; of items that share
     an id or a window, each id counts once. With an empty benchmark all rows are clean.
     """
     spark = docs.sparkSession
     shared = [spark.sparkContext.broadcast(Matcher(block, window)) for block in _blocks_of_items(benchmark, block_items)]
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    marks = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    kept = [c for c in docs.columns if c not in marks] if keep else ["doc_id"]
     parts = shared or [spark.sparkContext.broadcast(Matcher([], window))]
 
     def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -181,8 +182,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                 digests.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
         n, h = np.concatenate(words), np.concatenate(hits)
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array((h > 0) & (20 * h >= n))],
-            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+            [*(batch.column(c) for c in kept), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array((h > 0) & (20 * h >= n))],
+            names=[*kept, *marks],
         )
 
-    return map_arrow(docs.select("doc_id", F.col("text").cast("string").alias("text")), mark, f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(c, T.LongType()) for c in marks[:3]] + [T.StructField(marks[3], T.StringType()), T.StructField(marks[4], T.BooleanType())])
+    return map_arrow(docs.select(*dict.fromkeys([*kept, "text"])), mark, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, lm, repair
+from . import ann, chunking, decontaminate, edits, jaccard, lm, mixing, quality, repair, warc
 from .common import is_train
 
 
@@ -19,6 +19,25 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+def op2_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), is_train(F.col("doc_id"), 5))
+    return scored.select("doc_id", (~is_train(F.col("doc_id"), 5)).alias("held_out"), "score", "predicted")
+
+
+def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, index = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(warc.all_captures(spark, index), folder).drop("payload", "url")
+
+
+def op4_mix_ipf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sample(table(spark, sf_dir, "documents")).select("doc_id", "m_source", "m_lang", "m_topic", "m_tokens", "p", "selected")
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("train", is_train(F.col("doc_id"), 10))
     scored = lm.score(docs, "train")
@@ -38,5 +57,22 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_lm_scoring, op6_token_ids, op8_decontamination, op10_ngram_jaccard)}
+def op7_cdc_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def edit_script(docs: DataFrame) -> DataFrame:
+    """Three edits for every document, at places that a hash of its id names: an insertion, a deletion, a replacement."""
+    place = lambda k: (F.crc32(F.encode(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(k)), "UTF-8")) % F.greatest(F.octet_length("text"), F.lit(1))).cast("long")
+    one = lambda seq, start, size, new: F.struct(F.lit(seq).alias("seq"), start.alias("start"), (start + size).alias("end"), F.lit(new).alias("new"))
+    script = F.array(one(1, place("a"), 0, " an added sentence, with 3 numbers: 12, 345 and 6."), one(2, place("b"), 40, ""), one(3, place("c"), 12, "re\u00e9dited"))
+    return docs.filter("text IS NOT NULL").select("doc_id", F.explode(script).alias("e")).select("doc_id", "e.*")
+
+
+def op9_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return edits.count_edits(docs, edit_script(docs), tokenizer_path())
+
+
+QUERIES = {f.__name__: f for f in (op1_collision_ann, op2_quality_pu, op3_warc_index, op4_mix_ipf, op5_lm_scoring, op6_token_ids, op7_cdc_passages, op8_decontamination, op9_edit_counts, op10_ngram_jaccard)}
 ORACLES: dict[str, str] = {}

@@ -50,42 +50,51 @@ class WordEncoder:
     AFTER = np.zeros(256, bool)
     AFTER[0x21:0x7F] = AFTER[0xC3:0xE0] = True
 
-    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all rows, one after another, and the number of ids of each row."""
-        n = len(offsets) - 1
-        if not len(raw):
-            return np.empty(0, np.uint32), np.zeros(n, np.int64)
+    def _pieces(self, raw: np.ndarray, offsets: np.ndarray):
+        """Start of every piece, and the place of its ids: start, size."""
         cut = np.zeros(len(raw), bool)
         cut[:-1] = (raw[:-1] == 0x20) & self.AFTER[raw[1:]]
-        begins = offsets[:-1][np.diff(offsets) > 0]
-        cut[begins] = True
+        cut[offsets[:-1][np.diff(offsets) > 0]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(raw))
-        keys = span_hashes(raw, starts, ends, fold=False)
-        distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.keys, distinct), max(0, len(self.keys) - 1))
-        new = np.flatnonzero(self.keys[at] != distinct) if len(self.keys) else np.arange(len(distinct))
+        distinct, first, back = np.unique(span_hashes(raw, starts, ends, fold=False), return_index=True, return_inverse=True)
+        for _ in range(2):
+            at = np.minimum(np.searchsorted(self.keys, distinct), max(0, len(self.keys) - 1))
+            new = np.flatnonzero(self.keys[at] != distinct) if len(self.keys) else np.arange(len(distinct))
+            if not len(self.keys) or len(self.keys) + len(new) <= self.most:
+                break
+            self.clear()
         if len(new):
-            if len(self.keys) + len(new) > self.most and len(self.keys):
-                self.clear()
-                return self.encode(raw, offsets)
             data = raw.tobytes()
             pieces = [data[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
             size = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter((x for own in ids for x in own), np.uint32, int(size.sum()))
-            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
-            self.ids = np.concatenate([self.ids, flat])
-            keys_all = np.concatenate([self.keys, distinct[new]])
-            order = np.argsort(keys_all)
-            self.keys, self.start, self.size = keys_all[order], self.start[order], np.concatenate([self.size, size])[order]
+            keys = np.concatenate([self.keys, distinct[new]])
+            order = np.argsort(keys)
+            self.keys, self.start = keys[order], np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])[order]
+            self.size, self.ids = np.concatenate([self.size, size])[order], np.concatenate([self.ids, flat])
             at = np.searchsorted(self.keys, distinct)
-        size, start = self.size[at][back], self.start[at][back]
+        return starts, self.start[at][back], self.size[at][back]
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows, one after another, and the number of ids of each row."""
+        n = len(offsets) - 1
+        if not len(raw):
+            return np.empty(0, np.uint32), np.zeros(n, np.int64)
+        starts, start, size = self._pieces(raw, offsets)
         total = np.cumsum(size)
         take = np.repeat(start - (total - size), size) + np.arange(int(total[-1]))
         row = np.searchsorted(offsets, starts, "right") - 1
         return self.ids[take], np.bincount(row, size, n).astype(np.int64)
 
+    def count(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start byte of every piece, and its number of ids."""
+        if not len(raw):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        starts, _, size = self._pieces(raw, offsets)
+        return starts, size
+
 
 def load_tokenizer(path: str):
     """The tokenizer at path, with special tokens in a text taken as ordinary text. One thread: Spark has the cores."""

@@ -87,7 +87,7 @@ def test_near_duplicates_chain_and_passages(spark):
 def test_boundary_follows_cost():
     lists = {n: float(n) for n in range(1, 33)}
     cheap = jaccard.choose_boundary({n: 10 for n in range(1, 33)}, {n: 1e6 for n in lists}, 80)
-    assert cheap == jaccard.MOST_LIGHT
+    assert cheap > 20
     assert jaccard.choose_boundary({n: 10 for n in range(1, 33)}, {n: 1.0 for n in lists}, 80) < cheap
 
 
