@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -39,10 +40,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage and survives lost executors."""
+    """Write df to the shared folder and read it again: cuts the lineage and survives lost executors.
+
+    The shuffle files behind it are of no more use; Spark drops them when the driver's garbage is collected, so that is asked for.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what materialize wrote; nothing may read df, or a frame made of it, any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

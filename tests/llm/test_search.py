@@ -78,12 +78,24 @@ def test_near_duplicates_chain_and_passages(spark):
     for n in range(1, 26):
         rows += [(4000 + n, " ".join(f"s{n}_{i}" for i in range(n + 4))), (5000 + n, " ".join(f"s{n}_{i}" for i in range(n + 3))), (6000 + n, " ".join(f"s{n}_{i}" for i in range(n + 5)))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    for hot in (20, 3):
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs, hot_entries=hot).collect()}
+    for hot, short, size in ((20, 12, 4 << 20), (3, 2, 4000)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs, hot_entries=hot, short_list=short, block_bytes=size).collect()}
         assert got == brute_classes(rows)
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_shared_counts():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    sets = [[set(rng.integers(0, 60, rng.integers(0, 40)).tolist()) for _ in range(n)] for n in (30, 50)]
+    flat = [np.array([t for x in own for t in sorted(x)], np.uint64) for own in sets]
+    rows = [np.repeat(np.arange(len(own)), [len(x) for x in own]) for own in sets]
+    for frequent in (1, 12, 1000):
+        got = jaccard.shared_counts(flat[0], rows[0], 30, flat[1], rows[1], 50, frequent)
+        assert got.tolist() == [[len(x & y) for y in sets[1]] for x in sets[0]]
+
+
 def test_boundary_follows_cost():
     lists = {n: float(n) for n in range(1, 33)}
     cheap = jaccard.choose_boundary({n: 10 for n in range(1, 33)}, {n: 1e6 for n in lists}, 80)
