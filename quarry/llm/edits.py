@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_column, slices, text_buffers
-from .repair import WordEncoder, load_tokenizer
+from .repair import WordEncoder, encoder_for, load_tokenizer
 
 #: Pieces of a new leaf.
 PIECES = 32
@@ -137,7 +137,7 @@ def count_edits(docs: DataFrame, edits: DataFrame, tokenizer_path: str, group_by
     edits = edits.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("seq").cast("long"), F.lit(0)).alias("seq"), F.coalesce(F.col("start").cast("long"), F.lit(0)).alias("start"), F.coalesce(F.col("end").cast("long"), F.lit(0)).alias("end"), F.coalesce(F.col("new").cast("string"), F.lit("")).alias("new")).filter("doc_id IS NOT NULL")
 
     def f(left: pa.Table, right: pa.Table) -> pa.Table:
-        encoder = WordEncoder(load(tokenizer_path))
+        encoder = encoder_for(tokenizer_path, load)
         script: dict[int, list] = {}
         for d, *edit in sorted(zip(*(right.column(c).to_pylist() for c in ("doc_id", "seq", "start", "end", "new")), strict=True)):
             script.setdefault(d, []).append(edit)

@@ -38,14 +38,59 @@ class WordEncoder:
     are no cut, so runs of white space stay within a piece.
     """
 
-    def __init__(self, tokenizer, most: int = 400_000):
+    def __init__(self, tokenizer, most: int = 1_200_000):
         self.tokenizer, self.most = tokenizer, most
+        vocabulary = tokenizer.get_vocab()
+        self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # byte-level: a character of a token is a byte
+        for token, i in vocabulary.items():
+            self.token_bytes[i] = len(token)
         self.clear()
 
     def clear(self):
-        self.keys, self.start, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        none = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.known, self.recent = none, none  # key, start, size; in the order of the keys
         self.ids = np.empty(0, np.uint32)
 
+    def _find(self, keys: np.ndarray):
+        start, size = np.full(len(keys), -1), np.zeros(len(keys), np.int64)
+        for have, starts, sizes in (self.known, self.recent):
+            if len(have):
+                at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+                hit = have[at] == keys
+                start[hit], size[hit] = starts[at[hit]], sizes[at[hit]]
+        return start, size
+
+    def _learn(self, keys: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Encode pieces. Those that begin with a cut's space are joined: their ids are told apart by the bytes they stand for."""
+        data = raw.tobytes()
+        spaced = (raw[starts] == 0x20) & self.AFTER[raw[np.minimum(starts + 1, len(raw) - 1)]] & (ends - starts > 1)
+        order = np.concatenate([np.flatnonzero(spaced), np.flatnonzero(~spaced)])
+        keys, starts, ends = keys[order], starts[order], ends[order]
+        n = int(spaced.sum())
+        pieces = [data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        parts, sizes = [], []
+        for i in range(0, n, 50_000):
+            own = pieces[i : min(i + 50_000, n)]
+            ids = np.array(self.tokenizer.encode_batch_fast([b"".join(own).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            ends_at = np.cumsum(self.token_bytes[ids])
+            last = np.searchsorted(ends_at, np.cumsum([len(x) for x in own]), "right")
+            parts.append(ids)
+            sizes.append(np.diff(last, prepend=0))
+        single = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode() for x in pieces[n:]], add_special_tokens=False)] if n < len(pieces) else []
+        parts.append(np.array([x for own in single for x in own], np.uint32))
+        sizes.append(np.array([len(x) for x in single], np.int64))
+        size = np.concatenate(sizes).astype(np.int64)
+        new = keys, len(self.ids) + np.cumsum(size) - size, size
+        self.ids = np.concatenate([self.ids, *parts])
+        self.recent = self._merged(self.recent, new)
+        if 3 * len(self.recent[0]) > len(self.known[0]):
+            self.known, self.recent = self._merged(self.known, self.recent), tuple(x[:0] for x in new)
+
+    @staticmethod
+    def _merged(one, two):
+        order = np.argsort(np.concatenate([one[0], two[0]]))
+        return tuple(np.concatenate([x, y])[order] for x, y in zip(one, two, strict=True))
+
     #: A byte that may follow a cut: visible ASCII, or the first of a character from U+00C0 to U+07FF (no white space there).
     AFTER = np.zeros(256, bool)
     AFTER[0x21:0x7F] = AFTER[0xC3:0xE0] = True
@@ -58,24 +103,15 @@ class WordEncoder:
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(raw))
         distinct, first, back = np.unique(span_hashes(raw, starts, ends, fold=False), return_index=True, return_inverse=True)
-        for _ in range(2):
-            at = np.minimum(np.searchsorted(self.keys, distinct), max(0, len(self.keys) - 1))
-            new = np.flatnonzero(self.keys[at] != distinct) if len(self.keys) else np.arange(len(distinct))
-            if not len(self.keys) or len(self.keys) + len(new) <= self.most:
-                break
-            self.clear()
-        if len(new):
-            data = raw.tobytes()
-            pieces = [data[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((x for own in ids for x in own), np.uint32, int(size.sum()))
-            keys = np.concatenate([self.keys, distinct[new]])
-            order = np.argsort(keys)
-            self.keys, self.start = keys[order], np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])[order]
-            self.size, self.ids = np.concatenate([self.size, size])[order], np.concatenate([self.ids, flat])
-            at = np.searchsorted(self.keys, distinct)
-        return starts, self.start[at][back], self.size[at][back]
+        start, size = self._find(distinct)
+        new = start < 0
+        if new.any():
+            if len(self.known[0]) + len(self.recent[0]) + int(new.sum()) > self.most and len(self.ids):
+                self.clear()
+                new[:] = True
+            self._learn(distinct[new], raw, starts[first[new]], ends[first[new]])
+            start, size = self._find(distinct)
+        return starts, start[back], size[back]
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, one after another, and the number of ids of each row."""
@@ -96,6 +132,17 @@ class WordEncoder:
         return starts, size
 
 
+_ENCODERS: dict[tuple, WordEncoder] = {}
+
+
+def encoder_for(path: str, load: Callable) -> WordEncoder:
+    """A worker's encoder; what it has learnt serves the worker's later tasks."""
+    key = path, load
+    if key not in _ENCODERS:
+        _ENCODERS[key] = WordEncoder(load(path))
+    return _ENCODERS[key]
+
+
 def load_tokenizer(path: str):
     """The tokenizer at path, with special tokens in a text taken as ordinary text. One thread: Spark has the cores."""
     import os
@@ -111,7 +158,7 @@ def load_tokenizer(path: str):
 # ---------------------------------------------------------------- grammar
 
 
-def compress(ids: np.ndarray, counts: np.ndarray, rounds: int = 8, least: int = 4, table_bits: int = 20) -> bytes:
+def compress(ids: np.ndarray, counts: np.ndarray, rounds: int = 6, least: int = 4, table_bits: int = 18) -> bytes:
     """A shard of documents (ids one after another, `counts` of each) in the file format."""
     symbols = ids.astype(np.int64)
     owner_end = np.zeros(len(symbols), bool)
@@ -124,17 +171,17 @@ def compress(ids: np.ndarray, counts: np.ndarray, rounds: int = 8, least: int =
         if len(symbols) < 2:
             break
         pair = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:].astype(np.uint64)
-        slot = ((pair * _HASH) >> np.uint64(64 - table_bits)).astype(np.int64) & mask
+        slot = ((pair * _HASH) >> np.uint64(64 - table_bits)).view(np.int64)
         free = ~owner_end[:-1]
         sure = np.zeros(mask + 1, np.uint64)
         sure[slot[free]] = pair[free]  # one pair speaks for each slot; the others wait for a later round
         free &= sure[slot] == pair
-        often = np.bincount(slot[free], minlength=mask + 1)
-        weight = np.where(free, often[slot], 0)
-        weight[weight < least] = 0
-        left = np.concatenate([[0], weight[:-1]])
-        right = np.concatenate([weight[1:], [0]])
-        chosen = (weight > left) & (weight >= right)  # the more frequent of overlapping pairs; the first of equal ones
+        often = np.bincount(slot[free], minlength=mask + 1).astype(np.int32)
+        rank = np.where(often < least, 0, np.minimum(often, (1 << 20) - 1) << 10 | np.arange(mask + 1, dtype=np.int32) & 1023).astype(np.int32)  # equally frequent pairs in a fixed order
+        weight = rank[slot] * free
+        chosen = weight > 0
+        chosen[1:] &= weight[1:] > weight[:-1]
+        chosen[:-1] &= weight[:-1] >= weight[1:]  # the more frequent of overlapping pairs; the first of equal ones
         used = np.bincount(slot[chosen], minlength=mask + 1)
         paying = np.flatnonzero(used >= least)
         if not len(paying):
@@ -152,7 +199,7 @@ def compress(ids: np.ndarray, counts: np.ndarray, rounds: int = 8, least: int =
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         symbols, owner_end = symbols[keep], owner_end[keep]
-        if len(at) * 50 < len(symbols):
+        if len(at) * 25 < len(symbols):
             break
     doc_symbols = np.zeros(len(counts), np.int64)
     filled = np.flatnonzero(counts > 0)
@@ -236,7 +283,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str | None = None, end_id:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        encoder = WordEncoder(load(tokenizer_path))
+        encoder = encoder_for(tokenizer_path, load)
         seq, part = 0, None
 
         from pyspark import TaskContext
