@@ -23,13 +23,14 @@ def dealt(docs: DataFrame, group_bytes: int) -> tuple[DataFrame, int]:
 
 
 def pack(keys: np.ndarray) -> bytes:
-    """Sorted keys as eight planes of bytes, the highest first."""
-    return keys.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Sorted keys as differences, in eight planes of bytes, the highest first."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return steps.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
     planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view(">u8").ravel().astype(np.uint64)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(">u8").ravel().astype(np.uint64), dtype=np.uint64)
 
 
 def unique_counts(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -63,12 +64,12 @@ def added(table) -> tuple[list[int], list[np.ndarray], np.ndarray, np.ndarray]:
     return groups, lists, keys, totals
 
 
-def answers(table) -> tuple[np.ndarray, np.ndarray]:
-    """A group's answers as sorted keys and totals (int64)."""
+def answers(table, kind: str = "<i8") -> tuple[np.ndarray, np.ndarray]:
+    """A group's answers as sorted keys and totals (written as `kind`)."""
     if not table.num_rows:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     keys = np.concatenate([unpack(x) for x in table.column("keys").to_pylist()])
-    totals = np.concatenate([np.frombuffer(x, "<i8") for x in table.column("counts").to_pylist()])
+    totals = np.concatenate([np.frombuffer(x, kind) for x in table.column("counts").to_pylist()]).astype(np.int64)
     order = np.argsort(keys)
     return keys[order], totals[order]
 
