@@ -1,0 +1 @@
+"""Multi-step analyses."""

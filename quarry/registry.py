@@ -22,3 +22,7 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+from .operators import raster, sweep  # noqa: E402, F401
+from .streaming import ingest  # noqa: E402, F401
