@@ -12,6 +12,8 @@ Features are made where the text is; only those of a bounded sample reach the dr
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -79,11 +81,24 @@ def features(column: pa.Array):
         yield np.concatenate([np.sqrt(single / scale), np.sqrt(pair / scale), stats], 1).astype(np.float32)
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4, beta: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Weights, and the mean, scale of features, and bias: Adam on the non-negative risk with the logistic loss."""
-    both = np.concatenate([positive, unlabelled])
-    mean, scale = both.mean(0), both.std(0) + 1e-2
-    p, u = (positive - mean) / scale, (unlabelled - mean) / scale
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4, beta: float = 0.0, in_place: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Weights, and the mean, scale of features, and bias: Adam on the non-negative risk with the logistic loss.
+
+    in_place: both samples (float32) are overwritten by their standardised values, so that they are held once.
+    """
+    if not in_place:
+        positive, unlabelled = positive.astype(np.float32), unlabelled.astype(np.float32)
+    count = len(positive) + len(unlabelled)
+    mean = ((positive.sum(0, np.float64) + unlabelled.sum(0, np.float64)) / count).astype(np.float32)
+    square = np.zeros(len(mean))
+    for x in (positive, unlabelled):
+        x -= mean
+        for k in range(0, len(x), 1024):
+            square += np.square(x[k : k + 1024]).sum(0, np.float64)
+    scale = (np.sqrt(square / count) + 1e-2).astype(np.float32)
+    for x in (positive, unlabelled):
+        x /= scale
+    p, u = positive, unlabelled
     w, bias = np.zeros(p.shape[1], np.float32), np.float32(0)
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
@@ -103,15 +118,18 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return w, mean, scale, float(bias)
 
 
-def _rows(sample: DataFrame) -> np.ndarray:
-    """Features of a bounded sample, in the order of doc_id."""
+def _rows(sample: DataFrame, most: int) -> np.ndarray:
+    """Features of the first `most` rows of a bounded sample, in the order of doc_id. They travel compressed: most are 0."""
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = np.concatenate(list(features(batch_column(batch, "text"))))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "x"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), pa.array([zlib.compress(r.tobytes(), 1) for r in x], pa.binary())], names=["doc_id", "x"])
 
-    found = sorted(map_arrow(sample.select("doc_id", "text"), f, "doc_id string, x binary").collect())
-    return np.frombuffer(b"".join(bytes(r["x"]) for r in found), np.float32).reshape(-1, N_FEATURES)
+    found = sorted(map_arrow(sample.select("doc_id", "text"), f, "doc_id string, x binary").collect())[:most]
+    out = np.empty((len(found), N_FEATURES), np.float32)
+    for k, r in enumerate(found):
+        out[k] = np.frombuffer(zlib.decompress(r["x"]), np.float32)
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, eligible, most_positive: int = 4000, most_unlabelled: int = 8000) -> tuple | None:
@@ -129,11 +147,11 @@ def train(docs: DataFrame, labels: DataFrame, eligible, most_positive: int = 400
     docs = docs.filter(eligible).filter("doc_id IS NOT NULL")
     total = docs.select("doc_id").count()
     part = min(1.0, most_unlabelled / max(1, total))
-    positive = _rows(docs.join(F.broadcast(chosen), "doc_id", "left_semi"))[:most_positive]
-    unlabelled = _rows(docs.filter(F.pmod(rank, F.lit(1 << 30)) < F.lit(int(part * (1 << 30)))))[: 2 * most_unlabelled]
+    positive = _rows(docs.join(F.broadcast(chosen), "doc_id", "left_semi"), most_positive)
+    unlabelled = _rows(docs.filter(F.pmod(rank, F.lit(1 << 30)) < F.lit(int(part * (1 << 30)))), 2 * most_unlabelled)
     if not len(positive) or not len(unlabelled):
         return None
-    return fit(positive, unlabelled, min(0.99, max(0.01, float(share["p"]))))
+    return fit(positive, unlabelled, min(0.99, max(0.01, float(share["p"]))), in_place=True)
 
 
 def score(docs: DataFrame, labels: DataFrame, eligible=None, threshold: float = 0.3) -> DataFrame:
