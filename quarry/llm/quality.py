@@ -48,7 +48,7 @@ def _pieces_stats(hashes: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
 def features(column: pa.Array):
     """Feature matrices (float32) for slices of the rows."""
     raw, offsets = text_buffers(column)
-    for a, b in slices(offsets):
+    for a, b in slices(offsets, 1 << 18):  # a slice takes some hundred times its bytes, in counts of pairs and byte positions
         own, part = offsets[a : b + 1] - offsets[a], raw[offsets[a] : offsets[b]]
         n, size = b - a, np.diff(own)
         row = first_of_row(own, len(part))

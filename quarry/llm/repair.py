@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_column, scratch_path, span_hashes, text_buffers
+from .common import batch_column, release, scratch_path, span_hashes, text_buffers
 
 MAGIC = b"QRP1"
 _HASH = np.uint64(0x9E3779B97F4A7C15)
@@ -324,6 +324,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str | None = None, end_id:
                     yield flush()
         if held:
             yield flush()
+        release()
 
     ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, f"part int, seq int, doc_ids array<{id_type}>, n_tokens long, shard binary").write.parquet(path)
@@ -363,6 +364,7 @@ def read(spark, path: str) -> DataFrame:
                     [doc_ids[k].values, pa.array(np.full(n, parts[k]), pa.int32()), pa.array(np.full(n, seqs[k]), pa.int32()), pa.array(np.arange(n), pa.int32()), pa.array(at[:-1], pa.int64()), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())],
                     names=["doc_id", "part", "seq", "at", "shard_at", "n_tokens", "ids_crc32"],
                 )
+        release()
 
     documents = shards.select("part", "seq", "doc_ids", "shard").mapInArrow(open_shards, f"doc_id {id_type}, part int, seq int, at int, shard_at long, n_tokens long, ids_crc32 long")
     return documents.join(starts, ["part", "seq"]).select("doc_id", (F.col("shard_start") + F.col("shard_at")).alias("start"), "n_tokens", "ids_crc32", "part", "seq", "at")
