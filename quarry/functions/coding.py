@@ -24,19 +24,23 @@ def hybrid_bits(v: Column) -> Column:
     return F.when(v < 16, 0).otherwise(F.floor(F.log2(v.cast("double"))) - 2).cast("long")
 
 
+def neighbours(v: Column, i: Column) -> tuple[Column, Column, Column]:
+    """Left, upper and upper left neighbour of sample i of an array, WIDTH to a row. Outside, the left one of a row's
+    first sample is the one above, missing upper ones are the left one, and the first sample has 0."""
+    col, row = i % WIDTH, i >= WIDTH
+    up = F.get(v, i - WIDTH)
+    left = F.when(col > 0, F.get(v, i - 1)).when(row, up).otherwise(0)
+    return left, F.when(row, up).otherwise(left), F.when((col > 0) & row, F.get(v, i - WIDTH - 1)).otherwise(left)
+
+
+def gradient(left: Column, top: Column, corner: Column) -> Column:
+    """The plane through three neighbours, kept between the left and the upper one."""
+    return F.greatest(F.least(left, top), F.least(F.greatest(left, top), left + top - corner))
+
+
 def gradient_residuals(v: Column) -> Column:
-    """Residuals of the clamped gradient predictor over an array of samples, WIDTH to a row. Outside neighbours: the
-    left one of a row's first sample is the one above, missing upper ones are the left one, and the first sample has 0."""
-
-    def one(x: Column, i: Column) -> Column:
-        col, row = i % WIDTH, i >= WIDTH
-        up = F.get(v, i - WIDTH)
-        left = F.when(col > 0, F.get(v, i - 1)).when(row, up).otherwise(0)
-        top = F.when(row, up).otherwise(left)
-        corner = F.when((col > 0) & row, F.get(v, i - WIDTH - 1)).otherwise(left)
-        return x - F.greatest(F.least(left, top), F.least(F.greatest(left, top), left + top - corner))
-
-    return F.transform(v, one)
+    """Residuals of the clamped gradient predictor over an array of samples."""
+    return F.transform(v, lambda x, i: x - gradient(*neighbours(v, i)))
 
 
 RESIDUAL_SQL = """nb AS (SELECT doc_id, p, v, lag(v, 1) OVER w AS l1, lag(v, 32) OVER w AS l32, lag(v, 33) OVER w AS l33

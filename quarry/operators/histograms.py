@@ -1,0 +1,121 @@
+"""Histograms of samples and what codes cost: distances between histograms, choice of predictors, thresholds of equal
+mass. A histogram has at most 256 symbols, so what joins histograms is small whatever the texts hold."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions.coding import RESIDUAL_SQL, gradient, gradient_residuals, neighbours
+from ..registry import query
+from ..sources.tables import RASTER_SQL, table, text_raster
+
+
+def _xlog(x):
+    return x * F.log2(x.cast("double"))
+
+
+@query(
+    "g05_histogram_distance",
+    f"""WITH {RASTER_SQL}, a AS (SELECT doc_id, lang, v, count(*) AS a FROM px JOIN documents USING (doc_id) GROUP BY ALL), b AS (SELECT lang, v, CAST(sum(a) AS BIGINT) AS b FROM a GROUP BY ALL),
+d AS (SELECT DISTINCT doc_id, lang FROM a), j AS (SELECT doc_id, coalesce(a, 0) AS a, b FROM d JOIN b USING (lang) LEFT JOIN a USING (doc_id, lang, v)),
+s AS (SELECT doc_id, sum(a) AS na, sum(b) AS nb, sum((a + b) * log2(a + b)) AS sab, sum(CASE WHEN a > 0 THEN a * log2(a) ELSE 0 END) AS sa, sum(b * log2(b)) AS sb FROM j GROUP BY doc_id)
+SELECT doc_id, round((na + nb) * log2(na + nb) - sab - (na * log2(na) - sa) - (nb * log2(nb) - sb), 2) AS distance FROM s""",
+)
+def histogram_distance(spark, sf_dir):
+    """Bits that one code for a document's and its language's samples costs over two codes. The language has all symbols of
+    the document, so only the document's symbols are joined."""
+    a = text_raster(spark, sf_dir, "lang").select("doc_id", "lang", F.explode("v").alias("v")).groupBy("doc_id", "lang", "v").agg(F.count("*").alias("a"))
+    b = a.groupBy("lang", "v").agg(F.sum("a").alias("b"))
+    b = b.withColumn("nb", F.sum("b").over(Window.partitionBy("lang")))
+    ca, cb = F.col("a"), F.col("b")
+    s = a.join(b, ["lang", "v"]).groupBy("doc_id").agg(F.sum("a").alias("na"), F.max("nb").alias("nb"), F.sum(_xlog(ca + cb) - _xlog(cb) - _xlog(ca)).alias("s"))
+    na, nb = F.col("na"), F.col("nb")
+    return s.select("doc_id", F.round(_xlog(na + nb) - _xlog(na) - _xlog(nb) - F.col("s"), 2).alias("distance"))
+
+
+@query(
+    "g06_cross_entropy",
+    f"""WITH {RASTER_SQL}, a AS (SELECT doc_id, v, count(*) AS a FROM px GROUP BY ALL),
+b AS (SELECT v, count(*) AS b FROM (SELECT unnest(list_transform(string_split(text, ''), lambda x: ascii(x) % 256)) AS v FROM benchmark WHERE length(text) > 0) GROUP BY v)
+SELECT doc_id, CASE WHEN count(*) > count(b) THEN 'Infinity'::DOUBLE ELSE round(sum(a) * log2((SELECT sum(b) FROM b)) - sum(a * log2(b)), 3) END AS bits FROM a LEFT JOIN b USING (v) GROUP BY doc_id""",
+)
+def cross_entropy(spark, sf_dir):
+    """Bits of a document under the code of the benchmark's samples; infinite if that lacks a symbol."""
+    a = text_raster(spark, sf_dir).select("doc_id", F.explode("v").alias("v")).groupBy("doc_id", "v").agg(F.count("*").alias("a"))
+    texts = table(spark, sf_dir, "benchmark").filter("length(text) > 0")
+    b = texts.select(F.explode(F.transform(F.split("text", ""), lambda c: F.ascii(c) % 256)).alias("v")).groupBy("v").agg(F.count("*").alias("b"))
+    b = b.withColumn("nb", F.sum("b").over(Window.partitionBy(F.lit(0))))  # at most 256 rows
+    bits = F.sum("a") * F.log2(F.max("nb").cast("double")) - F.sum(F.col("a") * F.log2(F.col("b").cast("double")))
+    t = a.join(F.broadcast(b), "v", "left").groupBy("doc_id").agg(F.round(bits, 3).alias("bits"), (F.count("*") > F.count("b")).alias("lacks"))
+    return t.select("doc_id", F.when(F.col("lacks"), F.lit(float("inf"))).otherwise(F.col("bits")).alias("bits"))
+
+
+@query(
+    "g20_channel_range",
+    f"""WITH {RASTER_SQL}, s AS (SELECT doc_id, count(*) AS n, min(v) AS lo, max(v) AS hi, count(DISTINCT v) AS colours FROM px GROUP BY doc_id)
+SELECT doc_id, n, CAST(lo AS INT) AS lo, CAST(hi AS INT) AS hi, colours, colours * 16 <= n AND colours * 5 <= 4 * (hi - lo + 1) AS compact FROM s""",
+)
+def channel_range(spark, sf_dir):
+    """Range and distinct samples of a document, and whether a palette for them pays."""
+    s = text_raster(spark, sf_dir).select("doc_id", F.size("v").cast("long").alias("n"), F.array_min("v").alias("lo"), F.array_max("v").alias("hi"), F.size(F.array_distinct("v")).cast("long").alias("colours"))
+    return s.withColumn("compact", F.expr("colours * 16 <= n AND colours * 5 <= 4 * (hi - lo + 1)"))
+
+
+_NAMES = ("zero", "west", "north", "mean", "gradient")
+_BEST = "CASE " + " ".join(f"WHEN {n} = least({', '.join(_NAMES)}) THEN '{n}'" for n in _NAMES) + " END"
+
+
+@query(
+    "w03_predictor_choice",
+    f"""WITH {RASTER_SQL}, {RESIDUAL_SQL}, s AS (SELECT doc_id, CAST(sum(v) AS BIGINT) AS zero, CAST(sum(abs(v - w)) AS BIGINT) AS west, CAST(sum(abs(v - n)) AS BIGINT) AS north,
+CAST(sum(abs(v - (w + n) // 2)) AS BIGINT) AS mean, CAST(sum(abs(v - greatest(least(w, n), least(greatest(w, n), w + n - nw)))) AS BIGINT) AS gradient FROM al GROUP BY doc_id)
+SELECT *, {_BEST} AS best FROM s""",
+)
+def predictor_choice(spark, sf_dir):
+    """Sum of absolute residuals of five predictors, and the one with the least; of equal ones the first."""
+
+    def errors(x, i):
+        left, top, corner = neighbours(F.col("v"), i)
+        guess = (F.lit(0), left, top, F.shiftright(left + top, 1), gradient(left, top, corner))
+        return F.array(*[F.abs(x - g) for g in guess])
+
+    e = text_raster(spark, sf_dir).select("doc_id", F.transform("v", errors).alias("e"))
+    total = lambda k: F.aggregate("e", F.lit(0).cast("long"), lambda s, x: s + F.get(x, F.lit(k)))
+    return e.select("doc_id", *[total(k).alias(n) for k, n in enumerate(_NAMES)]).withColumn("best", F.expr(_BEST))
+
+
+@query("d16_quantised_residuals", f"WITH {RASTER_SQL}, {RESIDUAL_SQL}, q AS (SELECT doc_id, sign(r) * ((abs(r) + 2) // 4) * 4 AS q, r FROM res) SELECT doc_id, CAST(sum(CASE WHEN q = 0 THEN 1 ELSE 0 END) AS BIGINT) AS zeros, CAST(sum(abs(q)) AS BIGINT) AS magnitude, CAST(sum(abs(r - q)) AS BIGINT) AS loss FROM q GROUP BY doc_id")
+def quantised_residuals(spark, sf_dir):
+    """Residuals brought to the nearest multiple of 4, halves away from zero."""
+    near = lambda r: F.when(r < 0, -1).otherwise(1) * F.shiftright(F.abs(r) + 2, 2) * 4
+    r = text_raster(spark, sf_dir).select("doc_id", gradient_residuals(F.col("v")).alias("r"))
+    add = lambda f: F.aggregate("r", F.lit(0).cast("long"), lambda s, x: s + f(x))
+    return r.select("doc_id", add(lambda x: F.when(near(x) == 0, 1).otherwise(0)).alias("zeros"), add(lambda x: F.abs(near(x))).alias("magnitude"), add(lambda x: F.abs(x - near(x))).alias("loss"))
+
+
+@query(
+    "g29_equal_mass",
+    f"""WITH {RASTER_SQL}, h AS (SELECT v, count(*) AS c FROM px GROUP BY v), w AS (SELECT v, c, sum(c) OVER (ORDER BY v) AS upto, sum(c) OVER () AS total FROM h)
+SELECT CAST(v AS INT) AS v, CAST(upto * 16 // total AS BIGINT) AS chunk FROM w WHERE upto * 16 // total > (upto - c) * 16 // total AND upto < total""",
+)
+def equal_mass(spark, sf_dir):
+    """Thresholds that cut all samples into sixteen parts of about equal mass, from their histogram of at most 256 rows."""
+    h = text_raster(spark, sf_dir).select(F.explode("v").alias("v")).groupBy("v").agg(F.count("*").alias("c"))
+    one = Window.partitionBy(F.lit(0))
+    h = h.withColumns({"upto": F.sum("c").over(one.orderBy("v")), "total": F.sum("c").over(one)})
+    return h.filter("upto * 16 div total > (upto - c) * 16 div total AND upto < total").select("v", F.expr("upto * 16 div total").alias("chunk"))
+
+
+@query("m25_last_number", "SELECT doc_id, regexp_extract_all(text, '[0-9]+')[-1] AS token, CAST(len(regexp_extract_all(text, '[0-9]+')) AS INT) AS found FROM documents")
+def last_number(spark, sf_dir):
+    """The last run of digits in a text, and how many there are; null where there is none."""
+    found = F.regexp_extract_all("text", F.lit("[0-9]+"), 0)
+    return table(spark, sf_dir, "documents").select("doc_id", F.try_element_at(found, F.lit(-1)).alias("token"), F.size(found).alias("found"))
+
+
+@query("m21_path_class", "SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/]*/([^/?#]*)', 1) AS section, count(*) AS n, CAST(sum(length(html)) AS BIGINT) AS chars FROM pages GROUP BY ALL")
+def path_class(spark, sf_dir):
+    """Pages by host and first path segment."""
+    part = lambda p: F.regexp_extract("url", p, 1)
+    return table(spark, sf_dir, "pages").groupBy(part("^[a-z]+://([^/?#]*)").alias("host"), part("^[a-z]+://[^/]*/([^/?#]*)").alias("section")).agg(F.count("*").alias("n"), F.sum(F.length("html")).alias("chars"))

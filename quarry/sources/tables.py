@@ -13,10 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id and v, the samples of the whole text, row by row: each character's code, modulo 256."""
+def text_raster(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    """doc_id, columns to keep, and v, the samples of the whole text, row by row: each character's code, modulo 256."""
     docs = table(spark, sf_dir, "documents").filter("length(text) > 0")
-    return docs.select("doc_id", F.transform(F.split("text", ""), lambda c: F.ascii(c) % 256).alias("v"))
+    return docs.select("doc_id", *keep, F.transform(F.split("text", ""), lambda c: F.ascii(c) % 256).alias("v"))
 
 
 #: SQL for the same samples in long form: doc_id, p (position from 0), v.
