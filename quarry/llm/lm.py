@@ -9,15 +9,16 @@ unigram probability, which comes from exact counts:
 
 and P(w|v) = P(w) after a word that the training documents lack.
 
-A text's first word follows the end token. The broadcast filter has a proven bound, `max_filter_bytes`: if all levels
-together need more, the lowest levels (the rarest bigrams) are left out of the filter, and count as unseen; the
-unigram counts stay exact whatever the size.
+A text's first word follows the end token. The filter is never gathered: each bucket of the key space builds its own
+segment, with every level, and answers the bigrams that the groups ask of it there. An answer is the levels (or, of
+words, the counts) alone, in the order of the group's keys, which the group knows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,7 +108,6 @@ def score(
     group_bytes: int = 8 << 20,
     bits_per_key: int = 8,
     probes: int = 4,
-    max_filter_bytes: int = 128 << 20,
 ) -> DataFrame:
     """Score each row of docs (doc_id, text, boolean train_column) with a bigram model learnt from the training rows.
 
@@ -115,7 +115,6 @@ def score(
     end token alone. Repeated rows are counted and scored as often as they occur. With no training rows every word
     is unknown, and N = V = 0. Returns doc_id, train, n_tokens, n_known, train_tokens, base_score, score.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(train_column), F.lit(False)).alias("train"))
     docs, n_groups = ledger.dealt(docs, group_bytes)
     n = n_groups
@@ -128,59 +127,49 @@ def score(
             own = np.repeat(train[a : a + len(sizes)], sizes)
             words.append(tokens)
             known.append(own)
-            pairs.append(pair_hashes(tokens)[own] & PAIR_BITS)
+            pairs.append(pair_hashes(tokens) & PAIR_BITS)
         if words:
-            keys, counts = ledger.unique_counts(np.concatenate(words), np.concatenate(known).astype(np.int64))
+            known = np.concatenate(known).astype(np.int64)
+            keys, counts = ledger.unique_counts(np.concatenate(words), known)
             rows = ledger.bucket_rows(g, keys, counts, n)
-            keys, counts = ledger.unique_counts(np.concatenate(pairs))
+            keys, counts = ledger.unique_counts(np.concatenate(pairs), known)
             rows += ledger.bucket_rows(g, keys, counts, n, n)
         else:
             rows = []
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)] if rows else [pa.array([], t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.binary())], names=["bucket", "g", "keys", "counts"])
 
     def settle(table: pa.Table) -> pa.Table:
-        """A unigram bucket answers its groups; a bigram bucket makes its segment of the filter."""
+        """A unigram bucket answers its groups; a bigram bucket makes its segment of the filter, and answers from it."""
         bucket = table.column("bucket")[0].as_py()
         groups, lists, keys, totals = ledger.added(table)
         if bucket < n:
-            rows = [(0, g, 0, int((totals > 0).sum()) * (i == 0), int(totals.sum()) * (i == 0), ledger.pack(x), ledger.look_up(keys, totals, x).astype("<i8").tobytes()) for i, (g, x) in enumerate(zip(groups, lists, strict=True))]
+            told = [totals[np.searchsorted(keys, x)].astype("<i8").tobytes() for x in lists]
+            rows = [(0, g, bucket, int((totals > 0).sum()) * (i == 0), int(totals.sum()) * (i == 0), x) for i, (g, x) in enumerate(zip(groups, told, strict=True))]
         else:
+            seen, totals = keys[totals > 0], totals[totals > 0]
             levels = np.floor(np.log2(totals)).astype(np.int64) + 1
-            rows = [(1, bucket - n, level, int((levels >= level).sum()), 0, LevelFilter.build(keys[levels >= level], level, bits_per_key, probes), b"") for level in range(1, int(levels.max(initial=0)) + 1)]
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["kind", "g", "level", "n", "total", "keys", "counts"])
+            held = {}
+            for level in range(1, int(levels.max(initial=0)) + 1):
+                bits = np.frombuffer(LevelFilter.build(seen[levels >= level], level, bits_per_key, probes), np.uint8)
+                held[level] = (bits, np.zeros(1, np.int64), np.array([len(bits) * 8]))
+            reached = LevelFilter(held, 1, probes).quantised(keys)
+            rows = [(1, g, bucket, 0, 0, reached[np.searchsorted(keys, x)].tobytes()) for g, x in zip(groups, lists, strict=True)]
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["kind", "g", "bucket", "n", "total", "counts"])
 
     asked = docs.groupBy("g").applyInArrow(ask, ledger.REQUEST)
-    settled = materialize(asked.groupBy("bucket").applyInArrow(settle, "kind int, g int, level int, n long, total long, keys binary, counts binary"), "lm")
-    sums = settled.filter("kind = 0").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("N"), F.coalesce(F.sum("n"), F.lit(0)).alias("V")).first()
+    settled = materialize(asked.groupBy("bucket").applyInArrow(settle, "kind int, g int, bucket int, n long, total long, counts binary"), "lm")
+    # written, so that the shuffle files of the requests are dropped before the texts are shuffled again
+    sums = materialize(settled.filter("kind = 0").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("N"), F.coalesce(F.sum("n"), F.lit(0)).alias("V")), "sums").first()
     n_train, n_distinct = int(sums["N"]), int(sums["V"])
-    space = settled.filter("kind = 1").groupBy("level").agg(F.sum(F.octet_length("keys")).alias("b")).orderBy(F.desc("level")).collect()
-    lowest, room = None, max_filter_bytes
-    for row in space:
-        room -= row["b"]
-        if room < 0:
-            break
-        lowest = row["level"]
-    held: dict[int, list] = {}
-    if lowest is not None:
-        for row in settled.filter((F.col("kind") == 1) & (F.col("level") >= lowest)).select("g", "level", "keys").collect():
-            held.setdefault(row["level"], []).append((row["g"], bytes(row["keys"])))
-    levels = {}
-    for level, parts in held.items():
-        start, size, data, at = np.zeros(n, np.int64), np.zeros(n, np.int64), [], 0
-        for g, bits in parts:
-            start[g], size[g] = at, len(bits) * 8
-            data.append(bits)
-            at += len(bits)
-        levels[level] = (np.frombuffer(b"".join(data), np.uint8), start, size)
-    del held
-    shared = spark.sparkContext.broadcast(LevelFilter(levels, n, probes))
-    del levels
 
     def rate(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, totals = ledger.answers(right)
-        model = shared.value
+        right = right.sort_by("bucket")
+        told = {k: b"".join(right.filter(pc.equal(right["kind"], k)).column("counts").to_pylist()) for k in (0, 1)}
+        totals, reached = np.frombuffer(told[0], "<i8"), np.frombuffer(told[1], np.int8)
+        asked = [(np.unique(tokens), np.unique(pair_hashes(tokens) & PAIR_BITS)) for _, tokens, _ in token_hashes(batch_column(left, "text"))]
+        keys, pair_keys = (np.unique(np.concatenate(x)) for x in zip(*asked, strict=True)) if asked else (np.empty(0, np.uint64),) * 2
         log_base = np.log10(n_train + 0.1 * (n_distinct + 1))
         n_tokens, n_known, base, full = [], [], [], []
         ends = int(ledger.look_up(keys, totals, np.array([END]))[0])
@@ -190,7 +179,7 @@ def score(
             logs = np.log10(c + 0.1) - log_base
             pairs = pair_hashes(tokens) & PAIR_BITS
             context = np.concatenate([[ends], c[:-1]]).astype(np.float64)
-            both = np.minimum(level_count(model.quantised(pairs)), np.minimum(context, c))
+            both = np.minimum(level_count(reached[np.searchsorted(pair_keys, pairs)]), np.minimum(context, c))
             plain = 10.0**logs
             probability = np.where(context > 0, weight * both / np.maximum(context, 1) + (1 - weight) * plain, plain)
             n_tokens.append(sizes)
@@ -205,5 +194,4 @@ def score(
         )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    told = settled.filter("kind = 0").select("g", "keys", "counts")
-    return docs.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(rate, f"doc_id {id_type}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return docs.groupBy("g").cogroup(settled.select("g", "kind", "bucket", "counts").groupBy("g")).applyInArrow(rate, f"doc_id {id_type}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

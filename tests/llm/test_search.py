@@ -156,6 +156,39 @@ def test_lm(docs, rows):
     assert lm.score(train.limit(0), "train").count() == 0
 
 
+def test_lm_keeps_every_level_without_gathering(docs, rows, monkeypatch):
+    """Bigrams seen once count too, and the filter is neither broadcast nor collected."""
+    from pyspark import SparkContext
+    from pyspark.sql import DataFrame
+    from pyspark.sql import functions as F
+
+    def gathered(*_):
+        raise AssertionError("gathered")
+
+    train = docs.withColumn("train", F.col("doc_id") % 3 != 0)
+    with monkeypatch.context() as m:
+        m.setattr(SparkContext, "broadcast", gathered)
+        m.setattr(DataFrame, "collect", gathered)
+        scored = lm.score(train, "train", group_bytes=4000)
+    got = {r["doc_id"]: r["score"] for r in scored.collect()}
+    words, pairs = Counter(), Counter()
+    for i, t in rows:
+        tokens = [None, *spaced(t), None]
+        if i % 3:
+            words.update(tokens[1:])
+            pairs.update(zip(tokens[:-1], tokens[1:], strict=True))
+    n, v, near = sum(words.values()), len(words), 0
+    for i, t in rows:
+        tokens, total = [None, *spaced(t), None], 0.0
+        for x, y in zip(tokens[:-1], tokens[1:], strict=True):
+            q = pairs[x, y].bit_length()
+            both = min(q if q <= 1 else 1.5 * 2 ** (q - 1) - 0.5, words[x], words[y])
+            plain = (words[y] + 0.1) / (n + 0.1 * (v + 1))
+            total += math.log10(0.15 * both / words[x] + 0.85 * plain if words[x] else plain)
+        near += math.isclose(got[i], total, rel_tol=1e-9)
+    assert sum(c == 1 for c in pairs.values()) > 100 and near > 0.7 * len(rows)
+
+
 def test_filter_levels_without_misses():
     import numpy as np
 
