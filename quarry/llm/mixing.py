@@ -8,6 +8,8 @@ still meet the budget. Documents are drawn independently, by a hash of their doc
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -69,12 +71,16 @@ def rake(cells: DataFrame, target: DataFrame, rounds: int = 60, tolerance: float
     """Cells (m_source, m_lang, m_topic, tokens) with w, their raked share of the tokens.
 
     Up to most_local cells are raked in one array; more of them as a table, by joins, one written table a round. Targets
-    of values without tokens have no effect; values without a target get none. The steps are the same.
+    of values without tokens have no effect, and the others of the margin are raised to a sum of 1; values without a target
+    get none. The steps are the same. Targets that no weights meet leave some share off: see most_off.
     """
     cells = cells.filter("tokens > 0")
+    present = cells.select(F.explode(F.array(*[F.struct(F.lit(m).alias("margin"), F.col(m).alias("value")) for m in MARGINS])).alias("k")).select("k.*").distinct()
+    target = target.join(present, ["margin", "value"])
+    target = target.join(target.groupBy("margin").agg(F.sum("share").alias("all")), "margin").select("margin", "value", (F.col("share") / F.col("all")).alias("share"))
     if cells.count() <= most_local:
         rows = sorted(cells.select(*MARGINS, "tokens").collect())
-        share = {(r["margin"], r["value"]): r["share"] for r in target.join(cells.select(F.explode(F.array(*[F.struct(F.lit(m).alias("margin"), F.col(m).alias("value")) for m in MARGINS])).alias("k")).select("k.*").distinct(), ["margin", "value"]).collect()}
+        share = {(r["margin"], r["value"]): r["share"] for r in target.collect()}
         w = np.array([r["tokens"] for r in rows], float)
         w /= max(w.sum(), 1)
         index = []
@@ -110,23 +116,68 @@ def rake(cells: DataFrame, target: DataFrame, rounds: int = 60, tolerance: float
     return now.select(*MARGINS, "tokens", "w")
 
 
+def most_off(raked: DataFrame, target: DataFrame) -> float:
+    """The largest distance of a margin value's weight from its target, over the values that have tokens."""
+    worst = 0.0
+    for m in MARGINS:
+        goal = target.filter(F.col("margin") == m).select(F.col("value").alias(m), "share")
+        sums = raked.groupBy(m).agg(F.sum("w").alias("sum_w")).join(goal, m, "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+        top = sums.agg(F.sum("share").alias("all")).first()["all"] or 1.0
+        worst = max(worst, sums.agg(F.max(F.abs(F.col("sum_w") - F.col("share") / F.lit(top)))).first()[0] or 0.0)
+    return worst
+
+
+def tempered(cells: DataFrame, temper: float = 0.5) -> DataFrame:
+    """Cells with w in proportion to tokens times each margin share to the power temper - 1: the weights of the raked form
+    whose margins are met by these cells whatever cells are missing."""
+    out = cells.filter("tokens > 0")
+    total = float(out.agg(F.sum("tokens")).first()[0] or 1)
+    factor = F.col("tokens").cast("double")
+    for m in MARGINS:
+        out = out.join(out.groupBy(m).agg(F.sum("tokens").alias(f"t_{m}")), m)
+        factor = factor * F.pow(F.col(f"t_{m}") / F.lit(total), temper - 1)
+    out = materialize(out.select(*MARGINS, "tokens", factor.alias("w")), "tempered")
+    return out.withColumn("w", F.col("w") / F.lit(float(out.agg(F.sum("w")).first()[0] or 1)))
+
+
+def weighted(cells: DataFrame, target: DataFrame | None, tolerance: float = 1e-4) -> DataFrame:
+    """Cells with w, raked to target. Given targets that cannot be met raise; default ones give way to `tempered`, with a warning."""
+    goal = targets(cells) if target is None else target
+    raked = materialize(rake(cells, goal), "raked")
+    off = most_off(raked, goal)
+    if off <= tolerance:
+        return raked
+    if target is not None:
+        raise ValueError(f"raking leaves a target share off by {off:.3g}: no weights of these cells meet all targets, or more rounds are needed")
+    warnings.warn(f"raking leaves a default share off by {off:.3g}; cells are tempered by all margins at once instead", stacklevel=2)
+    return tempered(cells)
+
+
 def calibrated(raked: DataFrame, budget: float) -> DataFrame:
     """Cells with p: budget * w / tokens, at most 1, the rest raised by one factor so that sum(p tokens) is the budget.
 
-    The factor is found by bisection over sums of the whole table, so nothing is gathered. A budget of all tokens that
+    The sum is linear in the factor between two cells' tokens / w. Sums of the whole table narrow the factor down on a log
+    scale to a stretch without such a place, where it is solved for; nothing is gathered. A budget of all tokens that
     have a weight, or more, gives p = 1.
     """
     raked = materialize(raked, "raked")
-    size = raked.agg(F.coalesce(F.sum(F.when(F.col("w") > 0, F.col("tokens"))), F.lit(0)).alias("t"), F.max(F.when(F.col("w") > 0, F.col("tokens") / F.col("w"))).alias("top")).first()
+    full = F.when(F.col("w") > 0, F.col("tokens") / F.col("w"))
+    size = raked.agg(F.coalesce(F.sum(F.when(F.col("w") > 0, F.col("tokens"))), F.lit(0)).alias("t"), F.min(full).alias("low"), F.max(full).alias("top"), F.sum("w").alias("w")).first()
     if budget >= size["t"]:
         return raked.withColumn("p", F.when(F.col("w") > 0, 1.0).otherwise(0.0))
-    low, high = 0.0, float(size["top"])
-    for _ in range(3):  # a grid of 1000 factors each time
-        grid = [low + (high - low) * k / 1000 for k in range(1001)]
-        sums = raked.agg(*[F.sum(F.least(F.col("w") * F.lit(x), F.col("tokens").cast("double"))).alias(f"s{k}") for k, x in enumerate(grid) if k % 10 == 0]).first()
-        at = max(k for k in range(101) if sums[k] <= budget)
-        low, high = grid[10 * at], grid[min(1000, 10 * at + 10)]
-    return raked.withColumn("p", F.least(F.col("w") * F.lit((low + high) / 2) / F.col("tokens"), F.lit(1.0)))
+    low, high = float(size["low"]), float(size["top"])
+    factor = budget / size["w"]
+    if factor > low:
+        while high > low * (1 + 1e-13) and raked.filter((full > low) & (full < high)).limit(1).count():
+            grid = [low, *(np.exp(np.linspace(np.log(low), np.log(high), 101))[1:-1]).tolist(), high]
+            sums = raked.agg(*[F.sum(F.least(F.col("w") * F.lit(x), F.col("tokens").cast("double"))) for x in grid]).first()
+            at = max((k for k in range(100) if sums[k] <= budget), default=0)
+            if (grid[at], grid[at + 1]) == (low, high):
+                break
+            low, high = grid[at], grid[at + 1]
+        rest = raked.agg(F.sum(F.when(full <= low, F.col("tokens"))).alias("t"), F.sum(F.when(full > low, F.col("w"))).alias("w")).first()
+        factor = (budget - float(rest["t"] or 0)) / rest["w"]
+    return raked.withColumn("p", F.least(F.col("w") * F.lit(float(factor)) / F.col("tokens"), F.lit(1.0)))
 
 
 def sample(docs: DataFrame, share: float = 0.5, target: DataFrame | None = None) -> DataFrame:
@@ -140,7 +191,7 @@ def sample(docs: DataFrame, share: float = 0.5, target: DataFrame | None = None)
     docs = measured(docs.drop(*own))
     cells = materialize(docs.groupBy(*MARGINS).agg(F.sum("m_tokens").alias("tokens")), "cells")
     total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    found = calibrated(rake(cells, targets(cells) if target is None else target), share * float(total)).select(*MARGINS, "p")
+    found = calibrated(weighted(cells, target), share * float(total)).select(*MARGINS, "p")
     draw = F.pmod(F.xxhash64(F.lit("mix"), F.col("doc_id").cast("string")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     out = docs.join(found, list(MARGINS), "left").withColumn("p", F.when(F.col("m_tokens") > 0, F.coalesce("p", F.lit(0.0))).otherwise(F.lit(0.0)))
     return out.withColumn("selected", draw < F.col("p"))

@@ -119,6 +119,23 @@ def test_mixing(spark, docs, rows):
     assert mixing.sample(docs.limit(0)).count() == 0
 
 
+def test_mixing_with_structural_zeros(spark):
+    """A hot source in two languages beside sources of one: no weights meet the square root of each margin by itself."""
+    parts = [("a", "x", 400), ("a", "y", 100), *((f"s{k}", "y", 50) for k in range(10))]
+    cells = spark.createDataFrame([(s, lang, "prose", 1000 * n) for s, lang, n in parts], "m_source string, m_lang string, m_topic string, tokens long")
+    with pytest.raises(ValueError):
+        mixing.weighted(cells, mixing.targets(cells))
+    with pytest.warns(UserWarning, match="default share off"):
+        found = mixing.weighted(cells, None)
+    for share in (0.5, 0.8):
+        p = mixing.calibrated(found, share * 1_000_000).collect()
+        assert math.isclose(sum(r["p"] * r["tokens"] for r in p), share * 1_000_000, rel_tol=1e-9)
+        assert all(0 < r["p"] <= 1 for r in p)
+    # a cell of next to no weight does not coarsen the search
+    skew = spark.createDataFrame([(1000, 0.7), (1000, 0.3 - 1e-26), (1000, 1e-26)], "tokens long, w double")
+    assert [round(r["p"], 9) for r in mixing.calibrated(skew, 1500.0).orderBy(F.desc("w")).collect()] == [1.0, 0.5, 0.0]
+
+
 def test_passages(spark, rows):
     rng = np.random.default_rng(4)
     passage = " ".join("".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(2, 10, 60))
