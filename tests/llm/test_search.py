@@ -6,7 +6,9 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from quarry.llm import decontaminate, jaccard, ledger, lm, queries, repair
 
@@ -105,33 +107,89 @@ def test_boundary_follows_cost():
 
 def test_token_files(spark, docs, rows, tmp_path):
     path = queries.tokenizer_path()
-    tokenizer = repair.load_tokenizer(path)
+    tokenizer = Tokenizer.from_file(path)  # as the contract loads it
+    special = "a   <|endoftext|>  b <|endof text|> <|endoftext|><|endoftext|>"
+    rows = [*rows, (900, special), (901, "  ".join([special, rows[14][1], special])), (902, "w1 w2 " * 4000), (902, None), (902, "zz")]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n_tokens int").repartition(3)
     folder = repair.write(docs, path, f"file://{tmp_path}/t", shard_bytes=3000)
-    got = {r["doc_id"]: r for r in repair.read(spark, folder).collect()}
+    got = {(r["doc_id"], r["ids_crc32"]): r for r in repair.read(spark, folder).collect()}
+    assert len(got) == len(rows)
     shards = {(r["part"], r["seq"]): repair.Shard(bytes(r["shard"])) for r in spark.read.parquet(folder).collect()}
-    start = 0
+    size = 0
     for doc_id, text in rows:
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
-        r = got[doc_id]
-        assert (r["start"], r["n_tokens"]) == (start, len(ids)), doc_id
-        assert r["ids_crc32"] == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))
+        r = got[doc_id, zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))]
+        assert r["n_tokens"] == len(ids)
+        assert r["start"] == size or doc_id == 902
         shard = shards[r["part"], r["seq"]]
         assert shard.document(r["at"]).tolist() == ids
         assert [shard.token(r["at"], p) for p in range(0, len(ids), 97)] == ids[::97]
-        start += len(ids)
+        size += len(ids)
+    ordered = sorted(got.values(), key=lambda r: r["start"])
+    assert [r["start"] for r in ordered] == [sum(x["n_tokens"] for x in ordered[:k]) for k in range(len(ordered))]
     assert repair.read(spark, repair.write(docs.limit(0), path, f"file://{tmp_path}/e")).count() == 0
 
 
-def test_grammar_shrinks_repeats():
-    import numpy as np
+def opened(ids, counts, **kw):
+    shard = repair.Shard(repair.compress(np.array(ids, np.uint32), np.array(counts, np.int64), **kw))
+    assert shard.expand(shard.symbols(0, shard.n_symbols)).tolist() == list(ids) and shard.sizes().tolist() == list(counts)
+    return shard
 
-    ids = np.tile(np.arange(3, 40, dtype=np.uint32), 500)
-    counts = np.array([0, 100, len(ids) - 100, 0])
-    shard = repair.Shard(repair.compress(ids, counts))
-    assert len(shard.symbols) < len(ids) / 8 and shard.sizes().tolist() == counts.tolist()
-    assert shard.expand(shard.symbols).tolist() == ids.tolist()
-    empty = repair.Shard(repair.compress(np.empty(0, np.uint32), np.zeros(2, np.int64)))
-    assert empty.document(1).tolist() == []
+
+def test_grammar_shrinks_repeats():
+    shard = opened(np.tile(np.arange(3, 40), 500).tolist(), [0, 100, 18400, 0])
+    assert shard.n_symbols < 18500 / 8
+    assert opened([], [0, 0]).document(1).tolist() == []
+    assert opened([7] * 1000, [1000]).n_symbols < 100
+    opened([1, 2] * 500 + [3] * 77, [3, 1074])
+
+
+def paying(shard):
+    """Pairs with four occurrences or more that do not overlap, over documents one by one."""
+    found = Counter()
+    for i in range(shard.n_docs):
+        own, last = shard.symbols(int(shard.starts[i]), int(shard.starts[i + 1])).tolist(), None
+        for k, pair in enumerate(zip(own[:-1], own[1:], strict=True)):
+            if last != (k - 1, pair):
+                found[pair] += 1
+                last = (k, pair)
+            else:
+                last = None
+    return {p: c for p, c in found.items() if c >= repair.PAYS}
+
+
+def test_grammar_goes_on_until_no_pair_pays():
+    ids, counts = corpus_ids(200)
+    shard = opened(ids, counts)
+    assert not paying(shard)
+    assert len({tuple(r) for r in shard.rules.tolist()}) == len(shard.rules)
+    size = len(repair.compress(np.array(ids, np.uint32), np.array(counts, np.int64)))
+    plain = len(repair.compress(np.array(ids, np.uint32), np.array(counts, np.int64), pays=1 << 20))
+    assert size < 0.85 * plain and size < 0.85 * 2 * len(ids)
+
+
+def corpus_ids(n):
+    """Ids of the first documents of a test table."""
+    import pyarrow.parquet as pq
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()[:n]
+    own = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    return [x for o in own for x in o], [len(o) for o in own]
+
+
+def test_encoder_equals_library():
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    rng = np.random.default_rng(11)
+    parts = [" ", "  ", "\n", "a", "Don't", " it's", "\u00e9", "\u4f60\u597d", "\u00a0", "\u3000", "<|endoftext|>", "<|", "12 345", "!", "\t", "x" * 40, "\u0301", "\U0001f600"]
+    texts = ["".join(parts[k] for k in rng.integers(0, len(parts), rng.integers(0, 30))) for _ in range(1500)]
+    raw = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, raw)])
+    for encoder in (repair.WordEncoder(tokenizer), repair.WordEncoder(tokenizer, slot_bits=4, most_ids=50)):
+        ids, counts = encoder.encode(np.frombuffer(b"".join(raw), np.uint8), offsets)
+        at = np.concatenate([[0], np.cumsum(counts)])
+        for k, t in enumerate(texts):
+            assert ids[at[k] : at[k + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
 def test_lm(docs, rows):
