@@ -2,9 +2,10 @@
 
 Vectors, scaled to length 1, are projected on `projections` random directions. A block of vectors keeps, for each single
 projection, its values in order. A query lays a window around its own value on every projection; a vector in the
-window collides there. Virtual rehashing widens all windows (by `growth`) until enough vectors have collided
-`threshold` times; those, and only those, are verified with the exact cosine. Every vector is in some block, and every query
-meets every block, in blocks of queries; each pair of blocks returns its k best, which are merged.
+window collides there. Virtual rehashing widens all windows (by `growth`) until enough vectors have collided on
+`threshold` of the projections; those, and only those, are verified with the exact cosine. A window that holds more than half
+of a sorted array is counted by what lies outside it, so a query touches the smaller part. Every vector is in some block, and
+every query meets every block, in blocks of queries; each pair of blocks returns its k best, which are merged.
 """
 
 from __future__ import annotations
@@ -64,7 +65,11 @@ class Block:
         values = self.unit @ self.axes
         self.order = np.argsort(values, 0, kind="stable").T.copy()
         self.values = np.take_along_axis(values.T, self.order, 1)
-        self.order = self.order.astype(np.int32)
+
+    def _window(self, centers: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and end of each query's window in each sorted array."""
+        low = np.stack([np.searchsorted(v, c - width) for v, c in zip(self.values, centers, strict=True)])
+        return low, np.stack([np.searchsorted(v, c + width, "right") for v, c in zip(self.values, centers, strict=True)])
 
     def candidates(self, queries: np.ndarray, enough: int, threshold: int, width: float, growth: float):
         """For each unit vector of queries: its number, and the places that collide with it on `threshold` projections
@@ -73,60 +78,75 @@ class Block:
         enough = min(enough, n)
         centers = (queries @ self.axes).T
         active = np.arange(len(queries))
-        low = np.stack([np.searchsorted(self.values[j], centers[j]) for j in range(m)])
-        high = low.copy()
-        counts = np.zeros((len(queries), n), np.uint16)
-        while len(active):
-            wider_low = np.stack([np.searchsorted(self.values[j], centers[j, active] - width) for j in range(m)])
-            wider_high = np.stack([np.searchsorted(self.values[j], centers[j, active] + width, "right") for j in range(m)])
+        low, high = self._window(centers, width)
+        counts = np.empty((len(queries), n), np.int32)
+        flat, base = self.order.ravel(), np.arange(m) * n
+
+        def total(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+            """How often each place occurs in ranges of all sorted arrays."""
+            size = ends - starts
+            upto = np.cumsum(size)
+            return np.bincount(flat[np.repeat(starts - upto + size, size) + np.arange(int(upto[-1]))], minlength=n)
+
+        for q in active:
+            if 2 * int((high[:, q] - low[:, q]).sum()) > n * m:
+                counts[q] = m - total(np.concatenate([base, base + high[:, q]]), np.concatenate([base + low[:, q], base + n]))
+            else:
+                counts[q] = total(base + low[:, q], base + high[:, q])
+        while True:
             rest = []
-            for i, q in enumerate(active):
-                edges = zip(self.order, wider_low[:, i].tolist(), low[:, q].tolist(), high[:, q].tolist(), wider_high[:, i].tolist(), strict=True)
-                new = [x for order, a, b, c, d in edges for x in (order[a:b], order[c:d])]
-                counts[q] += np.bincount(np.concatenate(new), minlength=n).astype(np.uint16)
+            for q in active:
                 found = np.flatnonzero(counts[q] >= threshold)
                 if len(found) >= enough:
                     yield q, found
                 else:
-                    rest.append(i)
+                    rest.append(q)
+            if not rest:
+                return
+            active, width = np.array(rest), width * growth
+            wider_low, wider_high = self._window(centers[:, active], width)
+            for i, q in enumerate(active):
+                counts[q] += total(np.concatenate([base + wider_low[:, i], base + high[:, q]]), np.concatenate([base + low[:, q], base + wider_high[:, i]]))
             low[:, active], high[:, active] = wider_low, wider_high
-            active = active[rest]
-            width *= growth
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, projections: int = 64, threshold: int = 54, width: float = 0.9, growth: float = 1.08, verified: float = 0.12, block: int = 8192, query_block: int = 512, seed: int = 7) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, projections: int = 192, threshold: int = 184, width: float = 2.2, growth: float = 1.05, verified: float = 0.02, block: int = 8192, query_block: int = 512, seed: int = 7) -> DataFrame:
     """The k nearest rows of vectors (vec_id, embedding) by cosine for every row of queries (the same columns).
 
     Rows with a null id, a null, zero, or empty vector, or one with null or non-finite components take no part; neither do
     vectors of another dimension than the query's. A query never meets its own id. Ties go to the smaller vec_id; fewer than k
-    candidates are all returned. `verified`: share of a block that is verified for each query, at least. Returns
-    query_id, rank, vec_id, score.
+    candidates are all returned. Rows that repeat an id with an equal score count once; an id with several vectors is a candidate
+    with each of them. Other columns are not read; an empty table on either side gives no rows. `verified`: share of
+    a block that is verified for each query, besides 20 k, at least. Returns query_id, rank, vec_id, score.
     """
     left = materialize(_in_blocks(_usable(vectors), block), "blocks").withColumnsRenamed({"ids": "v_ids", "vectors": "v", "block": "v_block"})
     right = materialize(_in_blocks(_usable(queries), query_block), "queries").withColumnsRenamed({"ids": "q_ids", "vectors": "q", "block": "q_block"})
     n_left = left.agg(F.coalesce(F.max("v_block"), F.lit(0))).first()[0] + 1
-    # every block of queries is sent to every block of vectors
+    # the query set meets all rows, in blocks
     met = right.withColumn("v_block", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1)))).join(left, ["v_block", "dim"])
 
     def f(batches):
         held = (None, None)
         for batch in batches:
-            for row in batch.to_pylist():
-                d = row["dim"]
-                own = Block(np.frombuffer(row["v_ids"], np.int64), np.frombuffer(row["v"], "<f8").reshape(-1, d), projections, seed) if held[0] != (row["v_block"], d) else held[1]
-                held = ((row["v_block"], d), own)
-                q_ids, q = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q"], "<f8").reshape(-1, d)
+            for r in range(batch.num_rows):
+                number, d = batch.column("v_block")[r].as_py(), batch.column("dim")[r].as_py()
+                part = lambda c, kind: np.frombuffer(batch.column(c)[r].as_buffer(), kind)  # noqa: B023, E731
+                own = Block(part("v_ids", "<i8"), part("v", "<f8").reshape(-1, d), projections, seed) if held[0] != (number, d) else held[1]
+                held = ((number, d), own)
+                q_ids, q = part("q_ids", "<i8"), part("q", "<f8").reshape(-1, d)
                 scaled = q / np.abs(q).max(1, keepdims=True)
                 unit = scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))
-                enough = max(4 * k, int(verified * len(own.ids)))
                 ids, others, scores = [], [], []
-                for i, at in own.candidates(unit, enough, threshold, width, growth):
+                for i, at in own.candidates(unit, 20 * k + int(verified * len(own.ids)), threshold, width, growth):
                     at = at[own.ids[at] != q_ids[i]]
-                    score = np.round(own.unit[at] @ unit[i], 12)
-                    best = np.lexsort((own.ids[at], -score))[:k]
-                    ids.append(np.full(len(best), q_ids[i]))
-                    others.append(own.ids[at][best])
-                    scores.append(cosines(own.vectors[at[best]], q[i]))
+                    score = cosines(own.vectors[at], q[i])
+                    order = np.lexsort((own.ids[at], -score))
+                    name, score = own.ids[at][order], score[order]
+                    new = np.ones(len(name), bool)
+                    new[1:] = (name[1:] != name[:-1]) | (score[1:] != score[:-1])
+                    ids.append(np.full(min(k, int(new.sum())), q_ids[i]))
+                    others.append(name[new][:k])
+                    scores.append(score[new][:k])
                 if ids:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, others, scores)], names=["query_id", "vec_id", "score"])
 

@@ -42,6 +42,46 @@ def test_neighbours(spark):
     assert ann.search(frame.limit(0), frame).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_neighbours_of_the_test_tables(spark, sf):
+    """The registered query, and every row as a query, against all exact cosines."""
+    folder = f"/root/testdata/{sf}"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    cos = unit @ unit.T
+    np.fill_diagonal(cos, -9)
+    nearest = {int(i): ids[np.lexsort((ids, -row))[:5]].tolist() for i, row in zip(ids, cos, strict=True)}
+
+    def recall(found):
+        by = {}
+        for r in found.collect():
+            by.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+        assert all(sorted(v) == [1, 2, 3, 4, 5] for v in by.values())
+        return len(by), np.mean([len(set(v.values()) & set(nearest[i])) / 5 for i, v in by.items()])
+
+    n, share = recall(queries.op1_collision_ann(spark, folder))
+    assert n == (ids % 50 == 0).sum() and share >= 0.9
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    n, share = recall(ann.search(vectors, vectors))
+    assert n == len(ids) and share >= 0.9
+
+
+def test_windows_count_collisions():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((300, 24))
+    block = ann.Block(np.arange(300), x, 40, 3)
+    for width in (0.2, 0.7, 2.0):  # narrow windows are counted by what is inside, wide ones by what is outside
+        for q, at in block.candidates(block.unit[:20], 30, 25, width, 1.3):
+            w = width
+            while True:
+                hits = (np.abs(block.unit @ block.axes - block.unit[q] @ block.axes) <= w).sum(1)
+                if (hits >= 25).sum() >= 30:
+                    break
+                w *= 1.3
+            assert at.tolist() == np.flatnonzero(hits >= 25).tolist()
+
+
 def test_risk_is_non_negative_estimate():
     rng = np.random.default_rng(3)
     good, bad = rng.normal(1, 1, (600, 4)).astype(np.float32), rng.normal(-1, 1, (600, 4)).astype(np.float32)
