@@ -74,7 +74,7 @@ def _digests(docs: DataFrame, words: int) -> DataFrame:
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, d1, d2 = [], [], []
         for _, keys, sizes in shingle_sets(batch_column(batch, "text"), words):
-            total = [np.concatenate([[0], np.cumsum(mix64(keys ^ np.uint64(salt)))]).astype(np.uint64) for salt in (0x1234567, 0xABCDEF0123)]
+            total = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(keys ^ np.uint64(salt)))]) for salt in (0x1234567, 0xABCDEF0123)]
             at = np.concatenate([[0], np.cumsum(sizes)])
             n.append(sizes)
             d1.append(total[0][at[1:]] - total[0][at[:-1]])
@@ -310,9 +310,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, hot_entr
     Words are runs of bytes other than ASCII white space, A-Z in lower case. A set is the distinct shingles of `words`
     words, or the whole sequence if there are fewer; null and wordless texts have empty sets and link with nothing. Rows link
     when 100 * intersection >= percent * union. Returns one row per row of docs: doc_id, n_shingles, component_id (the
-    smallest doc_id reachable by links, its own included), n_equal (rows with an equal set, itself included) and
-    n_links (links of its set to other sets that were checked; within a component they aren't all sought). Rows with
-    a null doc_id take no part and are left out; repeated doc_ids count as one node for each distinct set they have.
+    smallest doc_id reachable by links, its own included) and n_equal (rows with an equal set, itself included; 1 for an empty
+    set). Links are not counted: once two sets are in one component, no further links between them are sought. Rows with
+    a null doc_id take no part and are left out; repeated doc_ids count as one node for each distinct set they have. Texts of any
+    length are taken whole, other columns are not read, an empty table gives no rows. MOST_LIGHT, hot_entries, most_hot,
+    short_list and block_bytes change what the join costs, never its rows.
 
     Equality of shingles is that of their 64-bit hashes.
     """
@@ -374,9 +376,5 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, hot_entr
     links = materialize(links.unionByName(more).unionByName(blocks), "found")
 
     label = components(links.unionByName(member.filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
-    ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
-    return (
-        member.join(label, member["doc_id"] == label["node"], "left")
-        .join(ends, "rep", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_equal", F.lit(1)).alias("n_equal"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
+    named = member.join(label, member["doc_id"] == label["node"], "left")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_equal", F.lit(1)).alias("n_equal"))

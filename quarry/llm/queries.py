@@ -30,8 +30,9 @@ def op2_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, index = warc.write(table(spark, sf_dir, "pages"))
-    return warc.read(warc.all_captures(spark, index), folder).drop("payload", "url")
+    pages = table(spark, sf_dir, "pages")
+    folder, index = warc.write(pages)
+    return warc.read(warc.look_up(pages, index), folder).drop("payload", "url")
 
 
 def op4_mix_ipf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,4 +76,33 @@ def op9_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_collision_ann, op2_quality_pu, op3_warc_index, op4_mix_ipf, op5_lm_scoring, op6_token_ids, op7_cdc_passages, op8_decontamination, op9_edit_counts, op10_ngram_jaccard)}
-ORACLES: dict[str, str] = {}
+
+#: SQL for the same rows, where it can say them.
+ORACLES: dict[str, str] = {
+    "op3_warc_index": """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages), d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS s FROM p),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY s, n) AS keep FROM d)
+SELECT page_id, n AS payload_bytes, s AS payload_digest, CASE WHEN n >= 1000 AND page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN n >= 1000 AND page_id <> keep THEN keep END AS refers_to FROM k""",
+    "op8_decontamination": r"""WITH low AS (SELECT 'd' AS kind, CAST(doc_id AS VARCHAR) AS id, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+UNION ALL SELECT 'b', CAST(item_id AS VARCHAR), NULL, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+w AS (SELECT kind, id, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low),
+item AS (SELECT id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS k, least(len(w), 13) AS n FROM w WHERE kind = 'b' AND len(w) > 0),
+win AS (SELECT DISTINCT id AS item, n, list_aggregate(w[k:k + n - 1], 'string_agg', ' ') AS s FROM item),
+pos AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM w WHERE kind = 'd'),
+cut AS (SELECT doc_id, k, n, list_aggregate(w[k:k + n - 1], 'string_agg', ' ') AS s FROM pos, (SELECT DISTINCT n FROM win) WHERE k + n - 1 <= len(w)),
+occ AS (SELECT doc_id, k, cut.n, item FROM cut JOIN win USING (n, s)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM occ) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS l FROM (SELECT DISTINCT doc_id, item FROM occ) GROUP BY doc_id),
+a AS (SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256 FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id) WHERE kind = 'd')
+SELECT *, n_hit > 0 AND 20 * n_hit >= n_words AS contaminated FROM a""",
+    "op10_ngram_jaccard": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM w WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, list_aggregate(w[k:k + 4], 'string_agg', ' ') AS s, least(len(w), 5) AS z FROM g),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.z = b.z AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM c JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+both_ AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id, doc_id AS m FROM documents UNION SELECT b, m FROM r JOIN both_ ON r.doc_id = a WHERE m < b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, l.component_id, x.n_equal FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(m) AS component_id FROM r GROUP BY doc_id) l USING (doc_id)
+JOIN (SELECT doc_id, count(*) OVER (PARTITION BY k) AS n_equal FROM (SELECT w.doc_id, coalesce(list_aggregate(list_sort(list(s.s || '|' || s.z) FILTER (s.s IS NOT NULL)), 'string_agg', chr(10)), 'none ' || w.doc_id) AS k FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id)) x USING (doc_id)""",
+}

@@ -1,8 +1,9 @@
 """WARC archives with payload deduplication, and a two-level capture index.
 
 Records are written by the tasks to the shared folder, each as a gzip member of its own, so that a record is a range of
-bytes. The index sorts the captures by reversed-host URL key into compressed blocks; a sparse directory holds each block's
-first key. A look-up finds the parts, then the block by binary search, then reads the record's range alone.
+bytes. The index sorts the captures by reversed-host URL key into compressed blocks, one after another in the files of the index;
+a sparse directory, a table of its own, holds each block's first and last key and its range of bytes. A look-up
+finds the parts of the directory, then the blocks by binary search, and reads the ranges of those blocks and records alone.
 
 An attempt that fails leaves a file that no index entry names.
 """
@@ -13,7 +14,6 @@ import gzip
 import hashlib
 import json
 import uuid
-import zlib
 from bisect import bisect_left, bisect_right
 from urllib.parse import urlsplit
 
@@ -26,7 +26,7 @@ from .common import materialize, scratch_path
 
 #: A WARC date has to be given; captures carry none.
 DATE = "1970-01-01T00:00:00Z"
-_BLOCK = "part int, block int, first_key string, last_key string, n int, entries binary"
+_BLOCK = "part int, block int, first_key string, last_key string, n int, file string, offset long, length long"
 
 
 def url_key(url: str | None) -> str:
@@ -70,16 +70,22 @@ def _open(folder: str):
 def write(pages: DataFrame, folder: str | None = None, least: int = 1000, roll: int = 64 << 20) -> tuple[str, str]:
     """Archive pages (page_id, url, html) and index them. Returns the folders of the archives and of the index.
 
-    A null html is an empty payload. Of equal payloads of at least `least` bytes, the one with the largest page_id is the
-    response, the others are revisits of it; rows that share that page_id too are all responses.
+    A null html is an empty payload, a null url an empty one. Of equal payloads of at least `least` bytes, the one with the
+    largest page_id is the response, the others are revisits of it; rows that share that page_id too are all responses,
+    and rows with a null page_id are revisits of one that has an id. Repeated rows are records each, other columns are not
+    read, and an empty table gives an empty index. Payloads are archived where they are: only ids and digests
+    are grouped, and the revisits found, a small table or one dealt by page_id, meet the pages.
     """
     spark = pages.sparkSession
     folder = folder or scratch_path(spark, "warc")
     page = F.col("page_id").cast("long")
     pages = pages.select(page.alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     pages = pages.withColumns({"size": F.octet_length("html").cast("long"), "digest": F.sha1(F.encode("html", "UTF-8"))})
-    copies = pages.filter(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("c")).filter("c > 1").select("digest", "keep")
-    told = pages.join(copies, "digest", "left").withColumn("refers_to", F.when(F.col("keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep")), F.col("keep")))
+    ids = materialize(pages.filter(F.col("size") >= least).select("page_id", "digest").distinct(), "payloads")
+    keep = ids.groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("c")).filter("c > 1 AND keep IS NOT NULL").select("digest", "keep")
+    revisits = ids.join(keep, "digest").filter("NOT page_id <=> keep").select(F.col("page_id").alias("r_page"), F.col("digest").alias("r_digest"), "keep")
+    revisits = materialize(revisits, "revisits")  # its size is known then: Spark broadcasts a small one
+    told = pages.join(revisits, F.col("page_id").eqNullSafe(F.col("r_page")) & (F.col("digest") == F.col("r_digest")), "left").withColumn("refers_to", F.col("keep"))
     told = told.withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")))
 
     def run(batches):
@@ -112,87 +118,106 @@ def write(pages: DataFrame, folder: str | None = None, least: int = 1000, roll:
 
 
 def index(captures: DataFrame, block: int = 512) -> str:
-    """Blocks of the captures (key, page_id, file, offset, length) in the order of key and page_id."""
+    """Blocks of the captures (key, page_id, file, offset, length) in the order of key and page_id, in files of a new folder
+    (blocks), and their directory (a table: directory). Returns the folder. A key with many captures fills many blocks."""
+    path = scratch_path(captures.sparkSession, "cdx")
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, number, held = TaskContext.get().partitionId(), 0, []
+        store, base = _open(path)
+        store.create_dir(f"{base}/blocks", recursive=True)
+        part, number, at, held = TaskContext.get().partitionId(), 0, 0, []
+        name = f"{uuid.uuid4().hex}.cdx.gz"
+        out = None
 
         def flush(rows):
-            data = zlib.compress("\n".join("\t".join([json.dumps(k), *map(str, rest)]) for k, *rest in rows).encode(), 6)
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([number], pa.int32()), "first_key": [rows[0][0]], "last_key": [rows[-1][0]], "n": pa.array([len(rows)], pa.int32()), "entries": pa.array([data], pa.binary())})
+            nonlocal out, number, at
+            if out is None:
+                out = store.open_output_stream(f"{base}/blocks/{name}", compression=None)
+            data = gzip.compress("\n".join("\t".join([json.dumps(k), *map(str, rest)]) for k, *rest in rows).encode(), 6, mtime=0)
+            out.write(data)
+            row = (part, number, rows[0][0], rows[-1][0], len(rows), name, at, len(data))
+            number, at = number + 1, at + len(data)
+            kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=["part", "block", "first_key", "last_key", "n", "file", "offset", "length"])
 
         for batch in batches:
             held += zip(*(batch.column(c).to_pylist() for c in ("key", "page_id", "file", "offset", "length")), strict=True)
             while len(held) >= block:
                 yield flush(held[:block])
-                held, number = held[block:], number + 1
+                held = held[block:]
         if held:
             yield flush(held)
+        if out is not None:
+            out.close()
 
-    path = scratch_path(captures.sparkSession, "cdx")
     ordered = captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
-    ordered.mapInArrow(run, _BLOCK).write.parquet(path)
+    ordered.mapInArrow(run, _BLOCK).write.parquet(f"{path}/directory")
     return path
 
 
 def entries(data: bytes) -> list[tuple]:
     """The captures of a block: key, page_id, file, offset, length."""
     out = []
-    for line in zlib.decompress(data).decode().split("\n"):
+    for line in gzip.decompress(data).decode().split("\n"):
         key, page_id, name, offset, length = line.rsplit("\t", 4)
         out.append((json.loads(key), None if page_id == "None" else int(page_id), name, int(offset), int(length)))
     return out
 
 
 _ENTRY = "key string, page_id long, file string, offset long, length long"
+_NAMED = "file string, offset long, length long, wanted array<string>"
 
 
-def _entry_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["key", "page_id", "file", "offset", "length"])
+def named_blocks(wanted: DataFrame, index_path: str) -> DataFrame:
+    """Blocks that may hold the keys (column wanted, distinct): file, offset, length, and the keys wanted of each.
 
+    The first level has one row for each part of the index, which are as many as Spark has partitions, and is all that is
+    broadcast. The directory of a part is searched where its rows are.
+    """
+    directory = wanted.sparkSession.read.parquet(f"{index_path}/directory")
+    top = F.broadcast(directory.groupBy("part").agg(F.min("first_key").alias("lo"), F.max("last_key").alias("hi")))
+    wanted = wanted.join(top, (F.col("wanted") >= F.col("lo")) & (F.col("wanted") <= F.col("hi"))).select(F.col("part").alias("in_part"), "wanted")
 
-def all_captures(spark, index_path: str) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for data in batch.column("entries").to_pylist():
-                yield _entry_batch(entries(data))
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("block")
+        firsts, lasts, files, offsets, lengths = (right.column(c).to_pylist() for c in ("first_key", "last_key", "file", "offset", "length"))
+        found: dict[int, list[str]] = {}
+        for key in sorted(left.column("wanted").to_pylist()):
+            for at in range(bisect_left(lasts, key), bisect_right(firsts, key)):
+                found.setdefault(at, []).append(key)
+        columns = [[files[k] for k in found], [offsets[k] for k in found], [lengths[k] for k in found], list(found.values())]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string())), strict=True)], names=["file", "offset", "length", "wanted"])
 
-    return spark.read.parquet(index_path).select("entries").mapInArrow(run, _ENTRY)
+    return wanted.groupBy("in_part").cogroup(directory.groupBy("part")).applyInArrow(run, _NAMED)
 
 
 def look_up(urls: DataFrame, index_path: str) -> DataFrame:
-    """Captures of the urls (column url): a part by its first and last keys, a block by binary search, then its entries.
+    """Captures of the urls (column url): the blocks that the directory names for their keys, and there a binary search.
 
-    The first level has one row a partition of the index and is all that is broadcast; the directory of a part is read
-    where its blocks are. A url without captures gives no row; repeated urls count once.
+    A url without captures gives no row; repeated urls, and urls with one key, count once. A null url has the key of an empty one.
     """
-    spark = urls.sparkSession
-    blocks = spark.read.parquet(index_path)
-    top = F.broadcast(spark.read.parquet(index_path).groupBy("part").agg(F.min("first_key").alias("lo"), F.max("last_key").alias("hi")))
 
     def keyed(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in batch.column("url").to_pylist()], pa.string())], names=["wanted"])
 
-    wanted = urls.select(F.col("url").cast("string").alias("url")).mapInArrow(keyed, "wanted string").distinct()
-    wanted = wanted.join(top, (F.col("wanted") >= F.col("lo")) & (F.col("wanted") <= F.col("hi"))).select(F.col("part").alias("in_part"), "wanted")
+    wanted = urls.select(F.col("url").cast("string").alias("url")).distinct().mapInArrow(keyed, "wanted string").distinct()
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = sorted(range(right.num_rows), key=lambda i: right.column("block")[i].as_py())
-        firsts, lasts = ([right.column(c)[i].as_py() for i in order] for c in ("first_key", "last_key"))
-        found, opened = [], {}
-        for key in sorted(set(left.column("wanted").to_pylist())):
-            for at in range(bisect_left(lasts, key), bisect_right(firsts, key)):
-                if at not in opened:
-                    opened = {at: entries(right.column("entries")[order[at]].as_py())}
-                own = opened[at]
-                keys = [e[0] for e in own]
-                found += own[bisect_left(keys, key) : bisect_right(keys, key)]
-        return pa.Table.from_batches([_entry_batch(found)])
-
-    return wanted.groupBy("in_part").cogroup(blocks.groupBy("part")).applyInArrow(run, _ENTRY)
+    def run(batches):
+        store, base = _open(f"{index_path}/blocks")
+        for batch in batches:
+            for file, offset, length, keys in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length", "wanted")), strict=True):
+                with store.open_input_file(f"{base}/{file}") as source:
+                    own = entries(source.read_at(length, offset))
+                have, found = [e[0] for e in own], []
+                for key in keys:
+                    found += own[bisect_left(have, key) : bisect_right(have, key)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["key", "page_id", "file", "offset", "length"])
+
+    return named_blocks(wanted, index_path).mapInArrow(run, _ENTRY)
 
 
 def read(captures: DataFrame, folder: str) -> DataFrame:

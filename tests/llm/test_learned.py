@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 
 import numpy as np
 import pytest
@@ -107,7 +108,7 @@ def test_archives(spark, tmp_path):
     pages = [(1, "http://www.b.example.org/x?y#z", big), (2, "https://a.example.org", big), (9, "http://a.example.org/", big), (3, None, None), (4, "bad url [", "small"), (5, "http://c.example/", "small"), (None, "http://c.example/", big), (6, "http://d.example/\r\nHost: tab\t", "a\r\n\r\nWARC/1.1\r\n"), (7, "", "")]
     frame = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit("clash")).repartition(2)
     folder, index = warc.write(frame, f"file://{tmp_path}/w", roll=1500)
-    got = {r["page_id"]: r for r in warc.read(warc.all_captures(spark, index), folder).collect()}
+    got = {r["page_id"]: r for r in warc.read(warc.look_up(frame, index), folder).collect()}
     assert len(got) == len(pages)
     for page_id, url, html in pages:
         data, r = (html or "").encode(), got[page_id]
@@ -119,13 +120,18 @@ def test_archives(spark, tmp_path):
     found = warc.look_up(urls, index)
     assert sorted(r["page_id"] for r in found.collect()) == [1, 2, 3, 7, 9]
     assert sorted(r["page_id"] for r in warc.read(found, folder).filter("record_type = 'response'").collect()) == [3, 7, 9]
-    assert warc.read(warc.all_captures(spark, warc.write(frame.limit(0), f"file://{tmp_path}/e")[1]), folder).count() == 0
+    assert warc.read(warc.look_up(frame, warc.write(frame.limit(0), f"file://{tmp_path}/e")[1]), folder).count() == 0
+    again = frame.union(frame.filter("page_id IN (1, 9)"))
+    folder, index = warc.write(again, f"file://{tmp_path}/r")
+    assert sorted((r["page_id"], r["record_type"]) for r in warc.read(warc.look_up(again, index), folder).collect() if r["page_id"] in (1, 9)) == [(1, "revisit")] * 2 + [(9, "response")] * 2
 
 
 def test_index_blocks(spark, tmp_path):
     rows = [(f"com,h{i % 37})/", i, "f", i, 1) for i in range(700)] + [("com,hot)/", 1000 + i, "f", i, 1) for i in range(900)]
     index = warc.index(spark.createDataFrame(rows, "key string, page_id long, file string, offset long, length long"), block=64)
     urls = spark.createDataFrame([("http://hot.com/",), ("http://h5.com",)], "url string")
+    named = warc.named_blocks(spark.createDataFrame([("com,h5)/",), ("com,h9)/",)], "wanted string"), index).collect()
+    assert len(named) <= 4 < spark.read.parquet(f"{index}/directory").count()  # no other block is read
     assert sorted(r["page_id"] for r in warc.look_up(urls, index).collect()) == sorted([i for i in range(700) if i % 37 == 5] + [1000 + i for i in range(900)])
 
 
@@ -177,36 +183,71 @@ def test_mixing_with_structural_zeros(spark):
     assert [round(r["p"], 9) for r in mixing.calibrated(skew, 1500.0).orderBy(F.desc("w")).collect()] == [1.0, 0.5, 0.0]
 
 
+def repeated_words(texts, n):
+    """For each text, whether n of its words in a row, as bytes, are also in another."""
+    seen = {}
+    for i, t in enumerate(texts):
+        at = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())]
+        for k in range(len(at) - n + 1):
+            seen.setdefault((t or "").encode()[at[k][0] : at[k + n - 1][1]], set()).add(i)
+    twice = [x for x in seen.values() if len(x) > 1]
+    return set().union(*twice) if twice else set()
+
+
 def test_passages(spark, rows):
+    """Every repetition of 51 words is found, down to words of one letter; none is named for less than 40."""
     rng = np.random.default_rng(4)
-    passage = " ".join("".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(2, 10, 60))
-    docs = [(i, f"{' '.join(f'{w}{i}' for w in sentence(i + 300, 20 + 7 * i).split())} {passage} tail{i} of its own") for i in range(12)]
-    docs += [(100 + i, " ".join(f"{w}{i}u" for w in sentence(i + 500, 90).split())) for i in range(12)]
-    docs += [(200, docs[13][1]), (201, None), (202, ""), (203, "z" * 300_000), (None, passage)]
-    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: r for r in chunking.repeated_passages(frame, group_bytes=4000).collect()}
-    assert set(got) == {*range(12), 101, 200}
-    for i in range(12):
-        data = docs[i][1].encode()
+    word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    text = lambda n, size: " ".join(word(max(1, int(rng.integers(size - 1, size + 2)))) for _ in range(n))
+    texts, planted = [], []
+    for k in range(240):
+        size = 1 + k % 6
+        passage = text(51 if k % 3 else 30 + k % 9, size)
+        for _ in range(2):
+            planted.append((len(texts), passage, k % 3 != 0))
+            texts.append(f"{text(int(rng.integers(0, 90)), 5)} {passage} {text(int(rng.integers(0, 90)), 5)}".strip())
+    copy = text(400, 5)
+    texts += [copy, copy, copy + " and more", "a " * 300, "a " * 400, "z" * 300_000, "z" * 300_000 + " end", None, "", text(60, 4) + " " + text(60, 4)]
+    inner = text(70, 4)
+    texts.append(f"{inner} {text(9, 4)} {inner}")  # repeats itself alone
+    frame = spark.createDataFrame([*enumerate(texts), (None, copy)], "doc_id long, text string").withColumn("g", F.lit("clash")).repartition(3)
+    got = {r["doc_id"]: r for r in chunking.repeated_passages(frame, group_bytes=20_000).collect()}
+    assert repeated_words(texts, 51) <= set(got) <= repeated_words(texts, 40)
+    for i, passage, long in planted:
+        data = texts[i].encode()
         at = data.index(passage.encode())
-        span = got[i]["spans"][0]
-        assert at - 80 <= span["start"] and span["end"] <= at + len(passage) + 80 and span["end"] - span["start"] > len(passage) / 2
-        assert (got[i]["removable_bytes"] == 0) == (i == 0)
-    assert got[200]["removable_bytes"] == len(docs[13][1].encode()) == got[101]["repeated_bytes"]
+        assert (i in got) == long
+        if long:
+            assert any(s["start"] <= at + 64 and s["end"] >= at + len(passage) - 64 and s["start"] >= at - 40 and s["end"] <= at + len(passage) + 40 for s in got[i]["spans"])
+    whole = len(copy.encode())
+    assert got[480]["removable_bytes"] <= 40  # a chunk of few bytes may be an older row's too
+    assert got[481]["removable_bytes"] == got[481]["repeated_bytes"] == whole
+    assert [tuple(x) for x in got[481]["spans"]] == [(0, whole, 480)]
     assert chunking.repeated_passages(frame.limit(0)).count() == 0
+    other = {r["doc_id"]: r for r in chunking.repeated_passages(frame, group_bytes=1 << 20).collect()}
+    assert got == other
+    twice = spark.createDataFrame([(1, copy), (1, copy)], "doc_id long, text string")
+    assert [(r["doc_id"], r["removable_bytes"]) for r in chunking.repeated_passages(twice).collect()] == [(1, 0)] * 2
 
 
 def test_gear_hash_and_cuts():
     raw = np.random.default_rng(1).integers(0, 256, 5000, dtype=np.uint8)
-    h = chunking.gear_hash(raw)
-    for i in (0, 5, 31, 32, 400):
-        want = 0
-        for k in range(min(i + 1, 32)):
-            want += int(chunking._GEAR[raw[i - k]]) << k
+    raw[1000:1400] = 97
+    offsets = np.array([0, 0, 3, 30, 3000, 3000, 5000])
+    place = np.concatenate([np.arange(n) for n in np.diff(offsets)])
+    h = chunking.gear_hash(raw, place)
+    for i in (0, 2, 3, 20, 31, 400, 3001, 3020, 4999):
+        want = sum(int(chunking._GEAR[raw[i - k]]) << k for k in range(min(int(place[i]) + 1, 16)))
         assert int(h[i]) == want % 2**32
-    starts, ends, row = chunking.chunks(raw, np.array([0, 0, 3000, 5000]), 5, 16, 256)
-    assert starts[0] == 0 and ends[-1] == 5000 and (starts[1:] == ends[:-1]).all() and (ends - starts).max() <= 256
-    assert 3000 in starts and set(row) == {1, 2}
+    starts, ends, row = chunking.chunks(raw, offsets)
+    got = {r: [(s - offsets[r], e - offsets[r]) for s, e, x in zip(starts, ends, row, strict=True) if x == r] for r in range(6)}
+    for r in range(6):  # as for the row alone, and as defined
+        part = raw[offsets[r] : offsets[r + 1]]
+        alone = chunking.chunks(part, np.array([0, len(part)]))
+        assert got[r] == list(zip(alone[0], alone[1], strict=True))
+        own = h[offsets[r] : offsets[r + 1]].tolist()
+        cuts = {j + max(k for k in range(40) if own[j + k] == min(own[j : j + 40])) + 1 for j in range(len(own) - 39)} - {len(own)}
+        assert [s for s, _ in got[r]] == sorted(cuts | {0} if len(own) else cuts)
 
 
 def apply(text, script):
