@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, jaccard, mixing, quality, repair
-from quarry.llm.common import is_train, materialize
+from quarry.llm.common import beside, is_train, materialize
 from quarry.llm.queries import table, tokenizer_path
 
 #: Expected share of the words that reach the mix.
@@ -14,37 +14,35 @@ MIX_SHARE = 0.8
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on these documents and their labels, does not reject."""
-    scored = quality.score(docs, table(spark, sf_dir, "labels"), is_train(F.col("doc_id"), 5))
-    return scored.filter("predicted = 1").select(*docs.columns)
+    """Documents that the classifier, fitted on these documents and their labels, does not reject. Null texts count as empty."""
+    fit = lambda d: quality.score(d, table(spark, sf_dir, "labels"), is_train(F.col("doc_id"), 5)).filter("predicted = 1")
+    return beside(docs, ("score", "predicted"), fit)
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates, the document with the smallest doc_id.
-
-    Of rows that share a doc_id, the one with the smallest text stays. Rows without a doc_id or without words are no
-    near duplicate of anything, and stay.
-    """
+    """Of each class of near duplicates, the rows with its smallest doc_id; of those that repeat that doc_id, one for each
+    distinct text. Rows without a doc_id or without words are no near duplicate of anything, and all stay."""
     classes = jaccard.near_duplicates(docs)
-    kept = classes.filter("doc_id = component_id").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy("text")
-    found = docs.join(kept, "doc_id", "left_semi").withColumn("row_", F.row_number().over(one)).filter("row_ = 1")
-    return found.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    kept = classes.filter("n_shingles > 0 AND doc_id = component_id").select("doc_id").distinct()
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) & F.col("doc_id").isNotNull()
+    firsts = docs.filter(worded).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return firsts.select(*docs.columns).unionByName(docs.filter(~worded))
 
 
 def decontamination_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage, or little of one."""
-    marked = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=True)
-    return marked.filter("NOT contaminated").select(*docs.columns)
+    """Documents that hold no benchmark passage, or little of one; null texts are clean."""
+    mark = lambda d: decontaminate.decontaminate(d, table(spark, sf_dir, "benchmark"), keep=True).filter("NOT contaminated")
+    return beside(docs, decontaminate.MARKS, mark)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn with the probabilities that bring sources, languages and topics to their target shares."""
-    return mixing.sample(docs, MIX_SHARE).filter("selected").select(*docs.columns)
+    """Documents drawn with the probabilities that bring sources, languages and topics to their target shares; those without
+    words go. Null languages and sources count as ''."""
+    return beside(docs, mixing.OWN, lambda d: mixing.sample(d, MIX_SHARE).filter("selected"))
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the documents, as read back: doc_id, start, n_tokens, ids_crc32."""
+    """Token files of the documents, as read back: doc_id, start, n_tokens, ids_crc32. Null texts have the end id alone."""
     return repair.read(spark, repair.write(docs, tokenizer_path())).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by the vectorised helpers; bounds a worker's memory.
 SLICE_BYTES = 1 << 20
@@ -28,9 +30,11 @@ ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share. Where none is set, a temporary one for a local master; else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -60,6 +64,14 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def beside(docs: DataFrame, names: tuple[str, ...], f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of docs that f keeps, with the columns of docs as they were: those that bear one of the names that f writes
+    are put aside meanwhile."""
+    aside = {c: f"aside_{k}_" for k, c in enumerate(docs.columns) if c.lower() in names}
+    kept = f(docs.withColumnsRenamed(aside))
+    return kept.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -187,6 +199,4 @@ def first_of_row(offsets: np.ndarray, n: int) -> np.ndarray:
 
 def is_train(id_column, k: int):
     """False for the k-th part of the rows held out: crc32 of the id's text divides by k."""
-    from pyspark.sql import functions as F
-
     return F.coalesce(F.crc32(F.encode(id_column.cast("string"), "UTF-8")) % k != 0, F.lit(True))

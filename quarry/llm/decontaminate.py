@@ -6,8 +6,9 @@ hashed blocks of bytes. A block that no window holds lets the search skip almost
 where the shift is 0, the bucket of the block's hash names the windows to compare byte by byte. Many cursors, one for
 each stretch of text, move in step, so that numpy does the work of the inner loop.
 
-The item windows are read in blocks of `block_items` items; each block is broadcast by itself, and a worker holds one
-at a time. The words of documents never move: the operator has no shuffle.
+The items are read in blocks of bounded bytes; one block at a time is broadcast and searched for, and between two blocks the
+rows are written with the places found so far, so a worker holds the windows of one block whatever the benchmark's size. The
+words of documents never move: the operator has no shuffle.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, batch_column, first_of_row, lower_ascii, map_arrow, slices, text_buffers, word_spans
+from .common import ALNUM, batch_column, first_of_row, lower_ascii, map_arrow, materialize, slices, text_buffers, word_spans
 
 WINDOW = 13
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -135,56 +137,88 @@ class Matcher:
         return n_words, np.cumsum(hit)[:-1] > 0, items, first
 
 
-def _blocks_of_items(benchmark: DataFrame, block_items: int):
-    block = []
+def _blocks_of_items(benchmark: DataFrame, block_bytes: int):
+    """Items (id, text) in lists of about block_bytes, which the driver holds one at a time."""
+    block, size = [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
         block.append((row[0], row[1]))
-        if len(block) == block_items:
+        size += len(row[1] or "") + 8
+        if size >= block_bytes:
             yield block
-            block = []
-    if block:
-        yield block
+            block, size = [], 0
+    yield block
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_items: int = 20_000, keep: bool = False) -> DataFrame:
+#: Runs of hit words (first word, the word after) and items found, as far as the blocks have been searched.
+_SOFAR = T.StructType([T.StructField("runs", T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType()))])
+MARKS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 8 << 20, keep: bool = False) -> DataFrame:
     """Mark the rows of docs (doc_id, text) that hold passages of benchmark (item_id, text).
 
     Words are runs of ASCII letters and digits and of all non-ASCII characters, with A-Z in lower case. A document
     word inside an occurrence of a window (`window` consecutive words of an item; all its words if it has fewer) is
     hit. Returns doc_id, n_words, n_hit, n_items, items_sha256 (of the found item_ids, sorted as strings and joined
-    by commas) and contaminated (with keep: after all columns of docs, of which those with these names are replaced): some hits, and a twentieth of the words at least. Null, empty and wordless texts have
-    no words and are clean; an item without words matches nothing; repeated rows are marked alike; of items that share
-    an id or a window, each id counts once. With an empty benchmark all rows are clean.
+    by commas) and contaminated: some hits, and a twentieth of the words at least; with keep, after all columns of docs, of
+    which those with these names are replaced (see common.beside to keep them). Null, empty and wordless texts have
+    no words and are clean, texts of any length are searched whole; an item without words matches nothing; repeated rows, and
+    rows without a doc_id, are marked each by itself; of items that share an id or a window, each id counts once. With an empty
+    benchmark all rows are clean; empty docs give no rows.
     """
     spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(Matcher(block, window)) for block in _blocks_of_items(benchmark, block_items)]
-    marks = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    kept = [c for c in docs.columns if c not in marks] if keep else ["doc_id"]
-    parts = shared or [spark.sparkContext.broadcast(Matcher([], window))]
+    kept = [c for c in docs.columns if c.lower() not in MARKS] if keep else ["doc_id"]
+    rows = docs.select(*dict.fromkeys([*kept, "text"])).withColumn("sofar_", F.lit(None).cast(_SOFAR))
+    blocks = _blocks_of_items(benchmark, block_bytes)
+    block = next(blocks)
+    while block is not None:
+        following = next(blocks, None)
+        shared = spark.sparkContext.broadcast(Matcher(block, window))
+        if following:
+            rows = materialize(_searched(rows, shared, kept, last=False), "searched")
+            shared.destroy()
+        else:
+            rows = _searched(rows, shared, kept, last=True)
+        block = following or None
+    return rows
+
+
+def _searched(rows: DataFrame, shared, kept: list[str], last: bool) -> DataFrame:
+    """Rows with what a block's windows add to the places found; after the last block, with the marks."""
+    columns = [c for c in rows.columns if c != "sofar_"]
 
     def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw, offsets = text_buffers(batch_column(batch, "text"))
-        words, hits, counts, digests = [], [], [], []
+        before = batch.column("sofar_").to_pylist()
+        words, hits, counts, digests, sofar = [], [], [], [], []
         for a, b in slices(offsets):
             own, part = offsets[a : b + 1] - offsets[a], raw[offsets[a] : offsets[b]]
-            hit, items = None, defaultdict(set)
-            for one in parts:
-                n_words, found, named, first = one.value.find(part, own)
-                hit = found if hit is None else hit | found
-                for row, ids in named.items():
-                    items[row] |= ids
-            total = np.concatenate([[0], np.cumsum(hit)])
-            words.append(n_words)
-            hits.append(total[first[1:]] - total[first[:-1]])
+            n_words, hit, named, first = shared.value.find(part, own)
             for row in range(b - a):
-                ids = sorted(map(str, items.get(row, ())))
-                counts.append(len(ids))
-                digests.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
-        n, h = np.concatenate(words), np.concatenate(hits)
+                items = set(map(str, named.get(row, ())))
+                found = hit[first[row] : first[row + 1]]
+                if before[a + row] is not None:
+                    items |= set(before[a + row]["items"])
+                    for x, y in np.frombuffer(before[a + row]["runs"], "<i8").reshape(-1, 2).tolist():
+                        found[x:y] = True
+                if last:
+                    ids = sorted(items)
+                    hits.append(int(found.sum()))
+                    counts.append(len(ids))
+                    digests.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
+                else:
+                    edges = np.flatnonzero(np.diff(np.concatenate([[False], found, [False]]))).astype("<i8")
+                    sofar.append({"runs": edges.tobytes(), "items": sorted(items)} if len(edges) else None)
+            words.append(n_words)
+        if not last:
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(sofar, pa.struct([("runs", pa.binary()), ("items", pa.list_(pa.string()))]))], names=[*columns, "sofar_"])
+        n, h = np.concatenate(words), np.array(hits, np.int64)
         return pa.RecordBatch.from_arrays(
             [*(batch.column(c) for c in kept), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array((h > 0) & (20 * h >= n))],
-            names=[*kept, *marks],
+            names=[*kept, *MARKS],
         )
 
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(c, T.LongType()) for c in marks[:3]] + [T.StructField(marks[3], T.StringType()), T.StructField(marks[4], T.BooleanType())])
-    return map_arrow(docs.select(*dict.fromkeys([*kept, "text"])), mark, schema)
+    if not last:
+        return map_arrow(rows, mark, T.StructType([*(rows.schema[c] for c in columns), T.StructField("sofar_", _SOFAR)]))
+    marks = [T.StructField(c, T.LongType()) for c in MARKS[:3]] + [T.StructField(MARKS[3], T.StringType()), T.StructField(MARKS[4], T.BooleanType())]
+    return map_arrow(rows, mark, T.StructType([*(rows.schema[c] for c in kept), *marks]))

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from .common import ALNUM, SPACED, batch_column, map_arrow, materialize, slices, text_buffers, word_spans
 
 MARGINS = ("m_source", "m_lang", "m_topic")
+OWN = (*MARGINS, "m_tokens", "p", "selected")
 #: Topics by form: of a document's bytes, the class of sign that is most over its usual share.
 TOPICS = ("prose", "table", "record", "caps", "signs")
 
@@ -187,8 +188,7 @@ def sample(docs: DataFrame, share: float = 0.5, target: DataFrame | None = None)
     words have p = 0 and are not selected. Rows of one doc_id are selected or not together. Columns with these names
     are replaced.
     """
-    own = ("m_source", "m_lang", "m_topic", "m_tokens", "p", "selected")
-    docs = measured(docs.drop(*own))
+    docs = measured(docs.drop(*OWN))
     cells = materialize(docs.groupBy(*MARGINS).agg(F.sum("m_tokens").alias("tokens")), "cells")
     total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     found = calibrated(weighted(cells, target), share * float(total)).select(*MARGINS, "p")

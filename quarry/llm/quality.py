@@ -5,8 +5,10 @@ minimises the non-negative unbiased risk
 
     pi R_P(+) + max(0, R_U(-) - pi R_P(-))
 
-of trusted positives P and unlabelled documents U, where pi, the share of positives among the unlabelled, is estimated.
-If the bracket falls below 0, a step is taken up its gradient, as in the non-negative estimator's algorithm.
+of trusted positives P and unlabelled documents U. If the bracket falls below 0, a step is taken up its gradient, as in the
+non-negative estimator's algorithm. The class prior pi, the share of positives in U, is estimated from P and U alone: a
+model that tells P from U is fitted on one half of the documents, and of the scores in the other half the best bin is taken, the
+top scores where U has the smallest share of what P has, with a margin for the sizes. Labels of negatives are not used.
 Features are made where the text is; only those of a bounded sample reach the driver, and only the weights are sent out.
 """
 
@@ -81,13 +83,25 @@ def features(column: pa.Array):
         yield np.concatenate([np.sqrt(single / scale), np.sqrt(pair / scale), stats], 1).astype(np.float32)
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4, beta: float = 0.0, in_place: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Weights, and the mean, scale of features, and bias: Adam on the non-negative risk with the logistic loss.
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
-    in_place: both samples (float32) are overwritten by their standardised values, so that they are held once.
-    """
-    if not in_place:
-        positive, unlabelled = positive.astype(np.float32), unlabelled.astype(np.float32)
+
+def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the unbiased risk with the logistic loss: that of positives, and the bracket."""
+    return prior * float(np.logaddexp(0, -zp).mean()), float(np.logaddexp(0, zu).mean()) - prior * float(np.logaddexp(0, zp).mean())
+
+
+def slopes(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """What a step goes down: the risk's slope by each score; where the bracket is below 0, that of minus the bracket."""
+    back, gu = prior * _sigmoid(zp) / len(zp), _sigmoid(zu) / len(zu)
+    if risk(zp, zu, prior)[1] < 0:
+        return back, -gu
+    return prior * (_sigmoid(zp) - 1) / len(zp) - back, gu
+
+
+def standardise(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and scale of the features; both samples (float32) are overwritten, so that they are held once."""
     count = len(positive) + len(unlabelled)
     mean = ((positive.sum(0, np.float64) + unlabelled.sum(0, np.float64)) / count).astype(np.float32)
     square = np.zeros(len(mean))
@@ -98,67 +112,92 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     scale = (np.sqrt(square / count) + 1e-2).astype(np.float32)
     for x in (positive, unlabelled):
         x /= scale
-    p, u = positive, unlabelled
+    return mean, scale
+
+
+def descend(p: np.ndarray, u: np.ndarray, slope, steps: int, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam; slope(zp, zu) gives what a step goes down by each score."""
     w, bias = np.zeros(p.shape[1], np.float32), np.float32(0)
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
-        zp, zu = p @ w + bias, u @ w + bias
-        sp, su = 1 / (1 + np.exp(-np.clip(zp, -50, 50))), 1 / (1 + np.exp(-np.clip(zu, -50, 50)))
-        rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gp, gu = prior * (sp - 1) / len(sp), su / len(su)
-        back = prior * sp / len(sp)
-        if rest >= -beta:
-            cp, cu = gp - back, gu
-        else:  # up the bracket's gradient
-            cp, cu = back, -gu
+        cp, cu = slope(p @ w + bias, u @ w + bias)
         grad = np.append(p.T @ cp.astype(np.float32) + u.T @ cu.astype(np.float32) + decay * w, cp.sum() + cu.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, bias = (w - step[:-1]).astype(np.float32), np.float32(bias - step[-1])
-    return w, mean, scale, float(bias)
+    return w, float(bias)
 
 
-def _rows(sample: DataFrame, most: int) -> np.ndarray:
-    """Features of the first `most` rows of a bounded sample, in the order of doc_id. They travel compressed: most are 0."""
+def best_bin(zp: np.ndarray, zu: np.ndarray, gamma: float = 0.01, delta: float = 0.1) -> float:
+    """Share of positives among the unlabelled, from scores of rows that the scoring model has not seen."""
+    at = np.unique(zp)[::-1]
+    qp = (len(zp) - np.searchsorted(np.sort(zp), at)) / len(zp)
+    qu = (len(zu) - np.searchsorted(np.sort(zu), at)) / len(zu)
+    margin = np.sqrt(np.log(4 / delta) / (2 * len(zu))) + np.sqrt(np.log(4 / delta) / (2 * len(zp)))
+    k = int(np.argmin((qu + (1 + gamma) * margin) / qp))
+    return float(np.clip(qu[k] / qp[k], 0.01, 0.99))
+
+
+def estimate_prior(p: np.ndarray, u: np.ndarray, p_half: np.ndarray, u_half: np.ndarray, steps: int = 100) -> float:
+    """The prior by best_bin; the halves (booleans) say which standardised rows the scoring model is fitted on. 0.5 if a part is empty."""
+    if not all(x.any() for x in (p_half, ~p_half, u_half, ~u_half)):
+        return 0.5
+    w, _ = descend(p[p_half], u[u_half], lambda zp, zu: ((_sigmoid(zp) - 1) / len(zp), _sigmoid(zu) / len(zu)), steps, decay=1e-3)
+    return best_bin(p[~p_half] @ w, u[~u_half] @ w)
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, halves: tuple | None = None, steps: int = 400) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Weights, and the mean and scale of features, and bias. Both samples are overwritten. Without a prior it is estimated,
+    with halves (booleans for the rows of each sample)."""
+    mean, scale = standardise(positive, unlabelled)
+    if prior is None:
+        prior = estimate_prior(positive, unlabelled, *halves)
+    w, bias = descend(positive, unlabelled, lambda zp, zu: slopes(zp, zu, prior), steps)
+    return w, mean, scale, bias
+
+
+def _rows(sample: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features of a sample of `most` rows at most, in the order of doc_id, and half of them by doc_id. They travel
+    compressed: most are 0."""
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = np.concatenate(list(features(batch_column(batch, "text"))))
         return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), pa.array([zlib.compress(r.tobytes(), 1) for r in x], pa.binary())], names=["doc_id", "x"])
 
-    found = sorted(map_arrow(sample.select("doc_id", "text"), f, "doc_id string, x binary").collect())[:most]
+    if sample.select("doc_id").limit(most + 1).count() > most:  # rows that repeat a chosen doc_id; else the hash keeps to the bound
+        sample = sample.limit(most)
+    found = sorted(map_arrow(sample.select("doc_id", "text"), f, "doc_id string, x binary").collect())
     out = np.empty((len(found), N_FEATURES), np.float32)
     for k, r in enumerate(found):
         out[k] = np.frombuffer(zlib.decompress(r["x"]), np.float32)
-    return out
+    return out, np.array([zlib.crc32(f"half {r['doc_id']}".encode()) & 1 == 0 for r in found], bool)
 
 
 def train(docs: DataFrame, labels: DataFrame, eligible, most_positive: int = 4000, most_unlabelled: int = 8000) -> tuple | None:
     """Fit on rows of docs (doc_id, text) for which the column `eligible` is true; labels has doc_id, quality.
 
-    At most most_positive rows labelled 1 and most_unlabelled others are used, chosen by a hash of doc_id. The prior is the
-    share of label 1 among eligible labelled rows. None if there is nothing to learn from.
+    At most most_positive rows labelled 1, and twice most_unlabelled of all rows (most_unlabelled are expected), are used, chosen
+    by a hash of doc_id. None if there is nothing to learn from.
     """
     rank = F.xxhash64(F.col("doc_id").cast("string"))
-    labels = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(eligible)
-    share = labels.agg(F.avg((F.col("quality") == 1).cast("double")).alias("p"), F.count("*").alias("n")).first()
-    if not share["n"]:
-        return None
-    chosen = labels.filter("quality = 1").select("doc_id").distinct().orderBy(rank, "doc_id").limit(most_positive)
+    labels = labels.filter("doc_id IS NOT NULL AND quality = 1").filter(eligible)
+    chosen = labels.select("doc_id").distinct().orderBy(rank, "doc_id").limit(most_positive)
     docs = docs.filter(eligible).filter("doc_id IS NOT NULL")
     total = docs.select("doc_id").count()
     part = min(1.0, most_unlabelled / max(1, total))
-    positive = _rows(docs.join(F.broadcast(chosen), "doc_id", "left_semi"), most_positive)
-    unlabelled = _rows(docs.filter(F.pmod(rank, F.lit(1 << 30)) < F.lit(int(part * (1 << 30)))), 2 * most_unlabelled)
+    positive, p_half = _rows(docs.join(F.broadcast(chosen), "doc_id", "left_semi"), most_positive)
+    unlabelled, u_half = _rows(docs.filter(F.pmod(rank, F.lit(1 << 30)) < F.lit(int(part * (1 << 30)))), 2 * most_unlabelled)
     if not len(positive) or not len(unlabelled):
         return None
-    return fit(positive, unlabelled, min(0.99, max(0.01, float(share["p"]))), in_place=True)
+    return fit(positive, unlabelled, halves=(p_half, u_half))
 
 
 def score(docs: DataFrame, labels: DataFrame, eligible=None, threshold: float = 0.3) -> DataFrame:
     """docs (doc_id, text) and all their columns, with score (0 to 1) and predicted (1 if score >= threshold).
 
-    Null texts are scored as empty ones, repeated rows alike. Without any label all scores are 0.5. Columns of docs named score
-    or predicted are replaced.
+    Null texts are scored as empty ones, repeated rows alike, texts of any length whole. Without a row labelled 1 all scores are
+    0.5; an empty table gives no rows; a null doc_id is scored, and not learned from. Columns of docs named score or predicted
+    are replaced (see common.beside to keep them).
     """
     model = train(docs, labels, F.lit(True) if eligible is None else eligible)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -3,6 +3,8 @@
 import hashlib
 import math
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -83,23 +85,50 @@ def test_windows_count_collisions():
             assert at.tolist() == np.flatnonzero(hits >= 25).tolist()
 
 
-def test_risk_is_non_negative_estimate():
+def test_risk_and_its_clipped_branch():
+    """Against the definition, written out: the risk's parts, and the step's slope by numeric differences."""
     rng = np.random.default_rng(3)
-    good, bad = rng.normal(1, 1, (600, 4)).astype(np.float32), rng.normal(-1, 1, (600, 4)).astype(np.float32)
-    w, mean, scale, bias = quality.fit(good[:300], np.concatenate([good[300:], bad[:100]]), 0.75)
-    z = lambda x: ((x - mean) / scale) @ w + bias
-    assert (z(good) > 0).mean() > 0.93 and (z(bad[100:]) < 0).mean() > 0.8
+    for prior, shift in ((0.3, 0.0), (0.9, 3.0)):
+        zp, zu = rng.normal(1, 1, 7) + shift, rng.normal(-1, 1, 9)
+        first, bracket = quality.risk(zp, zu, prior)
+        assert math.isclose(first, prior * sum(math.log(1 + math.exp(-z)) for z in zp) / 7)
+        assert math.isclose(bracket, sum(math.log(1 + math.exp(z)) for z in zu) / 9 - prior * sum(math.log(1 + math.exp(z)) for z in zp) / 7)
+        assert (bracket < 0) == (shift > 0)
+        down = (lambda a, b: -quality.risk(a, b, prior)[1]) if bracket < 0 else (lambda a, b: sum(quality.risk(a, b, prior)))  # noqa: B023
+        cp, cu = quality.slopes(zp, zu, prior)
+        for z, c, f in ((zp, cp, lambda x: down(x, zu)), (zu, cu, lambda x: down(zp, x))):  # noqa: B023
+            for k in range(len(z)):
+                e = np.zeros(len(z))
+                e[k] = 1e-5
+                assert math.isclose(c[k], (f(z + e) - f(z - e)) / 2e-5, rel_tol=1e-4, abs_tol=1e-8)
+
+
+def test_fit_and_prior_from_positives_and_unlabelled():
+    rng = np.random.default_rng(3)
+    for share in (0.3, 0.75):
+        good, bad = rng.normal(1, 1, (3000, 4)).astype(np.float32), rng.normal(-1, 1, (3000, 4)).astype(np.float32)
+        mixed = np.concatenate([good[1000 : 1000 + int(2000 * share)], bad[: int(2000 * (1 - share))]])
+        p, u = good[:1000].copy(), mixed.copy()
+        quality.standardise(p, u)
+        halves = np.arange(1000) % 2 == 0, np.arange(len(u)) % 2 == 0
+        assert abs(quality.estimate_prior(p, u, *halves) - share) < 0.1
+        w, mean, scale, bias = quality.fit(good[:1000].copy(), mixed.copy(), halves=halves)
+        z = lambda x: ((x - mean) / scale) @ w + bias  # noqa: B023, E731
+        assert (z(good) > 0).mean() > 0.9 and (z(bad[2000:]) < 0).mean() > 0.9
 
 
 def test_quality(spark):
     good = [(i, sentence(i % 40, 30 + i % 50)) for i in range(400)]
     bad = [(1000 + i, " ".join(w + "$$$" for w in sentence(i, 30 + i % 30).upper().split())) for i in range(100)]
     docs = spark.createDataFrame([*good, *bad, (5000, None), (5001, ""), (5002, "x" * 200_000), (None, "no id")], "doc_id long, text string").withColumn("score", F.lit("clash")).repartition(3)
-    labels = spark.createDataFrame([(i, 1, 0) for i, _ in good if i % 2] + [(i, 0, 0) for i, _ in bad if i % 2] + [(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
+    # trusted positives are drawn at random
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in good if zlib.crc32(b"%d" % i) & 1] + [(i, 0, 0) for i, _ in bad if i % 2] + [(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
     got = {r["doc_id"]: r for r in quality.score(docs, labels).collect()}
     assert len(got) == 504 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got.values())
     assert sum(got[i]["predicted"] for i, _ in good) > 390 and sum(got[i]["predicted"] for i, _ in bad) < 5
     assert {r["score"] for r in quality.score(docs, labels.limit(0)).collect()} == {0.5}
+    only = {r["doc_id"]: r["score"] for r in quality.score(docs, labels.filter("quality = 1")).collect()}
+    assert only == {i: r["score"] for i, r in got.items()}  # labels of negatives are not used
     assert quality.score(docs.limit(0), labels).count() == 0
 
 
@@ -285,19 +314,41 @@ def test_edit_regions_are_local():
     assert high - low <= 3 and len(data) < 1500 and tree.text() == text
 
 
-@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001"])
-def test_pipeline(spark, sf):
+def test_pipeline(spark):
     import corpus_pipeline
 
+    sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    before = {r["doc_id"]: r for r in docs.collect()}
+    clash = {"score": "s", "Predicted": "p", "n_words": "w", "contaminated": "c", "m_topic": "t", "p": "q", "selected": "x"}
+    docs = docs.withColumns({c: F.concat(F.lit(v), F.col("doc_id").cast("string")) for c, v in clash.items()})
+    first = docs.filter("doc_id = 7")
+    odd = spark.createDataFrame([(90001, None), (90002, ""), (90003, " \n "), (None, "a row without an id " * 20), (None, None)], "doc_id long, text string")
+    odd = odd.join(first.drop("doc_id", "text").limit(1), how="cross").select(*docs.columns)
+    docs = docs.unionByName(first).unionByName(odd).unionByName(first.withColumn("text", F.concat(F.lit("another text under one id "), F.col("text"))))
+    key = lambda r: tuple(map(str, r))
+    before = Counter(map(key, docs.collect()))
     left = []
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, sf)
-        assert docs.columns == list(next(iter(before.values())).asDict()), name
-        rows = docs.collect()
+        out = stage(spark, docs, sf)
+        assert out.schema == docs.schema, name
+        rows = out.collect()
         left.append(len(rows))
-        assert all(before[r["doc_id"]] == r for r in rows) and len({r["doc_id"] for r in rows}) == len(rows)
+        assert not Counter(map(key, rows)) - before, name  # rows as they were
+        if name == "n-gram Jaccard join":
+            texts = [r["text"] for r in rows if (r["text"] or "").strip()]
+            given = docs.collect()
+            assert sum(r["doc_id"] in (90001, 90002, 90003) or r["doc_id"] is None for r in rows) == sum(r["doc_id"] in (90001, 90002, 90003) or r["doc_id"] is None for r in given)
+            assert len(texts) < len([r for r in given if (r["text"] or "").strip()])
+        assert stage(spark, docs.limit(0), sf).count() == 0
+        before = Counter(map(key, rows))
         docs = spark.createDataFrame(rows, docs.schema)
-    out = corpus_pipeline.run(spark, sf).collect()
-    assert left == sorted(left, reverse=True) and len(out) == left[-1] > 0.3 * len(before)
+    files = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    assert left == sorted(left, reverse=True) and len(files) == left[-1]
+    tokenizer, start = Tokenizer.from_file(queries.tokenizer_path()), 0
+    own = Counter((r["doc_id"], zlib.crc32(np.array([*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4").tobytes())) for r in docs.collect())
+    assert own == Counter((r["doc_id"], r["ids_crc32"]) for r in files)
+    for r in sorted(files, key=lambda r: r["start"]):
+        assert r["start"] == start
+        start += r["n_tokens"]
+    whole = corpus_pipeline.run(spark, sf).collect()
+    assert 0.3 * spark.read.parquet(f"{sf}/documents.parquet").count() < len(whole) <= left[-1] + 10

@@ -27,8 +27,8 @@ def test_decontamination(spark, docs, rows):
     long = rows[13][1]
     items = [(0, " ".join(long.split()[20:60])), (10, "One"), (2, None), (3, ""), (4, "..."), (5, rows[11][1].upper().replace(" ", ",  ")), (5, "two words"), (6, "never seen in any text")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (20_000, 2):
-        got = {r["doc_id"]: r for r in decontaminate.decontaminate(docs, bench, block_items=block).collect()}
+    for block in (1 << 20, 300):
+        got = {r["doc_id"]: r for r in decontaminate.decontaminate(docs, bench, block_bytes=block).collect()}
         assert len(got) == len(rows)
         for doc_id, text in rows:
             words, hit, found = alnum(text), set(), set()
