@@ -204,9 +204,13 @@ def repeated_passages(docs: DataFrame, words: int = 51, group_bytes: int = 16 <<
     def name(left: pa.Table, right: pa.Table) -> pa.Table:
         keys = np.sort(np.concatenate([np.empty(0, np.uint64), *map(ledger.unpack, right.column("keys").to_pylist())]))
         out = []
-        for doc, r, s in zip(*(left.column(c).to_pylist() for c in ("doc_id", "runs", "stretches")), strict=True):
-            runs, s = np.frombuffer(r, "<i8").reshape(-1, 4).copy(), np.frombuffer(s, "<i8").reshape(-1, 4)
-            s = s[np.isin(s[:, 0].view(np.uint64), keys)]
+        spans_of = [np.frombuffer(x, "<i8").reshape(-1, 4) for x in left.column("stretches").to_pylist()]
+        asked = np.concatenate([x[:, 0] for x in spans_of]).view(np.uint64) if spans_of else np.empty(0, np.uint64)
+        twice = np.split(ledger.look_up(keys, np.ones(len(keys), np.int64), asked) > 0, np.cumsum([len(x) for x in spans_of])[:-1])
+        for doc, r, s, both in zip(left.column("doc_id").to_pylist(), left.column("runs").to_pylist(), spans_of, twice, strict=True):
+            if not both.any():
+                continue
+            runs, s = np.frombuffer(r, "<i8").reshape(-1, 4).copy(), s[both]
             np.minimum.at(runs[:, 0], s[:, 3], s[:, 1])
             np.maximum.at(runs[:, 1], s[:, 3], s[:, 2])
             spans: list[dict] = []
@@ -217,8 +221,7 @@ def repeated_passages(docs: DataFrame, words: int = 51, group_bytes: int = 16 <<
                     spans[-1]["end"] = max(end, spans[-1]["end"])
                 else:
                     spans.append({"start": start, "end": end, "first_doc": first})
-            if spans:
-                out.append((doc, len(spans), sum(x["end"] - x["start"] for x in spans), gone, spans))
+            out.append((doc, len(spans), sum(x["end"] - x["start"] for x in spans), gone, spans))
         return _table(out, {"doc_id": pa.int64(), "n_spans": pa.int64(), "repeated_bytes": pa.int64(), "removable_bytes": pa.int64(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("first_doc", pa.int64())]))})
 
     rows = marked.filter("bucket IS NULL").select("g", "doc_id", "runs", "stretches")
