@@ -1,24 +1,78 @@
-"""Integer raster operators: prediction, coding, histograms, runs, wavelet and colour steps. No step moves a sample:
-neighbours are read within a document's array, and only counts are shuffled."""
+"""Integer raster operators: prediction, coding, histograms, runs, wavelet and colour steps, each one pass over whole texts within
+the tasks that read them (see functions.rasters). Only counts are shuffled, by document and symbol."""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.coding import RESIDUAL_SQL, gradient_residuals, hybrid_bits, hybrid_token, zigzag
+from ..functions import rasters
+from ..functions.rasters import Slice, raster_stage
 from ..registry import query
-from ..sources.tables import RASTER_SQL, table, text_raster
+from ..sources.tables import RASTER_SQL, RESIDUAL_SQL, table
+
+DIGEST = "CAST(sum(({}) * (p % 97 + 1)) AS BIGINT)"
+
 
+def _stage(spark, sf_dir, f, fields, keep=("doc_id",)):
+    return raster_stage(table(spark, sf_dir, "documents"), f, fields, keep)
 
-def _tokens(spark, sf_dir):
-    return text_raster(spark, sf_dir).select("doc_id", F.explode(gradient_residuals(F.col("v"))).alias("r")).select("doc_id", zigzag(F.col("r")).alias("u"))
 
+def residuals(s: Slice) -> np.ndarray:
+    """Samples less the clamped gradient of their neighbours."""
+    a = s.neighbours()
+    return s.v - rasters.clamped_gradient(a["n"], a["w"], a["nw"])
 
-@query("w01_gradient_residual", f"WITH {RASTER_SQL}, {RESIDUAL_SQL} SELECT doc_id, count(*) AS n, CAST(sum(abs(r)) AS BIGINT) AS cost, CAST(sum(CASE WHEN r = 0 THEN 1 ELSE 0 END) AS BIGINT) AS exact FROM res GROUP BY doc_id")
+
+@query("w02_gradient_residual", f"WITH {RASTER_SQL}, {RESIDUAL_SQL} SELECT doc_id, count(*) AS n, CAST(sum(abs(r)) AS BIGINT) AS cost, CAST(sum(CASE WHEN r = 0 THEN 1 ELSE 0 END) AS BIGINT) AS exact, {DIGEST.format('r')} AS digest FROM res GROUP BY doc_id")
 def gradient_residual(spark, sf_dir):
-    r = text_raster(spark, sf_dir).select("doc_id", gradient_residuals(F.col("v")).alias("r"))
-    add = lambda f: F.aggregate("r", F.lit(0).cast("long"), lambda a, x: a + f(x))
-    return r.select("doc_id", F.size("r").cast("long").alias("n"), add(lambda x: F.abs(x)).alias("cost"), add(lambda x: F.when(x == 0, 1).otherwise(0)).alias("exact"))
+    def f(s):
+        r = residuals(s)
+        return None, s.size, s.total(np.abs(r)), s.total(r == 0), s.digest(r)
+
+    return _stage(spark, sf_dir, f, "n long, cost long, exact long, digest long")
+
+
+_SEVEN = ("w", "n", "nw", "ne", "ww", "nn", "nee")
+
+
+@query("j13_neighbour_digests", f"WITH {RASTER_SQL}, {RESIDUAL_SQL} SELECT doc_id, {', '.join(f'{DIGEST.format(k)} AS {k}' for k in _SEVEN)} FROM al GROUP BY doc_id")
+def neighbour_digests(spark, sf_dir):
+    """All seven neighbours of every sample, with the rules at the edges, as one digest each."""
+    return _stage(spark, sf_dir, lambda s: (None, *(s.digest(a) for a in (s.neighbours()[k] for k in _SEVEN))), ", ".join(f"{k} long" for k in _SEVEN))
+
+
+_PLANE = "greatest(least(w, n), least(greatest(w, n), w + n - nw))"
+_WIDE = "(6 * n - 2 * nn + 7 * w + ww + nee + 3 * ne + 8)"
+_GUESS = dict(
+    zip(
+        rasters.PREDICTORS,
+        ("0", "w", "n", "(w + n) >> 1", "CASE WHEN abs(n - nw) < abs(w - nw) THEN w ELSE n END", _PLANE, _PLANE, "ne", "nw", "ww", "(w + nw) >> 1", "(n + nw) >> 1", "(n + ne) >> 1", f"CAST(sign({_WIDE}) * (abs({_WIDE}) // 16) AS BIGINT)"),
+        strict=True,
+    )
+)
+_BEST = "CASE " + " ".join(f"WHEN {n} = least({', '.join(rasters.PREDICTORS)}) THEN '{n}'" for n in rasters.PREDICTORS) + " END"
+
+
+@query("w01_predictors", f"WITH {RASTER_SQL}, {RESIDUAL_SQL} SELECT doc_id, {', '.join(f'{DIGEST.format(g)} AS {k}' for k, g in _GUESS.items())} FROM al GROUP BY doc_id")
+def predictor_digests(spark, sf_dir):
+    """The guesses of all fourteen predictors, as one digest each."""
+    f = lambda s: (None, *(s.digest(g) for g in rasters.predictions(s.neighbours()).values()))
+    return _stage(spark, sf_dir, f, ", ".join(f"{k} long" for k in rasters.PREDICTORS))
+
+
+@query("w03_predictor_choice", f"WITH {RASTER_SQL}, {RESIDUAL_SQL}, s AS (SELECT doc_id, {', '.join(f'CAST(sum(abs(v - ({g}))) AS BIGINT) AS {k}' for k, g in _GUESS.items())} FROM al GROUP BY doc_id) SELECT *, {_BEST} AS best FROM s")
+def predictor_choice(spark, sf_dir):
+    """Sum of absolute residuals of every predictor, and the one with the least; of equal ones the first."""
+
+    def f(s):
+        sums = [s.total(np.abs(s.v - g)) for g in rasters.predictions(s.neighbours()).values()]
+        return None, *sums, np.array(rasters.PREDICTORS, object)[np.argmin(np.stack(sums), 0)].astype(str)
+
+    return _stage(spark, sf_dir, f, ", ".join(f"{k} long" for k in rasters.PREDICTORS) + ", best string")
 
 
 _TOKEN = "CASE WHEN u < 16 THEN u ELSE 16 + (CAST(floor(log2(u)) AS BIGINT) - 4) * 4 + CAST(floor(u / pow(2, floor(log2(u)) - 2)) AS BIGINT) % 4 END"
@@ -26,8 +80,22 @@ _TOKEN = "CASE WHEN u < 16 THEN u ELSE 16 + (CAST(floor(log2(u)) AS BIGINT) - 4)
 
 @query("m01_token_histogram", f"WITH {RASTER_SQL}, {RESIDUAL_SQL} SELECT doc_id, CAST({_TOKEN} AS BIGINT) AS token, count(*) AS n, CAST(sum(CASE WHEN u < 16 THEN 0 ELSE floor(log2(u)) - 2 END) AS BIGINT) AS raw_bits FROM tok GROUP BY ALL")
 def token_histogram(spark, sf_dir):
-    u = F.col("u")
-    return _tokens(spark, sf_dir).groupBy("doc_id", hybrid_token(u).alias("token")).agg(F.count("*").alias("n"), F.sum(hybrid_bits(u)).alias("raw_bits"))
+    """Tokens of the residuals of every document, counted where the text is, with the raw bits that follow them."""
+
+    def f(s):
+        of, u, c = s.counts(rasters.zigzag(residuals(s)), 2048)
+        token, bits = rasters.hybrid(u)
+        key = of * 128 + token
+        at, back = np.unique(key, return_inverse=True)
+        return at // 128, at % 128, np.bincount(back, c).astype(np.int64), np.bincount(back, c * bits).astype(np.int64)
+
+    return _stage(spark, sf_dir, f, "token long, n long, raw_bits long")
+
+
+def entropy_sums(s: Slice, of: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct symbols and bits of the ideal code of each raster; 0 bits for a single symbol."""
+    n, k = s.size.astype(float), np.bincount(of, minlength=s.n)
+    return k, np.where(k == 1, 0.0, n * np.log2(n) - np.bincount(of, c * np.log2(c.astype(float)), s.n))
 
 
 @query(
@@ -38,63 +106,267 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, CAST(k AS BIGINT) AS symbols, CASE WHEN k
 )
 def residual_entropy(spark, sf_dir):
     """Entropy of the residual symbols of every document; 0 for a single symbol."""
-    h = _tokens(spark, sf_dir).groupBy("doc_id", "u").agg(F.count("*").alias("c"))
-    t = h.groupBy("doc_id").agg(F.sum("c").alias("n"), F.count("*").alias("symbols"), F.sum(F.col("c") * F.log2(F.col("c").cast("double"))).alias("s"))
-    n = F.col("n").cast("double")
-    return t.select("doc_id", "n", "symbols", F.when(F.col("symbols") == 1, 0.0).otherwise(F.round(n * F.log2(n) - F.col("s"), 3)).alias("bits"))
 
+    def f(s):
+        of, _, c = s.counts(rasters.zigzag(residuals(s)), 2048)
+        return None, s.size, *entropy_sums(s, of, c)
 
-@query("d01_palette", f"WITH {RASTER_SQL}, d AS (SELECT doc_id, v, count(*) AS n FROM px GROUP BY ALL) SELECT doc_id, v, n, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY v) - 1 AS INT) AS idx FROM d")
+    return _stage(spark, sf_dir, f, "n long, symbols long, bits double").withColumn("bits", F.round("bits", 3))
+
+
+@query("g19_palette", f"WITH {RASTER_SQL}, d AS (SELECT doc_id, v, count(*) AS n FROM px GROUP BY ALL) SELECT doc_id, v, n, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY v) - 1 AS INT) AS idx FROM d")
 def palette(spark, sf_dir):
     """Distinct samples of a document, in order, with their index."""
-    from pyspark.sql import Window
 
-    d = text_raster(spark, sf_dir).select("doc_id", F.explode("v").alias("v")).groupBy("doc_id", "v").agg(F.count("*").alias("n"))
-    return d.withColumn("idx", (F.row_number().over(Window.partitionBy("doc_id").orderBy("v")) - 1).cast("int"))
+    def f(s):
+        of, v, c = s.counts(s.v, 256)
+        return of, v, c, np.arange(len(of)) - np.searchsorted(of, of)
+
+    return _stage(spark, sf_dir, f, "v int, n long, idx int")
+
+
+@query("j07_palette_indices", f"WITH {RASTER_SQL}, d AS (SELECT doc_id, p, dense_rank() OVER (PARTITION BY doc_id ORDER BY v) - 1 AS i FROM px) SELECT doc_id, {DIGEST.format('i')} AS digest, CAST(max(i) + 1 AS BIGINT) AS colours FROM d GROUP BY doc_id")
+def palette_indices(spark, sf_dir):
+    """Every sample as its index in the document's sorted palette."""
+
+    def f(s):
+        of, v, _ = s.counts(s.v, 256)
+        index = np.zeros(s.n * 256, np.int64)
+        index[of * 256 + v] = np.arange(len(of)) - np.searchsorted(of, of)
+        return None, s.digest(index[s.row * 256 + s.v]), np.bincount(of, minlength=s.n)
 
+    return _stage(spark, sf_dir, f, "digest long, colours long")
 
-@query("w10_run_lengths", f"WITH {RASTER_SQL}, s AS (SELECT doc_id, CASE WHEN p = 0 OR v <> lag(v) OVER (PARTITION BY doc_id ORDER BY p) THEN 1 ELSE 0 END AS b FROM px) SELECT doc_id, count(*) AS n, CAST(sum(b) AS BIGINT) AS runs FROM s GROUP BY doc_id")
+
+@query("run_lengths", f"WITH {RASTER_SQL}, s AS (SELECT doc_id, CASE WHEN p = 0 OR v <> lag(v) OVER (PARTITION BY doc_id ORDER BY p) THEN 1 ELSE 0 END AS b FROM px) SELECT doc_id, count(*) AS n, CAST(sum(b) AS BIGINT) AS runs FROM s GROUP BY doc_id")
 def run_lengths(spark, sf_dir):
-    v = F.col("v")
-    starts = F.transform(v, lambda x, i: F.when((i == 0) | (x != F.get(v, i - 1)), 1).otherwise(0))
-    return text_raster(spark, sf_dir).select("doc_id", F.size("v").cast("long").alias("n"), F.aggregate(starts, F.lit(0).cast("long"), lambda a, x: a + x).alias("runs"))
+    """Runs of equal samples."""
+    return _stage(spark, sf_dir, lambda s: (None, s.size, s.total((s.place == 0) | (s.v != s.before(1)))), "n long, runs long")
+
+
+_T = "CASE WHEN {b} >= {a} AND {a} >= {n} THEN {d} WHEN {b} <= {a} AND {a} <= {n} THEN {u} ELSE 0 END"
+
+
+def squeeze_sql(line: str, at: str) -> str:
+    """SQL for a squeeze step along lines of px: line names a line, at the position in it."""
+    return f"""l AS (SELECT doc_id, {line} AS line, {at} AS pos, v, lead(v) OVER q AS b, lead(v, 2) OVER q AS c, lead(v, 3) OVER q AS d, lag(v) OVER q AS before FROM px WINDOW q AS (PARTITION BY doc_id, {line} ORDER BY {at})),
+m AS (SELECT doc_id, line, pos // 2 AS k, v - b AS diff, (v + b + CASE WHEN v > b THEN 1 ELSE 0 END) >> 1 AS a, c, d, before, v FROM l WHERE pos % 2 = 0),
+o AS (SELECT doc_id, line, k, diff, coalesce(a, v) AS a, coalesce((c + d + CASE WHEN c > d THEN 1 ELSE 0 END) >> 1, c, a) AS n, coalesce(before, a) AS b FROM m),
+e AS (SELECT *, CAST(trunc((4 * b - 3 * n - a + 6) / 12) AS BIGINT) AS x, CAST(trunc((4 * b - 3 * n - a - 6) / 12) AS BIGINT) AS y FROM o),
+g AS (SELECT *, CASE WHEN x - (x & 1) > 2 * (b - a) THEN 2 * (b - a) + 1 ELSE x END AS x1, CASE WHEN y + (y & 1) < 2 * (b - a) THEN 2 * (b - a) - 1 ELSE y END AS y1 FROM e),
+t AS (SELECT doc_id, line, k, a, diff - CASE WHEN b >= a AND a >= n THEN CASE WHEN x1 + (x1 & 1) > 2 * (a - n) THEN 2 * (a - n) ELSE x1 END
+WHEN b <= a AND a <= n THEN CASE WHEN y1 - (y1 & 1) < 2 * (a - n) THEN 2 * (a - n) ELSE y1 END ELSE 0 END AS r FROM g)
+SELECT doc_id, CAST(sum(a * ((line * 16 + k) % 97 + 1)) AS BIGINT) AS averages, CAST(sum(coalesce(r, 0) * ((line * 16 + k) % 97 + 1)) AS BIGINT) AS residuals, CAST(sum(abs(coalesce(r, 0))) AS BIGINT) AS magnitude FROM t GROUP BY doc_id"""
+
+
+def _squeezed(lines, size, of, number, n):
+    """Digests of a squeeze step by raster: averages, residuals and the residuals' magnitude."""
+    averages, r = rasters.squeeze(lines, size)
+    weight = (number[:, None] * 16 + np.arange(averages.shape[1])) % 97 + 1
+    line_sums = (averages * weight).sum(1), (r * weight[:, : r.shape[1]]).sum(1), np.abs(r).sum(1)
+    return [rasters.total(x, of, n) for x in line_sums]
+
+
+@query("w06_row_squeeze", f"WITH {RASTER_SQL}, {squeeze_sql('p // 32', 'p % 32')}")
+def row_squeeze(spark, sf_dir):
+    """A squeeze step along rows, with tendency: averages and residuals, as digests."""
+
+    def f(s):
+        lines, size, of = rasters.row_lines(s)
+        return None, *_squeezed(lines, size, of, np.arange(len(of)) - np.searchsorted(of, of), s.n)
+
+    return _stage(spark, sf_dir, f, "averages long, residuals long, magnitude long")
+
+
+@query("w07_column_squeeze", f"WITH {RASTER_SQL}, {squeeze_sql('p % 32', 'p // 32')}")
+def column_squeeze(spark, sf_dir):
+    """A squeeze step along columns, with tendency. Each raster is a matrix of its own, as tall as it is."""
+
+    def f(s):
+        out = np.zeros((3, s.n), np.int64)
+        for i in range(s.n):
+            v, tall = s.v[s.start[i] : s.start[i] + s.size[i]], -(-int(s.size[i]) // 32)
+            lines = np.zeros((tall * 32,), np.int64)
+            lines[: len(v)] = v
+            width = min(32, len(v))
+            lines = lines.reshape(tall, 32)[:, :width].T
+            size = np.bincount(np.arange(len(v)) % 32, minlength=width)[:width]
+            lines = np.concatenate([lines, np.zeros((width, tall % 2), np.int64)], 1) if tall % 2 else lines
+            out[:, i] = [x[0] for x in _squeezed(lines, size, np.zeros(width, np.int64), np.arange(width), 1)]
+        return None, *out
+
+    return _stage(spark, sf_dir, f, "averages long, residuals long, magnitude long")
+
+
+@query("w09_unsqueezed", f"WITH {RASTER_SQL} SELECT doc_id, {DIGEST.format('v')} AS digest, count(*) AS n FROM px GROUP BY doc_id")
+def unsqueezed(spark, sf_dir):
+    """Rows taken apart by a squeeze step and put together again: the samples as they were."""
+
+    def f(s):
+        lines, size, _ = rasters.row_lines(s)
+        back = rasters.unsqueeze(*rasters.squeeze(lines, size), size)
+        return None, s.digest(back[:, :32][np.arange(32) < size[:, None]]), s.size
+
+    return _stage(spark, sf_dir, f, "digest long, n long")
+
+
+_TRIPLETS = "t AS (SELECT doc_id, p // 3 AS k, max(CASE WHEN p % 3 = 0 THEN v END) AS r, max(CASE WHEN p % 3 = 1 THEN v END) AS g, max(CASE WHEN p % 3 = 2 THEN v END) AS b FROM px GROUP BY doc_id, p // 3)"
+_ORDERED = "CASE kind // 7 " + " ".join(f"WHEN {i} THEN [{', '.join('rgb'[k] for k in order)}]" for i, order in enumerate(rasters.PERMUTATIONS)) + " END"
+
+
+def _channels(s: Slice):
+    """Three channels of the raster's whole triplets, and the raster and number of each triplet."""
+    n = s.size // 3
+    of = np.repeat(np.arange(s.n), n)
+    number = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    at = s.start[of] + 3 * number
+    return (s.v[at], s.v[at + 1], s.v[at + 2]), of, number
+
+
+@query(
+    "d07_colour_transforms",
+    f"""WITH {RASTER_SQL}, {_TRIPLETS}, q AS (SELECT doc_id, k, kind, {_ORDERED} AS c FROM t, (SELECT range AS kind FROM range(42)) WHERE b IS NOT NULL),
+a AS (SELECT doc_id, k, kind, kind % 7 AS s, c[1] AS a, c[2] AS b, c[3] AS c FROM q),
+z AS (SELECT doc_id, k, kind, CASE WHEN s = 6 THEN (c + ((a - c) >> 1)) + ((b - (c + ((a - c) >> 1))) >> 1) ELSE a END AS x,
+CASE WHEN s = 6 THEN a - c WHEN s // 2 = 1 THEN b - a WHEN s // 2 = 2 THEN b - ((a + c) >> 1) ELSE b END AS y,
+CASE WHEN s = 6 THEN b - (c + ((a - c) >> 1)) WHEN s % 2 = 1 THEN c - a ELSE c END AS w FROM a)
+SELECT doc_id, CAST(kind AS INT) AS kind, CAST(sum(x * (k % 97 + 1)) AS BIGINT) AS first, CAST(sum(y * (k % 97 + 1)) AS BIGINT) AS second, CAST(sum(w * (k % 97 + 1)) AS BIGINT) AS third FROM z GROUP BY doc_id, kind""",
+)
+def colour_transforms(spark, sf_dir):
+    """All 42 reversible colour transforms of a document's sample triplets, as digests of their three channels."""
+
+    def f(s):
+        channels, of, number = _channels(s)
+        weight, some = number % 97 + 1, np.flatnonzero(s.size >= 3)
+        sums = [[rasters.total(x * weight, of, s.n)[some] for x in rasters.colour_forward(channels, kind)] for kind in range(42)]
+        return np.tile(some, 42), np.repeat(np.arange(42), len(some)), *(np.concatenate([x[c] for x in sums]) for c in range(3))
+
+    return _stage(spark, sf_dir, f, "kind int, first long, second long, third long")
+
+
+@query("d08_colour_inverses", f"WITH {RASTER_SQL}, {_TRIPLETS} SELECT doc_id, CAST(sum(r * (k % 97 + 1)) AS BIGINT) * 42 AS r, CAST(sum(g * (k % 97 + 1)) AS BIGINT) * 42 AS g, CAST(sum(b * (k % 97 + 1)) AS BIGINT) * 42 AS b FROM t WHERE b IS NOT NULL GROUP BY doc_id")
+def colour_inverses(spark, sf_dir):
+    """The channels that all 42 inverse transforms give back, summed."""
+
+    def f(s):
+        channels, of, number = _channels(s)
+        back = [rasters.colour_inverse(rasters.colour_forward(channels, kind), kind) for kind in range(42)]
+        some = np.flatnonzero(s.size >= 3)
+        return some, *(rasters.total(sum(x[c] for x in back) * (number % 97 + 1), of, s.n)[some] for c in range(3))
+
+    return _stage(spark, sf_dir, f, "r long, g long, b long")
+
+
+@query("d16_quantised_residuals", f"WITH {RASTER_SQL}, {RESIDUAL_SQL}, q AS (SELECT doc_id, sign(r) * ((abs(r) + 2) // 4) * 4 AS q, r FROM res) SELECT doc_id, CAST(sum(CASE WHEN q = 0 THEN 1 ELSE 0 END) AS BIGINT) AS zeros, CAST(sum(abs(q)) AS BIGINT) AS magnitude, CAST(sum(abs(r - q)) AS BIGINT) AS loss FROM q GROUP BY doc_id")
+def quantised_residuals(spark, sf_dir):
+    """Residuals brought to the nearest multiple of 4, halves away from zero."""
+
+    def f(s):
+        r = residuals(s)
+        q = np.sign(r) * ((np.abs(r) + 2) >> 2) * 4
+        return None, s.total(q == 0), s.total(np.abs(q)), s.total(np.abs(r - q))
+
+    return _stage(spark, sf_dir, f, "zeros long, magnitude long, loss long")
+
+
+@query("p43_box_downsample", f"WITH {RASTER_SQL}, c AS (SELECT doc_id, p // 64 AS y, (p % 32) // 2 AS x, sum(v) AS s, count(*) AS n FROM px GROUP BY ALL) SELECT doc_id, count(*) AS n, CAST(sum(CAST((s + n // 2) // n AS BIGINT) * ((y * 16 + x) % 97 + 1)) AS BIGINT) AS digest FROM c GROUP BY doc_id")
+def box_downsample(spark, sf_dir):
+    """Rounded means of 2 by 2 boxes; boxes at the edge have fewer samples."""
+
+    def f(s):
+        boxes = -(-s.size // 64) * 16
+        of = np.repeat(np.arange(s.n), boxes)
+        first = np.cumsum(boxes) - boxes
+        at = first[s.row] + s.y // 2 * 16 + s.x // 2
+        n, sums = np.bincount(at, minlength=len(of)), np.bincount(at, s.v, len(of)).astype(np.int64)
+        mean = (sums + n // 2) // np.maximum(n, 1)
+        return None, rasters.total(n > 0, of, s.n), rasters.total(mean * ((np.arange(len(of)) - first[of]) % 97 + 1), of, s.n)
+
+    return _stage(spark, sf_dir, f, "n long, digest long")
+
+
+# ---------------------------------------------------------------- histograms
+
+
+def sample_counts(docs, keep=("doc_id",)):
+    """Samples of every document, counted where the text is: the columns kept, v and a."""
+    return raster_stage(docs, lambda s: s.counts(s.v, 256), "v int, a long", keep)
+
+
+def _xlog(x):
+    return x * F.log2(x.cast("double"))
+
+
+@query(
+    "g05_histogram_distance",
+    f"""WITH {RASTER_SQL}, a AS (SELECT doc_id, lang, v, count(*) AS a FROM px JOIN documents USING (doc_id) GROUP BY ALL), b AS (SELECT lang, v, CAST(sum(a) AS BIGINT) AS b FROM a GROUP BY ALL),
+d AS (SELECT DISTINCT doc_id, lang FROM a), j AS (SELECT doc_id, coalesce(a, 0) AS a, b FROM d JOIN b USING (lang) LEFT JOIN a USING (doc_id, lang, v)),
+s AS (SELECT doc_id, sum(a) AS na, sum(b) AS nb, sum((a + b) * log2(a + b)) AS sab, sum(CASE WHEN a > 0 THEN a * log2(a) ELSE 0 END) AS sa, sum(b * log2(b)) AS sb FROM j GROUP BY doc_id)
+SELECT doc_id, round((na + nb) * log2(na + nb) - sab - (na * log2(na) - sa) - (nb * log2(nb) - sb), 2) AS distance FROM s""",
+)
+def histogram_distance(spark, sf_dir):
+    """Bits that one code for a document's and its language's samples costs over two codes. The language has all symbols of
+    the document, so only the document's symbols are joined."""
+    a = sample_counts(table(spark, sf_dir, "documents"), ("doc_id", "lang"))
+    b = a.groupBy("lang", "v").agg(F.sum("a").alias("b"))
+    b = b.withColumn("nb", F.sum("b").over(Window.partitionBy("lang")))
+    ca, cb = F.col("a"), F.col("b")
+    s = a.join(b, ["lang", "v"]).groupBy("doc_id").agg(F.sum("a").alias("na"), F.max("nb").alias("nb"), F.sum(_xlog(ca + cb) - _xlog(cb) - _xlog(ca)).alias("s"))
+    na, nb = F.col("na"), F.col("nb")
+    return s.select("doc_id", F.round(_xlog(na + nb) - _xlog(na) - _xlog(nb) - F.col("s"), 2).alias("distance"))
 
 
 @query(
-    "d08_squeeze_step",
-    f"""WITH {RASTER_SQL}, a AS (SELECT doc_id, p // 2 AS k, v AS a, lead(v) OVER (PARTITION BY doc_id ORDER BY p) AS b, p FROM px)
-SELECT doc_id, count(*) AS n, CAST(sum((a + b + CASE WHEN a > b THEN 1 ELSE 0 END) >> 1) AS BIGINT) AS average, CAST(sum(abs(a - b)) AS BIGINT) AS detail FROM a WHERE p % 2 = 0 AND b IS NOT NULL GROUP BY doc_id""",
+    "g06_cross_entropy",
+    f"""WITH {RASTER_SQL}, a AS (SELECT doc_id, v, count(*) AS a FROM px GROUP BY ALL),
+b AS (SELECT v, count(*) AS b FROM (SELECT unnest(list_transform(string_split(text, ''), lambda x: ascii(x) % 256)) AS v FROM benchmark WHERE length(text) > 0) GROUP BY v)
+SELECT doc_id, CASE WHEN count(*) > count(b) THEN 'Infinity'::DOUBLE ELSE round(sum(a) * log2((SELECT sum(b) FROM b)) - sum(a * log2(b)), 3) END AS bits FROM a LEFT JOIN b USING (v) GROUP BY doc_id""",
 )
-def squeeze_step(spark, sf_dir):
-    """Reversible average and difference of neighbouring pairs; an odd last sample has no pair."""
-    v = F.col("v")
-    n = F.floor(F.size(v) / 2)
-    pairs = F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda k: F.struct(F.get(v, 2 * k).alias("a"), F.get(v, 2 * k + 1).alias("b")))
-    r = text_raster(spark, sf_dir).filter(F.size(v) >= 2).select("doc_id", n.cast("long").alias("n"), pairs.alias("x"))
-    zero = F.lit(0).cast("long")
-    average = F.aggregate("x", zero, lambda s, x: s + F.shiftright(x["a"] + x["b"] + F.when(x["a"] > x["b"], 1).otherwise(0), 1))
-    return r.select("doc_id", "n", average.alias("average"), F.aggregate("x", zero, lambda s, x: s + F.abs(x["a"] - x["b"])).alias("detail"))
+def cross_entropy(spark, sf_dir):
+    """Bits of a document under the code of the benchmark's samples; infinite if that lacks a symbol."""
+    a = sample_counts(table(spark, sf_dir, "documents"))
+    b = sample_counts(table(spark, sf_dir, "benchmark"), ("item_id",)).groupBy("v").agg(F.sum("a").alias("b"))
+    b = b.withColumn("nb", F.sum("b").over(Window.partitionBy(F.lit(0))))  # at most 256 rows
+    bits = F.sum("a") * F.log2(F.max("nb").cast("double")) - F.sum(F.col("a") * F.log2(F.col("b").cast("double")))
+    t = a.join(F.broadcast(b), "v", "left").groupBy("doc_id").agg(F.round(bits, 3).alias("bits"), (F.count("*") > F.count("b")).alias("lacks"))
+    return t.select("doc_id", F.when(F.col("lacks"), F.lit(float("inf"))).otherwise(F.col("bits")).alias("bits"))
 
 
 @query(
-    "d16_colour_transform",
-    f"""WITH {RASTER_SQL}, t AS (SELECT doc_id, p // 3 AS k, max(CASE WHEN p % 3 = 0 THEN v END) AS r, max(CASE WHEN p % 3 = 1 THEN v END) AS g, max(CASE WHEN p % 3 = 2 THEN v END) AS b FROM px GROUP BY doc_id, p // 3),
-c AS (SELECT doc_id, g, r - b AS co, b + ((r - b) >> 1) AS u FROM t WHERE b IS NOT NULL)
-SELECT doc_id, count(*) AS n, CAST(sum(u + ((g - u) >> 1)) AS BIGINT) AS y, CAST(sum(co) AS BIGINT) AS co, CAST(sum(g - u) AS BIGINT) AS cg FROM c GROUP BY doc_id""",
+    "g20_channel_range",
+    f"""WITH {RASTER_SQL}, s AS (SELECT doc_id, count(*) AS n, min(v) AS lo, max(v) AS hi, count(DISTINCT v) AS colours FROM px GROUP BY doc_id)
+SELECT doc_id, n, CAST(lo AS INT) AS lo, CAST(hi AS INT) AS hi, colours, colours * 16 <= n AND colours * 5 <= 4 * (hi - lo + 1) AS compact FROM s""",
 )
-def colour_transform(spark, sf_dir):
-    """Reversible luma and chroma of sample triplets."""
-    v = F.col("v")
-    n = F.floor(F.size(v) / 3)
-    at = lambda k, c: F.get(v, 3 * k + c)
-    parts = F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda k: F.struct(at(k, 1).alias("g"), (at(k, 0) - at(k, 2)).alias("co"), (at(k, 2) + F.shiftright(at(k, 0) - at(k, 2), 1)).alias("u")))
-    r = text_raster(spark, sf_dir).filter(F.size(v) >= 3).select("doc_id", n.cast("long").alias("n"), parts.alias("x"))
-    add = lambda f: F.aggregate("x", F.lit(0).cast("long"), lambda s, x: s + f(x))
-    return r.select("doc_id", "n", add(lambda x: x["u"] + F.shiftright(x["g"] - x["u"], 1)).alias("y"), add(lambda x: x["co"]).alias("co"), add(lambda x: x["g"] - x["u"]).alias("cg"))
+def channel_range(spark, sf_dir):
+    """Range and distinct samples of a document, and whether a palette for them pays."""
+
+    def f(s):
+        of, v, _ = s.counts(s.v, 256)
+        first, last = np.searchsorted(of, np.arange(s.n)), np.searchsorted(of, np.arange(s.n), "right") - 1
+        colours = last - first + 1
+        return None, s.size, v[first], v[last], colours, (colours * 16 <= s.size) & (colours * 5 <= 4 * (v[last] - v[first] + 1))
+
+    return _stage(spark, sf_dir, f, "n long, lo int, hi int, colours long, compact boolean")
 
 
 @query(
-    "v01_block_transform",
+    "g29_equal_mass",
+    f"""WITH {RASTER_SQL}, h AS (SELECT v, count(*) AS c FROM px GROUP BY v), w AS (SELECT v, c, sum(c) OVER (ORDER BY v) AS upto, sum(c) OVER () AS total FROM h)
+SELECT CAST(v AS INT) AS v, CAST(upto * 16 // total AS BIGINT) AS chunk FROM w WHERE upto * 16 // total > (upto - c) * 16 // total AND upto < total""",
+)
+def equal_mass(spark, sf_dir):
+    """Thresholds that cut all samples into sixteen parts of about equal mass, from their histogram of at most 256 rows."""
+    h = sample_counts(table(spark, sf_dir, "documents")).groupBy("v").agg(F.sum("a").alias("c"))
+    one = Window.partitionBy(F.lit(0))
+    h = h.withColumns({"upto": F.sum("c").over(one.orderBy("v")), "total": F.sum("c").over(one)})
+    return h.filter("upto * 16 div total > (upto - c) * 16 div total AND upto < total").select("v", F.expr("upto * 16 div total").alias("chunk"))
+
+
+# ---------------------------------------------------------------- vectors as blocks
+
+
+@query(
+    "v03_block_cosines",
     """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS p FROM embeddings),
 k AS (SELECT range AS k FROM range(8)),
 rows AS (SELECT vec_id, p // 8 AS y, k, sum(x * cos(pi() * (2 * (p % 8) + 1) * k / 16)) AS s FROM e, k GROUP BY ALL),
@@ -103,8 +375,6 @@ SELECT vec_id, CAST(w * 8 + u AS INT) AS k, round(s * (CASE WHEN u = 0 THEN sqrt
 )
 def block_transform(spark, sf_dir):
     """8 by 8 cosine transform of every vector of 64, by rows and then columns, within the array."""
-    import math
-
     basis = [[math.cos(math.pi * (2 * x + 1) * k / 16) * (math.sqrt(0.125) if k == 0 else 0.5) for x in range(8)] for k in range(8)]
     e = table(spark, sf_dir, "embeddings").filter(F.size("embedding") == 64).select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
     dot = lambda a, k, at: sum((F.get(a, F.lit(at(x))) * F.lit(basis[k][x]) for x in range(1, 8)), F.get(a, F.lit(at(0))) * F.lit(basis[k][0]))
@@ -113,7 +383,7 @@ def block_transform(spark, sf_dir):
     return e.select("vec_id", F.col("k").cast("int").alias("k"), (F.round("c", 5) + 0.0).alias("c"))
 
 
-@query("v20_quantised_nonzeros", "WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT vec_id, label, CAST(sum(CASE WHEN round(x * 16) <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS nonzeros, CAST(sum(abs(round(x * 16))) AS BIGINT) AS magnitude, round(CASE WHEN sum((x - round(x * 16) / 16) ** 2) = 0 THEN 100 ELSE 10 * log10(1 / avg((x - round(x * 16) / 16) ** 2)) END, 5) AS psnr FROM e GROUP BY ALL")
+@query("g15_quantised_psnr", "WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT vec_id, label, CAST(sum(CASE WHEN round(x * 16) <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS nonzeros, CAST(sum(abs(round(x * 16))) AS BIGINT) AS magnitude, round(CASE WHEN sum((x - round(x * 16) / 16) ** 2) = 0 THEN 100 ELSE 10 * log10(1 / avg((x - round(x * 16) / 16) ** 2)) END, 5) AS psnr FROM e GROUP BY ALL")
 def quantised_nonzeros(spark, sf_dir):
     """Quantise every coefficient to sixteenths: non-zero ones, their magnitude, and the quality that is left (100 if exact)."""
     x = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.explode(F.col("embedding").cast("array<double>")).alias("x"))

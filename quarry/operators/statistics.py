@@ -241,20 +241,6 @@ def isotonic_curves(spark, sf_dir):
     return c.groupBy("image").applyInPandas(fit, "image long, distance double, fit double")
 
 
-@query(
-    "x12_reserved_peak",
-    """WITH d AS (SELECT user_id, ts, event_id, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END * CAST(floor(value) AS BIGINT) AS d FROM events),
-r AS (SELECT user_id, sum(d) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM d)
-SELECT user_id, CAST(max(r) AS BIGINT) AS peak, CAST(arg_max(d, 0) AS BIGINT) AS kept FROM (SELECT r.user_id, r.r, (SELECT sum(d.d) FROM d WHERE d.user_id = r.user_id) AS d FROM r) GROUP BY user_id""",
-)
-def reserved_peak(spark, sf_dir):
-    """Highest running total of a user's reservations (even events) and releases (odd ones), and what is kept at the end."""
-    d = F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1) * F.floor("value").cast("long")
-    running = F.sum("d").over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    r = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", d.alias("d")).withColumn("r", running)
-    return r.groupBy("user_id").agg(F.max("r").alias("peak"), F.sum("d").alias("kept"))
-
-
 @query("a26_cell_summary", f"WITH {CELLS_SQL} SELECT image, effort, count(*) AS n, min(distance) AS least, round(median(bytes), 4) AS median_bytes, round(median(butter), 6) AS median_butter FROM cells GROUP BY ALL")
 def cell_summary(spark, sf_dir):
     return cells(spark, sf_dir).groupBy("image", "effort").agg(F.count("*").alias("n"), F.min("distance").alias("least"), F.round(F.median("bytes"), 4).alias("median_bytes"), F.round(F.median("butter"), 6).alias("median_butter"))
@@ -273,14 +259,3 @@ def prepared_columns(spark, sf_dir):
     band = F.when(F.col("distance") < 1, "low").when(F.col("distance") < 2.5, "mid").otherwise("high")
     log = lambda x, least: F.round(F.log(F.greatest(F.col(x), F.lit(least))), 8)
     return c.join(m, ["image", "effort"]).select("l_orderkey", "image", "effort", band.alias("band"), log("bytes", 1).alias("log_bytes"), log("butter", 0.000001).alias("log_butter"), F.round(F.col("bytes") - F.col("mean"), 6).alias("residual"))
-
-
-_MODE = "CASE WHEN w * h <= 2048 * 2048 THEN 'whole' ELSE 'buffered' END"
-
-
-@query("x04_stream_mode", f"SELECT p_partkey, {_MODE} AS lossless, CASE WHEN loops > 0 THEN 'whole' ELSE {_MODE} END AS lossy FROM (SELECT p_partkey, CAST(p_size AS BIGINT) * 128 AS w, CAST(floor(p_retailprice) AS BIGINT) AS h, p_partkey % 3 AS loops FROM part)")
-def stream_mode(spark, sf_dir):
-    """Whether a picture is held whole or passed on by parts: small ones are held, and those with refinement loops."""
-    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size").cast("long") * 128).alias("w"), F.floor("p_retailprice").alias("h"), (F.col("p_partkey") % 3).alias("loops"))
-    small = F.when(F.col("w") * F.col("h") <= 2048 * 2048, "whole").otherwise("buffered")
-    return p.select("p_partkey", small.alias("lossless"), F.when(F.col("loops") > 0, "whole").otherwise(small).alias("lossy"))

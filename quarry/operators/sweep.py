@@ -16,17 +16,18 @@ def merge_keep_last(spark, sf_dir):
     return cells(spark, sf_dir).groupBy("image", "effort", "strategy").agg(last).select("image", "effort", "strategy", "x.distance", "x.params", "x.bytes")
 
 
-@query("u04_missing_cells", f"WITH {CELLS_SQL}, i AS (SELECT DISTINCT image FROM cells), s AS (SELECT DISTINCT strategy FROM cells), e AS (SELECT DISTINCT effort FROM cells) SELECT image, effort, strategy FROM i, e, s EXCEPT SELECT image, effort, strategy FROM cells")
+@query("missing_cells", f"WITH {CELLS_SQL}, i AS (SELECT DISTINCT image FROM cells), s AS (SELECT DISTINCT strategy FROM cells), e AS (SELECT DISTINCT effort FROM cells) SELECT image, effort, strategy FROM i, e, s EXCEPT SELECT image, effort, strategy FROM cells")
 def missing_cells(spark, sf_dir):
     """Planned cells without a result: every image by the grid of efforts and strategies, less the cells that exist."""
     have = cells(spark, sf_dir).select("image", "effort", "strategy").distinct()
-    plan = have.select("image").distinct().select("image", F.explode(F.sequence(F.lit(3), F.lit(9))).alias("effort"))
-    plan = plan.select("image", "effort", F.explode(F.array(*map(F.lit, "ANR"))).alias("strategy"))
+    grid = have.agg(F.collect_set("effort").alias("efforts"), F.collect_set("strategy").alias("strategies"))  # one row: the levels of two factors
+    plan = have.select("image").distinct().crossJoin(F.broadcast(grid)).select("image", "strategies", F.explode("efforts").alias("effort"))
+    plan = plan.select("image", "effort", F.explode("strategies").alias("strategy"))
     return plan.join(have, ["image", "effort", "strategy"], "left_anti")
 
 
 @query(
-    "a03_pareto_front",
+    "u07_pareto_front",
     f"""WITH {CELLS_SQL} SELECT DISTINCT image, bytes, quality FROM cells a WHERE NOT EXISTS (SELECT 1 FROM cells b WHERE b.image = a.image
 AND b.bytes <= a.bytes AND b.quality >= a.quality AND (b.bytes < a.bytes OR b.quality > a.quality))""",
 )
@@ -40,19 +41,19 @@ def pareto_front(spark, sf_dir):
 _BAND = "CASE WHEN distance < 1 THEN 'low' WHEN distance < 2.5 THEN 'mid' ELSE 'high' END"
 
 
-@query("a16_band_summary", f"WITH {CELLS_SQL} SELECT {_BAND} AS band, strategy, count(*) AS n, round(median(bytes), 4) AS median_bytes, round(quantile_cont(butter, 0.9), 6) AS p90_butter, round(regr_slope(quality, distance), 8) AS slope, round(corr(bytes, distance), 8) AS r FROM cells GROUP BY ALL")
+@query("g38_band_summary", f"WITH {CELLS_SQL} SELECT {_BAND} AS band, strategy, count(*) AS n, round(median(bytes), 4) AS median_bytes, round(quantile_cont(butter, 0.9), 6) AS p90_butter, round(regr_slope(quality, distance), 8) AS slope, round(corr(bytes, distance), 8) AS r FROM cells GROUP BY ALL")
 def band_summary(spark, sf_dir):
     band = F.when(F.col("distance") < 1, "low").when(F.col("distance") < 2.5, "mid").otherwise("high")
     return cells(spark, sf_dir).groupBy(band.alias("band"), "strategy").agg(F.count("*").alias("n"), F.round(F.median("bytes"), 4).alias("median_bytes"), F.round(F.percentile("butter", 0.9), 6).alias("p90_butter"), F.round(F.regr_slope("quality", "distance"), 8).alias("slope"), F.round(F.corr("bytes", "distance"), 8).alias("r"))
 
 
-@query("g35_totals_rollup", f"WITH {CELLS_SQL} SELECT coalesce(strategy, 'TOTAL') AS strategy, coalesce(CAST(effort AS VARCHAR), 'TOTAL') AS effort, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM cells GROUP BY ROLLUP (strategy, effort)")
+@query("cell_totals", f"WITH {CELLS_SQL} SELECT coalesce(strategy, 'TOTAL') AS strategy, coalesce(CAST(effort AS VARCHAR), 'TOTAL') AS effort, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM cells GROUP BY ROLLUP (strategy, effort)")
 def totals_rollup(spark, sf_dir):
     t = cells(spark, sf_dir).rollup("strategy", "effort").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     return t.select(F.coalesce("strategy", F.lit("TOTAL")).alias("strategy"), F.coalesce(F.col("effort").cast("string"), F.lit("TOTAL")).alias("effort"), "n", "bytes")
 
 
-@query("g38_strategy_pivot", f"WITH {CELLS_SQL} SELECT effort, CAST(sum(bytes) FILTER (strategy = 'A') AS BIGINT) AS a, CAST(sum(bytes) FILTER (strategy = 'N') AS BIGINT) AS n, CAST(sum(bytes) FILTER (strategy = 'R') AS BIGINT) AS r FROM cells GROUP BY effort")
+@query("g36_strategy_pivot", f"WITH {CELLS_SQL} SELECT effort, CAST(sum(bytes) FILTER (strategy = 'A') AS BIGINT) AS a, CAST(sum(bytes) FILTER (strategy = 'N') AS BIGINT) AS n, CAST(sum(bytes) FILTER (strategy = 'R') AS BIGINT) AS r FROM cells GROUP BY effort")
 def strategy_pivot(spark, sf_dir):
     return cells(spark, sf_dir).groupBy("effort").pivot("strategy", ["A", "N", "R"]).agg(F.sum("bytes")).select("effort", F.col("A").alias("a"), F.col("N").alias("n"), F.col("R").alias("r"))
 
@@ -89,7 +90,7 @@ def matched_interpolation(spark, sf_dir):
     return c.select("image", F.round(F.when(F.col("distance") == 2.0, F.col("b")).otherwise(between), 4).alias("bytes_at_2"))
 
 
-@query("w18_monotonicity", f"WITH {CELLS_SQL}, c AS (SELECT image, distance, min(bytes) AS b FROM cells GROUP BY ALL), l AS (SELECT image, b - lag(b) OVER (PARTITION BY image ORDER BY distance) AS s FROM c) SELECT image, count(s) AS steps, CAST(sum(CASE WHEN s > 0 THEN 1 ELSE 0 END) AS BIGINT) AS rises, max(s) AS worst FROM l GROUP BY image")
+@query("curve_rises", f"WITH {CELLS_SQL}, c AS (SELECT image, distance, min(bytes) AS b FROM cells GROUP BY ALL), l AS (SELECT image, b - lag(b) OVER (PARTITION BY image ORDER BY distance) AS s FROM c) SELECT image, count(s) AS steps, CAST(sum(CASE WHEN s > 0 THEN 1 ELSE 0 END) AS BIGINT) AS rises, max(s) AS worst FROM l GROUP BY image")
 def monotonicity(spark, sf_dir):
     """Steps of a curve of bytes by distance that rise where they should fall."""
     c = cells(spark, sf_dir).groupBy("image", "distance").agg(F.min("bytes").alias("b"))
@@ -106,7 +107,7 @@ def residualise(spark, sf_dir):
     return c.join(m, "image").groupBy("strategy", "effort").agg(F.round(F.avg(r), 8).alias("mean_residual"), F.round(F.var_pop(r), 8).alias("variance"))
 
 
-@query("t01_top_images", f"WITH {CELLS_SQL} SELECT strategy, image, bytes FROM (SELECT strategy, image, CAST(sum(bytes) AS BIGINT) AS bytes, row_number() OVER (PARTITION BY strategy ORDER BY sum(bytes) DESC, image) AS k FROM cells GROUP BY strategy, image) WHERE k <= 10")
+@query("t02_top_images", f"WITH {CELLS_SQL} SELECT strategy, image, bytes FROM (SELECT strategy, image, CAST(sum(bytes) AS BIGINT) AS bytes, row_number() OVER (PARTITION BY strategy ORDER BY sum(bytes) DESC, image) AS k FROM cells GROUP BY strategy, image) WHERE k <= 10")
 def top_images(spark, sf_dir):
     """The ten images of each strategy with most bytes: a report of the top ten."""
     t = cells(spark, sf_dir).groupBy("strategy", "image").agg(F.sum("bytes").alias("bytes"))
@@ -114,14 +115,14 @@ def top_images(spark, sf_dir):
     return t.withColumn("k", k).filter("k <= 10").select("strategy", "image", "bytes")
 
 
-@query("x05_frame_clock", "SELECT user_id, event_id, CAST(sum(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS ticks, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS frame FROM events")
+@query("x08_frame_clock", "SELECT user_id, event_id, CAST(sum(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS ticks, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS frame FROM events")
 def frame_clock(spark, sf_dir):
     """Frames of a sequence with the running sum of their durations."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return table(spark, sf_dir, "events").select("user_id", "event_id", F.sum(F.floor("value").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("ticks"), F.row_number().over(w).alias("frame"))
 
 
-@query("s13_json_parameters", "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@query("event_parameters", "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def json_parameters(spark, sf_dir):
     k = F.get_json_object("props", "$.k").cast("long").alias("k")
     return table(spark, sf_dir, "events").groupBy(k, "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))

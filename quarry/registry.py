@@ -24,5 +24,5 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from .operators import blocks, histograms, raster, statistics, sweep  # noqa: E402, F401
+from .operators import blocks, raster, statistics, strings, sweep  # noqa: E402, F401
 from .streaming import ingest  # noqa: E402, F401

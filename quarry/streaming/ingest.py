@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..registry import query
 
 
-@query("x01_stream_totals", "SELECT user_id, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@query("stream_totals", "SELECT user_id, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_totals(spark, sf_dir):
     """Totals kept by a stream over the events; the complete state after all files have been read."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
