@@ -3,6 +3,10 @@ nothing but sums over all blocks is shuffled."""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -20,6 +24,21 @@ def _blocks(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").filter(F.size("embedding") == 64).select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
 
 
+def block_stage(spark, sf_dir, f, name: str):
+    """f over batches of blocks (an array of n by 8 by 8): n by k values, as rows vec_id, k, `name` rounded to 6 digits. Arrow
+    hands over whole batches, so that a block costs no call."""
+
+    def run(batches):
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, 8, 8)
+            out = f(x).reshape(len(x), -1)
+            k = np.tile(np.arange(out.shape[1], dtype=np.int32), len(x))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(np.repeat(np.arange(len(x)), out.shape[1]))), pa.array(k), pa.array(out.ravel())], names=["vec_id", "k", name])
+
+    whole = _blocks(spark, sf_dir).filter(F.forall("x", lambda v: v.isNotNull())).select("vec_id", "x")
+    return whole.mapInArrow(run, f"vec_id long, k int, {name} double").withColumn(name, F.round(name, 6) + 0.0)
+
+
 def _around(i):
     """The nine samples around sample i of x, row by row, the edge repeated."""
     inside = lambda k: F.least(F.greatest(k, F.lit(0)), F.lit(7))
@@ -30,17 +49,10 @@ def _sum(array, f=lambda x: x):
     return F.aggregate(array, F.lit(0.0), lambda s, x: s + f(x))
 
 
-@query("g11_block_norm", f"WITH {BLOCK_SQL} SELECT vec_id, round(pow(avg(pow(least(abs(x), 1), 16)), 0.0625), 7) AS norm FROM e GROUP BY vec_id")
+@query("g11_block_norm", f"WITH {BLOCK_SQL} SELECT vec_id, round(pow(avg(pow(least(greatest(x * 300, 0), 100), 16)), 0.0625), 5) AS norm FROM e GROUP BY vec_id")
 def block_norm(spark, sf_dir):
-    """The 16-norm of a block's errors, each at most 1."""
-    return _blocks(spark, sf_dir).select("vec_id", F.round(F.pow(_sum("x", lambda x: F.pow(F.least(F.abs(x), F.lit(1.0)), F.lit(16.0))) / 64, F.lit(0.0625)), 7).alias("norm"))
-
-
-@query("l10_masked_loss", f"WITH {BLOCK_SQL} SELECT vec_id, round(pow(sum(pow(abs(x) / (1 + p), 8)), 0.125), 7) AS loss FROM e GROUP BY vec_id")
-def masked_loss(spark, sf_dir):
-    """The 8-norm of a block's errors under a mask that falls with the position."""
-    masked = F.transform("x", lambda x, i: F.pow(F.abs(x) / (1 + i), F.lit(8.0)))
-    return _blocks(spark, sf_dir).select("vec_id", F.round(F.pow(_sum(masked), F.lit(0.125)), 7).alias("loss"))
+    """The 16-norm of a block's distances, each kept between 0 and 100."""
+    return _blocks(spark, sf_dir).select("vec_id", F.round(F.pow(_sum("x", lambda x: F.pow(F.least(F.greatest(x * 300, F.lit(0.0)), F.lit(100.0)), F.lit(16.0))) / 64, F.lit(0.0625)), 5).alias("norm"))
 
 
 @query(
@@ -66,12 +78,34 @@ def pyramid_energy(spark, sf_dir):
     return b.select("vec_id", F.round(_sum("y", lambda y: y * y), 6).alias("base"), F.round(_sum(detail), 6).alias("detail"))
 
 
-@query("w15_erosion", f"WITH {BLOCK_SQL}, {AROUND_SQL}, s AS (SELECT vec_id, p, list_sum(list_sort(list(y))[1:4]) AS s FROM around GROUP BY ALL) SELECT vec_id, round(min(s) / 4, 6) AS least, round(sum(s) / 4, 6) AS total FROM s GROUP BY vec_id")
+# Weights of the four smallest of nine samples, what a distance below 2 adds to them, and what they sum to.
+EROSION_BASE, EROSION_ADD, EROSION_TOTAL = (0.125, 0.1, 0.09, 0.06), (0.0, -0.1, -0.09, -0.06), 0.29959705784054957
+
+
+def erosion_weights(distance: float) -> list[float]:
+    near = (2.0 - distance) * 0.5 if distance < 2 else 0.0
+    own = [b + near * a for b, a in zip(EROSION_BASE, EROSION_ADD, strict=True)]
+    return [w * EROSION_TOTAL / sum(own) for w in own]
+
+
+_WEIGHTS = erosion_weights(1.0)
+
+
+@query(
+    "w15_fuzzy_erosion",
+    f"""WITH {BLOCK_SQL}, {AROUND_SQL}, s AS (SELECT vec_id, p, list_sort(list(y)) AS l FROM around GROUP BY ALL),
+c AS (SELECT vec_id, p // 16 * 4 + p % 8 // 2 AS k, sum({' + '.join(f'l[{i + 1}] * {w!r}::DOUBLE' for i, w in enumerate(_WEIGHTS))}) AS v FROM s GROUP BY ALL) SELECT vec_id, CAST(k AS INT) AS k, round(v, 6) AS v FROM c""",
+)
 def erosion(spark, sf_dir):
-    """Mean of the four smallest of the nine samples around each sample: the least of a block, and their sum."""
-    eroded = F.transform("x", lambda x, i: _sum(F.slice(F.array_sort(F.array(*_around(i))), 1, 4)))
-    s = _blocks(spark, sf_dir).select("vec_id", eroded.alias("s"))
-    return s.select("vec_id", F.round(F.array_min("s") / 4, 6).alias("least"), F.round(_sum("s") / 4, 6).alias("total"))
+    """The four smallest of the nine samples around each sample, weighted for a distance of 1, and summed over 2 by 2 samples."""
+
+    def f(x):
+        wide = np.pad(x, ((0, 0), (1, 1), (1, 1)), mode="edge")
+        nine = np.stack([wide[:, dy : dy + 8, dx : dx + 8] for dy in range(3) for dx in range(3)], -1)
+        smallest = (np.sort(nine, -1)[..., :4] * _WEIGHTS).sum(-1)
+        return smallest.reshape(-1, 4, 2, 4, 2).sum((2, 4))
+
+    return block_stage(spark, sf_dir, f, "v")
 
 
 @query(
@@ -87,6 +121,20 @@ def plane_stats(spark, sf_dir):
     return _blocks(spark, sf_dir).select("vec_id", most(lambda x, i: F.abs(x)).alias("peak"), across.alias("across"), down.alias("down"))
 
 
+@query(
+    "v03_block_cosines",
+    """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS p FROM embeddings),
+k AS (SELECT range AS k FROM range(8)),
+rows AS (SELECT vec_id, p // 8 AS y, k, sum(x * cos(pi() * (2 * (p % 8) + 1) * k / 16)) AS s FROM e, k GROUP BY ALL),
+cols AS (SELECT vec_id, r.k AS u, k.k AS w, sum(s * cos(pi() * (2 * y + 1) * k.k / 16)) AS s FROM rows r, k GROUP BY ALL)
+SELECT vec_id, CAST(w * 8 + u AS INT) AS k, round(s * (CASE WHEN u = 0 THEN sqrt(0.125) ELSE 0.5 END) * (CASE WHEN w = 0 THEN sqrt(0.125) ELSE 0.5 END), 6) + 0.0 AS c FROM cols""",
+)
+def block_transform(spark, sf_dir):
+    """8 by 8 cosine transform of every vector of 64, by rows and columns."""
+    basis = np.array([[math.cos(math.pi * (2 * x + 1) * k / 16) * (math.sqrt(0.125) if k == 0 else 0.5) for x in range(8)] for k in range(8)])
+    return block_stage(spark, sf_dir, lambda x: basis @ x @ basis.T, "c")
+
+
 def _zeros(spark, sf_dir):
     x = _blocks(spark, sf_dir).select("label", F.posexplode("x").alias("p", "x"))
     return x.groupBy("label", "p").agg(F.count("*").alias("n"), F.count_if(F.round(F.col("x") * 8) == 0).alias("zeros"))

@@ -3,8 +3,6 @@ the tasks that read them (see functions.rasters). Only counts are shuffled, by d
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -365,24 +363,6 @@ def equal_mass(spark, sf_dir):
 # ---------------------------------------------------------------- vectors as blocks
 
 
-@query(
-    "v03_block_cosines",
-    """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS p FROM embeddings),
-k AS (SELECT range AS k FROM range(8)),
-rows AS (SELECT vec_id, p // 8 AS y, k, sum(x * cos(pi() * (2 * (p % 8) + 1) * k / 16)) AS s FROM e, k GROUP BY ALL),
-cols AS (SELECT vec_id, r.k AS u, k.k AS w, sum(s * cos(pi() * (2 * y + 1) * k.k / 16)) AS s FROM rows r, k GROUP BY ALL)
-SELECT vec_id, CAST(w * 8 + u AS INT) AS k, round(s * (CASE WHEN u = 0 THEN sqrt(0.125) ELSE 0.5 END) * (CASE WHEN w = 0 THEN sqrt(0.125) ELSE 0.5 END), 5) + 0.0 AS c FROM cols""",
-)
-def block_transform(spark, sf_dir):
-    """8 by 8 cosine transform of every vector of 64, by rows and then columns, within the array."""
-    basis = [[math.cos(math.pi * (2 * x + 1) * k / 16) * (math.sqrt(0.125) if k == 0 else 0.5) for x in range(8)] for k in range(8)]
-    e = table(spark, sf_dir, "embeddings").filter(F.size("embedding") == 64).select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    dot = lambda a, k, at: sum((F.get(a, F.lit(at(x))) * F.lit(basis[k][x]) for x in range(1, 8)), F.get(a, F.lit(at(0))) * F.lit(basis[k][0]))
-    e = e.select("vec_id", F.array(*[dot(F.col("x"), u, lambda x, y=y: y * 8 + x) for y in range(8) for u in range(8)]).alias("r"))
-    e = e.select("vec_id", F.posexplode(F.array(*[dot(F.col("r"), w, lambda y, u=u: y * 8 + u) for w in range(8) for u in range(8)])).alias("k", "c"))
-    return e.select("vec_id", F.col("k").cast("int").alias("k"), (F.round("c", 5) + 0.0).alias("c"))
-
-
 @query("g15_quantised_psnr", "WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT vec_id, label, CAST(sum(CASE WHEN round(x * 16) <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS nonzeros, CAST(sum(abs(round(x * 16))) AS BIGINT) AS magnitude, round(CASE WHEN sum((x - round(x * 16) / 16) ** 2) = 0 THEN 100 ELSE 10 * log10(1 / avg((x - round(x * 16) / 16) ** 2)) END, 5) AS psnr FROM e GROUP BY ALL")
 def quantised_nonzeros(spark, sf_dir):
     """Quantise every coefficient to sixteenths: non-zero ones, their magnitude, and the quality that is left (100 if exact)."""

@@ -3,6 +3,9 @@ of a group and not its rows."""
 
 from __future__ import annotations
 
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -24,6 +27,7 @@ def average_rank(spark, sf_dir):
     return _counted(spark, sf_dir, "quality").select("image", "quality", "n", (F.col("upto") - n + (n + 1) / 2).alias("rank"))
 
 
+_SIGNED = "CASE WHEN n < 3 OR n * sxx = sx * sx OR n * syy = sy * sy THEN NULL ELSE round((n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)), 8) END"
 _RHO = "CASE WHEN n < 3 OR n * sxx = sx * sx OR n * syy = sy * sy THEN 0.0 ELSE round(abs(n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)), 8) END"
 
 
@@ -32,10 +36,11 @@ _RHO = "CASE WHEN n < 3 OR n * sxx = sx * sx OR n * syy = sy * sy THEN 0.0 ELSE
     f"""WITH {CELLS_SQL}, r AS (SELECT image, rank() OVER (PARTITION BY image ORDER BY bytes) + (count(*) OVER (PARTITION BY image, bytes) - 1) / 2.0 AS x,
 rank() OVER (PARTITION BY image ORDER BY quality) + (count(*) OVER (PARTITION BY image, quality) - 1) / 2.0 AS y FROM cells),
 s AS (SELECT image, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(y * y) AS syy, sum(x * y) AS sxy FROM r GROUP BY image)
-SELECT image, n, {_RHO} AS rho FROM s""",
+SELECT image, n, {_RHO} AS rho, {_SIGNED} AS signed FROM s""",
 )
 def rank_correlation(spark, sf_dir):
-    """Absolute rank correlation of bytes and quality for each image; 0 for fewer than three cells or a constant side."""
+    """Rank correlation of bytes and quality for each image: absolute, 0 for fewer than three cells or a constant side; and signed,
+    null there."""
     c = cells(spark, sf_dir).groupBy("image", "bytes", "quality").agg(F.count("*").alias("n"))
 
     def rank(value):
@@ -47,7 +52,7 @@ def rank_correlation(spark, sf_dir):
     n, x, y = F.col("n"), F.col("x"), F.col("y")
     sums = {"sx": x, "sy": y, "sxx": x * x, "syy": y * y, "sxy": x * y}
     s = r.groupBy("image").agg(F.sum("n").alias("n"), *[F.sum(n * v).alias(k) for k, v in sums.items()])
-    return s.select("image", "n", F.expr(_RHO).cast("double").alias("rho"))
+    return s.select("image", "n", F.expr(_RHO).cast("double").alias("rho"), F.expr(_SIGNED).cast("double").alias("signed"))
 
 
 @query("g41_linear_fit", f"WITH {CELLS_SQL} SELECT strategy, effort, count(*) AS n, round(regr_slope(bytes, distance), 4) AS slope, round(regr_intercept(bytes, distance), 3) AS intercept, round(regr_r2(bytes, distance), 8) AS r2 FROM cells GROUP BY ALL")
@@ -166,17 +171,17 @@ def dominated_cells(spark, sf_dir):
 
 @query(
     "a22_threshold_curve",
-    f"""WITH {CELLS_SQL}, t AS (SELECT unnest([0.9, 0.92, 0.94, 0.96, 0.98]::DOUBLE[]) AS t)
-SELECT t, count(*) FILTER (quality / 100 >= t) AS blocked, count(*) FILTER (quality / 100 >= t AND strategy = 'R') AS bad,
+    f"""WITH {CELLS_SQL}, t AS (SELECT unnest([0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.95]::DOUBLE[]) AS t)
+SELECT t, count(*) FILTER (quality / 100 >= t) AS blocked, count(*) FILTER (quality / 100 >= t AND strategy = 'R') AS bad, count(*) FILTER (quality / 100 >= t AND strategy <> 'R') AS good,
 round(count(*) FILTER (quality / 100 >= t AND strategy = 'R') / nullif(count(*) FILTER (quality / 100 >= t), 0), 8) AS precision FROM cells, t GROUP BY t""",
 )
 def threshold_curve(spark, sf_dir):
     """What each threshold of a score blocks. Cells are counted by score before they meet the thresholds."""
     c = cells(spark, sf_dir).groupBy("quality").agg(F.count("*").alias("n"), F.count_if(F.col("strategy") == "R").alias("bad"))
-    c = c.select((F.col("quality") / 100).alias("s"), "n", "bad", F.explode(F.array(*map(F.lit, (0.9, 0.92, 0.94, 0.96, 0.98)))).alias("t"))
+    c = c.select((F.col("quality") / 100).alias("s"), "n", "bad", F.explode(F.array(*map(F.lit, (0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.95)))).alias("t"))
     over = lambda x: F.sum(F.when(F.col("s") >= F.col("t"), F.col(x)).otherwise(0))
     c = c.groupBy("t").agg(over("n").alias("blocked"), over("bad").alias("bad"))
-    return c.select("t", "blocked", "bad", F.round(F.try_divide("bad", "blocked"), 8).alias("precision"))
+    return c.select("t", "blocked", "bad", (F.col("blocked") - F.col("bad")).alias("good"), F.round(F.try_divide("bad", "blocked"), 8).alias("precision"))
 
 
 @query(
@@ -211,34 +216,46 @@ def mutual_information(spark, sf_dir):
     return level.agg(F.round(F.sum(sign * F.col("n") * F.log2("n")) / total, 9).alias("bits"))
 
 
-def isotonic(y):
-    """Non-decreasing least-squares fit: neighbours that fall are pooled."""
-    pools = []
-    for x in y:
-        pools.append([x, 1])
+def pooled(rows):
+    """Non-decreasing least-squares fit of (image, distance, y) in that order: neighbours of an image that fall are pooled. Yields
+    the rows of each image with their fit."""
+    image, held, pools = None, [], []
+
+    def fits():
+        return zip([image] * len(held), held, [s / n for s, n in pools for _ in range(n)], strict=True)
+
+    for i, x, y in rows:
+        if i != image:
+            yield from fits()
+            image, held, pools = i, [], []
+        held.append(x)
+        pools.append([y, 1])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             s, n = pools.pop()
             pools[-1] = [pools[-1][0] + s, pools[-1][1] + n]
-    return [s / n for s, n in pools for _ in range(n)]
+    yield from fits()
 
 
 @query(
     "w17_isotonic",
-    f"""WITH {CELLS_SQL}, c AS (SELECT image, distance, CAST(floor(avg(bytes)) AS BIGINT) AS y FROM cells GROUP BY ALL),
+    f"""WITH {CELLS_SQL}, c AS (SELECT image, distance, avg(bytes) AS y FROM cells GROUP BY ALL),
 k AS (SELECT *, row_number() OVER w AS i, sum(y) OVER w AS upto FROM c WINDOW w AS (PARTITION BY image ORDER BY distance)),
 seg AS (SELECT a.image, a.i AS a, b.i AS b, (b.upto - a.upto + a.y) / (b.i - a.i + 1) AS m FROM k a JOIN k b ON a.image = b.image AND a.i <= b.i),
 low AS (SELECT k.image, k.distance, seg.a, min(m) AS m FROM k JOIN seg ON k.image = seg.image AND seg.a <= k.i AND seg.b >= k.i GROUP BY ALL)
-SELECT image, distance, max(m) AS fit FROM low GROUP BY ALL""",
+SELECT image, distance, round(max(m), 7) AS fit FROM low GROUP BY ALL""",
 )
 def isotonic_curves(spark, sf_dir):
-    """Non-decreasing fit of each image's mean whole bytes by distance; a group holds an image's distinct distances."""
-    c = cells(spark, sf_dir).groupBy("image", "distance").agg(F.floor(F.avg("bytes")).alias("y"))
+    """Non-decreasing fit of each image's mean bytes by distance. Partitions hold whole images, in order, and are read as a
+    stream, so that a worker holds the distinct distances of one image."""
+    c = cells(spark, sf_dir).groupBy("image", "distance").agg(F.avg("bytes").alias("y"))
 
-    def fit(frame):
-        frame = frame.sort_values("distance")
-        return frame.assign(fit=isotonic(frame["y"].tolist()))[["image", "distance", "fit"]]
+    def run(batches):
+        rows = (r for batch in batches for r in zip(*(x.to_pylist() for x in batch.columns), strict=True))
+        found = pooled(rows)
+        while own := list(islice(found, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*own, strict=True)], names=["image", "distance", "fit"])
 
-    return c.groupBy("image").applyInPandas(fit, "image long, distance double, fit double")
+    return c.repartition("image").sortWithinPartitions("image", "distance").mapInArrow(run, "image long, distance double, fit double").withColumn("fit", F.round("fit", 7))
 
 
 @query("a26_cell_summary", f"WITH {CELLS_SQL} SELECT image, effort, count(*) AS n, min(distance) AS least, round(median(bytes), 4) AS median_bytes, round(median(butter), 6) AS median_butter FROM cells GROUP BY ALL")

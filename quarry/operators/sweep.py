@@ -58,38 +58,6 @@ def strategy_pivot(spark, sf_dir):
     return cells(spark, sf_dir).groupBy("effort").pivot("strategy", ["A", "N", "R"]).agg(F.sum("bytes")).select("effort", F.col("A").alias("a"), F.col("N").alias("n"), F.col("R").alias("r"))
 
 
-@query(
-    "j05_scoreboard",
-    f"""WITH {CELLS_SQL}, s AS (SELECT image, effort, strategy, avg(bytes) AS b, avg(quality) AS q FROM cells GROUP BY ALL),
-j AS (SELECT x.image, x.effort, 100 * (x.b - y.b) / y.b AS d, x.q - y.q AS q FROM s x JOIN s y ON x.image = y.image AND x.effort = y.effort AND x.strategy = 'A' AND y.strategy = 'R')
-SELECT image, effort, round(d, 6) AS bytes_pct, CASE WHEN abs(d) <= 1 AND abs(q) <= 0.5 THEN 'TIE' WHEN d <= 1 AND q >= -0.5 THEN 'WIN' WHEN d >= -1 AND q <= 0.5 THEN 'LOSE' ELSE 'MIXED' END AS verdict FROM j""",
-)
-def scoreboard(spark, sf_dir):
-    """Strategy A against R on the same image and effort, with tie bands of 1 % of bytes and half a quality point. Both sides
-    are conditional averages of one aggregation, so nothing is joined."""
-    side = lambda c, s: F.avg(F.when(F.col("strategy") == s, F.col(c)))
-    t = cells(spark, sf_dir).groupBy("image", "effort").agg(side("bytes", "A").alias("xb"), side("bytes", "R").alias("yb"), side("quality", "A").alias("xq"), side("quality", "R").alias("yq"))
-    t = t.filter("xb IS NOT NULL AND yb IS NOT NULL").select("image", "effort", (100 * (F.col("xb") - F.col("yb")) / F.col("yb")).alias("d"), (F.col("xq") - F.col("yq")).alias("q"))
-    d, q = F.col("d"), F.col("q")
-    verdict = F.when((F.abs(d) <= 1) & (F.abs(q) <= 0.5), "TIE").when((d <= 1) & (q >= -0.5), "WIN").when((d >= -1) & (q <= 0.5), "LOSE").otherwise("MIXED")
-    return t.select("image", "effort", F.round(d, 6).alias("bytes_pct"), verdict.alias("verdict"))
-
-
-@query(
-    "j12_matched_interpolation",
-    f"""WITH {CELLS_SQL}, c AS (SELECT image, distance, avg(bytes) AS b FROM cells GROUP BY ALL),
-l AS (SELECT image, distance, b, lead(distance) OVER w AS d2, lead(b) OVER w AS b2 FROM c WINDOW w AS (PARTITION BY image ORDER BY distance))
-SELECT image, round(CASE WHEN distance = 2.0 THEN b ELSE b + (b2 - b) * (2.0 - distance) / (d2 - distance) END, 4) AS bytes_at_2 FROM l WHERE distance <= 2.0 AND (d2 > 2.0 OR (d2 IS NULL AND distance = 2.0))""",
-)
-def matched_interpolation(spark, sf_dir):
-    """Bytes of each image's curve at distance 2, between its two neighbours; images that do not reach it have no row."""
-    c = cells(spark, sf_dir).groupBy("image", "distance").agg(F.avg("bytes").alias("b"))
-    w = Window.partitionBy("image").orderBy("distance")
-    c = c.withColumns({"d2": F.lead("distance").over(w), "b2": F.lead("b").over(w)}).filter("distance <= 2.0 AND (d2 > 2.0 OR (d2 IS NULL AND distance = 2.0))")
-    between = F.col("b") + (F.col("b2") - F.col("b")) * (F.lit(2.0) - F.col("distance")) / (F.col("d2") - F.col("distance"))
-    return c.select("image", F.round(F.when(F.col("distance") == 2.0, F.col("b")).otherwise(between), 4).alias("bytes_at_2"))
-
-
 @query("curve_rises", f"WITH {CELLS_SQL}, c AS (SELECT image, distance, min(bytes) AS b FROM cells GROUP BY ALL), l AS (SELECT image, b - lag(b) OVER (PARTITION BY image ORDER BY distance) AS s FROM c) SELECT image, count(s) AS steps, CAST(sum(CASE WHEN s > 0 THEN 1 ELSE 0 END) AS BIGINT) AS rises, max(s) AS worst FROM l GROUP BY image")
 def monotonicity(spark, sf_dir):
     """Steps of a curve of bytes by distance that rise where they should fall."""
