@@ -229,7 +229,7 @@ def test_passages(spark, rows):
     word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
     text = lambda n, size: " ".join(word(max(1, int(rng.integers(size - 1, size + 2)))) for _ in range(n))
     texts, planted = [], []
-    for k in range(240):
+    for k in range(120):
         size = 1 + k % 6
         passage = text(51 if k % 3 else 30 + k % 9, size)
         for _ in range(2):
@@ -240,7 +240,7 @@ def test_passages(spark, rows):
     inner = text(70, 4)
     texts.append(f"{inner} {text(9, 4)} {inner}")  # repeats itself alone
     frame = spark.createDataFrame([*enumerate(texts), (None, copy)], "doc_id long, text string").withColumn("g", F.lit("clash")).repartition(3)
-    got = {r["doc_id"]: r for r in chunking.repeated_passages(frame, group_bytes=20_000).collect()}
+    got = {r["doc_id"]: r for r in chunking.repeated_passages(frame, group_bytes=60_000).collect()}
     assert repeated_words(texts, 51) <= set(got) <= repeated_words(texts, 40)
     for i, passage, long in planted:
         data = texts[i].encode()
@@ -249,9 +249,9 @@ def test_passages(spark, rows):
         if long:
             assert any(s["start"] <= at + 64 and s["end"] >= at + len(passage) - 64 and s["start"] >= at - 40 and s["end"] <= at + len(passage) + 40 for s in got[i]["spans"])
     whole = len(copy.encode())
-    assert got[480]["removable_bytes"] <= 40  # a chunk of few bytes may be an older row's too
-    assert got[481]["removable_bytes"] == got[481]["repeated_bytes"] == whole
-    assert [tuple(x) for x in got[481]["spans"]] == [(0, whole, 480)]
+    assert got[240]["removable_bytes"] <= 40  # a chunk of few bytes may be an older row's too
+    assert got[241]["removable_bytes"] == got[241]["repeated_bytes"] == whole
+    assert [tuple(x) for x in got[241]["spans"]] == [(0, whole, 240)]
     assert chunking.repeated_passages(frame.limit(0)).count() == 0
     other = {r["doc_id"]: r for r in chunking.repeated_passages(frame, group_bytes=1 << 20).collect()}
     assert got == other
