@@ -78,6 +78,12 @@ def clamped_gradient(n: np.ndarray, w: np.ndarray, nw: np.ndarray) -> np.ndarray
     return np.clip(n + w - nw, np.minimum(n, w), np.maximum(n, w))
 
 
+def residuals(s: Slice) -> np.ndarray:
+    """Samples less the clamped gradient of their neighbours."""
+    a = s.neighbours()
+    return s.v - clamped_gradient(a["n"], a["w"], a["nw"])
+
+
 #: Names of the predictors, in the order that a choice among equals follows.
 PREDICTORS = ("zero", "west", "north", "average0", "choose", "gradient", "weighted", "north_east", "north_west", "west_west", "average1", "average2", "average3", "average4")
 

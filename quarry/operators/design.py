@@ -42,7 +42,7 @@ def _levels(r):
 _DEFAULTS, _GRID = [r[1] for r in KNOB_RANGES], [_levels(r) for r in KNOB_RANGES]
 
 
-@query("a03_pair_grids", f"SELECT i, j, a, b, [CASE WHEN k = i THEN {_GRID}[k + 1][a + 1] WHEN k = j THEN {_GRID}[k + 1][b + 1] ELSE {_DEFAULTS}[k + 1] END for k in range(6)]::VARCHAR AS knobs FROM range(6) x(i), range(6) y(j), range(5) p(a), range(5) q(b) WHERE i < j")
+@query("a03_pair_grids", f"SELECT i, j, a, b, [CASE WHEN k = i THEN {_GRID}[k + 1][a + 1] WHEN k = j THEN {_GRID}[k + 1][b + 1] ELSE {_DEFAULTS}[k + 1] END for k in range(6)]::DOUBLE[]::VARCHAR AS knobs FROM range(6) x(i), range(6) y(j), range(5) p(a), range(5) q(b) WHERE i < j")
 def pair_grids(spark, sf_dir):
     """Grids of five by five levels for each pair of parameters, the others at their defaults."""
     pairs = spark.range(6).select(F.col("id").alias("i"), F.explode(_numbers(6)).alias("j")).filter("i < j")
@@ -52,6 +52,26 @@ def pair_grids(spark, sf_dir):
     return grid.select("i", "j", "a", "b", F.concat(F.lit("["), F.concat_ws(", ", *[x.cast("string") for x in knobs]), F.lit("]")).alias("knobs"))
 
 
+# The ridges of the first two parameters, and how much of a setting beyond 1 the others take.
+RIDGES, BEYOND = (192.86, 108.15), (0.7, 0.8)
+
+
+def _beyond(x: str, share: float) -> str:
+    return f"(CASE WHEN {x} <= 1 THEN {x} ELSE 1 + ({x} - 1) * {share} END)"
+
+
+_KNOB_SQL = {f"p{k + 1}": f"least(greatest({d} + ({r} - {d}) * (1 - 2 * s), greatest(0, 2 * {d} - {r})), {r})" for k, (d, r) in enumerate(zip((85.0, 95.0), RIDGES, strict=True))}
+_KNOB_SQL |= {"p3": f"4 * {_beyond('a', BEYOND[0])}", "p4": "d", "p5": f"2 * {_beyond('k', BEYOND[1])}", "p6": f"greatest(0, 3 * {_beyond('a', BEYOND[0])} + 3 * {_beyond('k', BEYOND[1])} - 3)"}
+_KNOB_SQL = [f"round(CAST({v} AS DOUBLE), 7) AS {k}" for k, v in _KNOB_SQL.items()]
+_SETTINGS = ["least(greatest(l_discount * 12 - 0.1, 0), 1) AS s", "least(greatest(l_tax * 30 - 0.2, 0), 2) AS a", "least(greatest(l_quantity / 20, 0.5), 2) AS k", "least(greatest(l_quantity / 8, 1.5), 5.5) AS d"]
+
+
+@query("f24_knob_settings", f"SELECT l_orderkey, l_linenumber, {', '.join(_KNOB_SQL)} FROM (SELECT l_orderkey, l_linenumber, {', '.join(_SETTINGS)} FROM lineitem)")
+def knob_settings(spark, sf_dir):
+    """Four settings, kept in their ranges, as the six parameters that they stand for."""
+    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", *_SETTINGS).selectExpr("l_orderkey", "l_linenumber", *_KNOB_SQL)
+
+
 @query("u05_combinations", f"WITH {CELLS_SQL} SELECT count(DISTINCT effort) * count(DISTINCT strategy) * count(DISTINCT params) AS cells FROM cells")
 def combinations(spark, sf_dir):
     """Number of cells of the full design: the product of the axes' sizes."""

@@ -8,23 +8,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rasters
-from ..functions.rasters import Slice, raster_stage
+from ..functions.rasters import Slice, raster_stage, residuals
 from ..registry import query
-from ..sources.tables import RASTER_SQL, RESIDUAL_SQL, table
-
-DIGEST = "CAST(sum(({}) * (p % 97 + 1)) AS BIGINT)"
+from ..sources.tables import DIGEST, RASTER_SQL, RESIDUAL_SQL, table
 
 
 def _stage(spark, sf_dir, f, fields, keep=("doc_id",)):
     return raster_stage(table(spark, sf_dir, "documents"), f, fields, keep)
 
 
-def residuals(s: Slice) -> np.ndarray:
-    """Samples less the clamped gradient of their neighbours."""
-    a = s.neighbours()
-    return s.v - rasters.clamped_gradient(a["n"], a["w"], a["nw"])
-
-
 @query("w02_gradient_residual", f"WITH {RASTER_SQL}, {RESIDUAL_SQL} SELECT doc_id, count(*) AS n, CAST(sum(abs(r)) AS BIGINT) AS cost, CAST(sum(CASE WHEN r = 0 THEN 1 ELSE 0 END) AS BIGINT) AS exact, {DIGEST.format('r')} AS digest FROM res GROUP BY doc_id")
 def gradient_residual(spark, sf_dir):
     def f(s):

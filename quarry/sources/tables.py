@@ -18,6 +18,10 @@ RASTER_SQL = """px AS (SELECT doc_id, unnest(range(len(c))) AS p, unnest(list_tr
 FROM (SELECT doc_id, string_split(text, '') AS c FROM documents WHERE length(text) > 0))"""
 
 
+#: SQL for a digest of a text's samples: their sum, weighted by position.
+DIGEST = "CAST(sum(({}) * (p % 97 + 1)) AS BIGINT)"
+
+
 #: SQL for the neighbours of every sample (al), the residuals of the clamped gradient (res) and their unsigned form (tok).
 RESIDUAL_SQL = """nb AS (SELECT doc_id, p, v, lag(v, 1) OVER w AS l1, lag(v, 2) OVER w AS l2, lag(v, 30) OVER w AS l30, lag(v, 31) OVER w AS l31,
 lag(v, 32) OVER w AS l32, lag(v, 33) OVER w AS l33, lag(v, 64) OVER w AS l64 FROM px WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
