@@ -29,7 +29,7 @@ projection("m10_cosine", "Cosine; exact, where an approximation is accepted.", y
 # Coefficients of the error function's approximation, from the constant on.
 ERF = (1.0, 2.77820801e-01, 2.32120216e-01, 2.05260015e-04, 7.77394369e-02)
 _SUM = " + ".join(f"{c!r}D * pow(abs(u * 6D - 3D), {k}D)".replace("e-0", "E-") for k, c in enumerate(ERF))
-projection("m09_error_function", "Error function: 1 less the eighth-power-like decay of a polynomial, odd in its argument.", y=f"sign(u * 6D - 3D) * (1D - pow({_SUM}, -8D))")
+projection("m09_error_function", "Error function: 1 less a polynomial to the power -4, odd in its argument; within 6e-4.", y=f"sign(u * 6D - 3D) * (1D - pow({_SUM}, -4D))")
 
 # What a quantised 1 stands for by channel, and the share of 1 / q taken off larger values.
 ONES, RECIPROCAL = (1.0 - 0.05465007330715401, 1.0 - 0.07005449891748593, 1.0 - 0.049935103337343655), 0.145
