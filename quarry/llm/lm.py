@@ -1,16 +1,18 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Every bigram of the training documents is counted (see ledger). A bigram seen c times is a member of levels
+Every bigram and trigram of the training documents is counted (see ledger). One seen c times is a member of levels
 1..1+floor(log2 c); each level is a Bloom filter of its own, cut into segments by hash. Scoring probes the levels in
-turn until one misses, which gives the quantised count; the bigram probability is that count's share smoothed by the
-unigram probability, which comes from exact counts:
+turn until one misses, which gives the quantised count. Each order is smoothed by the next lower one, which weighs as
+much as `prior` sightings of the context (Dirichlet smoothing), down to the words, whose counts are exact:
 
-    P(w|v) = weight c(v,w) / c(v) + (1 - weight) P(w),   P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))
+    P(w|u,v) = (c(u,v,w) + prior[1] P(w|v)) / (c(u,v) + prior[1])
+    P(w|v) = (c(v,w) + prior[0] P(w)) / (c(v) + prior[0]),   P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))
 
-and P(w|v) = P(w) after a word that the training documents lack.
+With exact counts these add up to 1 for any context, and unseen contexts leave the lower order as it is. A count is at
+most that of any shorter n-gram in it.
 
-A text's first word follows the end token. The filter is never gathered: each bucket of the key space builds its own
-segment, with every level, and answers the bigrams that the groups ask of it there. An answer is the levels (or, of
+A text's first word follows the end token and has no trigram. The filter is never gathered: each bucket of the key
+space builds its own segment, with every level, and answers the n-grams that the groups ask of it there. An answer is the levels (or, of
 words, the counts) alone, in the order of the group's keys, which the group knows.
 """
 
@@ -26,9 +28,9 @@ from . import ledger
 from .common import SPACED, batch_column, materialize, mix64, slices, span_hashes, text_buffers, word_spans
 
 END = np.uint64(0x5851F42D4C957F2D)
-#: 40 bits of a pair's hash do for a lossy filter.
-PAIR_BITS = np.uint64(0xFFFFFFFFFF000000)
-_PAIR = np.uint64(0x2545F4914F6CDD1D)
+#: 40 bits of an n-gram's hash do for a lossy filter: 3 billion distinct n-grams give 0.3 % of unseen ones a count.
+GRAM_BITS = np.uint64(0xFFFFFFFFFF000000)
+_PAIR, _TRIPLE = np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD6E8FEB86659FD93)
 
 
 def token_hashes(column: pa.Array):
@@ -50,6 +52,15 @@ def pair_hashes(tokens: np.ndarray) -> np.ndarray:
     return mix64(before * _PAIR + tokens)
 
 
+def gram_hashes(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the pairs that end in each token, those of the triples, and which tokens have one: all but a text's first."""
+    pairs = pair_hashes(tokens)
+    triples = mix64(np.concatenate([[END], pairs[:-1]]) * _TRIPLE + tokens)
+    inner = np.ones(len(tokens), bool)
+    inner[np.cumsum(sizes) - sizes] = False
+    return pairs & GRAM_BITS, triples & GRAM_BITS, inner
+
+
 class LevelFilter:
     """Segmented Bloom filters, one for each level; keys are 64-bit hashes, the top bits name the segment."""
 
@@ -104,12 +115,12 @@ def level_count(q: np.ndarray) -> np.ndarray:
 def score(
     docs: DataFrame,
     train_column: str,
-    weight: float = 0.15,
+    prior: tuple[float, float] = (1000.0, 16.0),
     group_bytes: int = 8 << 20,
-    bits_per_key: int = 8,
+    bits_per_key: int = 16,
     probes: int = 4,
 ) -> DataFrame:
-    """Score each row of docs (doc_id, text, boolean train_column) with a bigram model learnt from the training rows.
+    """Score each row of docs (doc_id, text, boolean train_column) with a trigram model learnt from the training rows.
 
     Words are the runs of bytes other than ASCII white space, with A-Z in lower case. Null and empty texts have the
     end token alone. Repeated rows are counted and scored as often as they occur. With no training rows every word
@@ -122,24 +133,25 @@ def score(
     def ask(table: pa.Table) -> pa.Table:
         g = table.column("g")[0].as_py()
         train = np.asarray(batch_column(table, "train").to_numpy(zero_copy_only=False), bool)
-        words, known, pairs = [], [], []
+        words, known, grams, shown = [], [], [], []
         for a, tokens, sizes in token_hashes(batch_column(table, "text")):
             own = np.repeat(train[a : a + len(sizes)], sizes)
             words.append(tokens)
             known.append(own)
-            pairs.append(pair_hashes(tokens) & PAIR_BITS)
+            pairs, triples, inner = gram_hashes(tokens, sizes)
+            grams += [pairs, triples[inner]]
+            shown += [own, own[inner]]
         if words:
-            known = np.concatenate(known).astype(np.int64)
-            keys, counts = ledger.unique_counts(np.concatenate(words), known)
+            keys, counts = ledger.unique_counts(np.concatenate(words), np.concatenate(known).astype(np.int64))
             rows = ledger.bucket_rows(g, keys, counts, n)
-            keys, counts = ledger.unique_counts(np.concatenate(pairs), known)
+            keys, counts = ledger.unique_counts(np.concatenate(grams), np.concatenate(shown).astype(np.int64))
             rows += ledger.bucket_rows(g, keys, counts, n, n)
         else:
             rows = []
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)] if rows else [pa.array([], t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.binary())], names=["bucket", "g", "keys", "counts"])
 
     def settle(table: pa.Table) -> pa.Table:
-        """A unigram bucket answers its groups; a bigram bucket makes its segment of the filter, and answers from it."""
+        """A unigram bucket answers its groups; an n-gram bucket makes its segment of the filter, and answers from it."""
         bucket = table.column("bucket")[0].as_py()
         groups, lists, keys, totals = ledger.added(table)
         if bucket < n:
@@ -168,8 +180,12 @@ def score(
         right = right.sort_by("bucket")
         told = {k: b"".join(right.filter(pc.equal(right["kind"], k)).column("counts").to_pylist()) for k in (0, 1)}
         totals, reached = np.frombuffer(told[0], "<i8"), np.frombuffer(told[1], np.int8)
-        asked = [(np.unique(tokens), np.unique(pair_hashes(tokens) & PAIR_BITS)) for _, tokens, _ in token_hashes(batch_column(left, "text"))]
-        keys, pair_keys = (np.unique(np.concatenate(x)) for x in zip(*asked, strict=True)) if asked else (np.empty(0, np.uint64),) * 2
+        keys, gram_keys = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+        for _, tokens, sizes in token_hashes(batch_column(left, "text")):
+            pairs, triples, inner = gram_hashes(tokens, sizes)
+            keys.append(np.unique(tokens))
+            gram_keys += [np.unique(pairs), np.unique(triples[inner])]
+        keys, gram_keys = np.unique(np.concatenate(keys)), np.unique(np.concatenate(gram_keys))
         log_base = np.log10(n_train + 0.1 * (n_distinct + 1))
         n_tokens, n_known, base, full = [], [], [], []
         ends = int(ledger.look_up(keys, totals, np.array([END]))[0])
@@ -177,11 +193,13 @@ def score(
             c = ledger.look_up(keys, totals, tokens)
             first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             logs = np.log10(c + 0.1) - log_base
-            pairs = pair_hashes(tokens) & PAIR_BITS
+            pairs, triples, inner = gram_hashes(tokens, sizes)
             context = np.concatenate([[ends], c[:-1]]).astype(np.float64)
-            both = np.minimum(level_count(reached[np.searchsorted(pair_keys, pairs)]), np.minimum(context, c))
-            plain = 10.0**logs
-            probability = np.where(context > 0, weight * both / np.maximum(context, 1) + (1 - weight) * plain, plain)
+            both = np.minimum(level_count(reached[np.searchsorted(gram_keys, pairs)]), np.minimum(context, c))
+            probability = (both + prior[0] * 10.0**logs) / (context + prior[0])
+            before = np.concatenate([[0.0], both[:-1]])[inner]
+            three = np.minimum(level_count(reached[np.searchsorted(gram_keys, triples[inner])]), np.minimum(before, both[inner]))
+            probability[inner] = (three + prior[1] * probability[inner]) / (before + prior[1])
             n_tokens.append(sizes)
             n_known.append(np.add.reduceat((c > 0).astype(np.int64), first))
             base.append(np.add.reduceat(logs, first))

@@ -216,7 +216,7 @@ def test_lm(docs, rows):
 
 
 def test_lm_keeps_every_level_without_gathering(docs, rows, monkeypatch):
-    """Bigrams seen once count too, and the filter is neither broadcast nor collected."""
+    """Bigrams and trigrams seen once count too, and the filter is neither broadcast nor collected."""
     from pyspark import SparkContext
     from pyspark.sql import DataFrame
     from pyspark.sql import functions as F
@@ -230,20 +230,29 @@ def test_lm_keeps_every_level_without_gathering(docs, rows, monkeypatch):
         m.setattr(DataFrame, "collect", gathered)
         scored = lm.score(train, "train", group_bytes=4000)
     got = {r["doc_id"]: r["score"] for r in scored.collect()}
-    words, pairs = Counter(), Counter()
+    words, pairs, triples = Counter(), Counter(), Counter()
     for i, t in rows:
         tokens = [None, *spaced(t), None]
         if i % 3:
             words.update(tokens[1:])
             pairs.update(zip(tokens[:-1], tokens[1:], strict=True))
+            triples.update(zip(tokens[:-2], tokens[1:-1], tokens[2:], strict=True))
+
+    def quantised(c):
+        q = c.bit_length()
+        return q if q <= 1 else 1.5 * 2 ** (q - 1) - 0.5
+
     n, v, near = sum(words.values()), len(words), 0
     for i, t in rows:
         tokens, total = [None, *spaced(t), None], 0.0
-        for x, y in zip(tokens[:-1], tokens[1:], strict=True):
-            q = pairs[x, y].bit_length()
-            both = min(q if q <= 1 else 1.5 * 2 ** (q - 1) - 0.5, words[x], words[y])
-            plain = (words[y] + 0.1) / (n + 0.1 * (v + 1))
-            total += math.log10(0.15 * both / words[x] + 0.85 * plain if words[x] else plain)
+        for k in range(1, len(tokens)):
+            x, y = tokens[k - 1 : k + 1]
+            both = min(quantised(pairs[x, y]), words[x], words[y])
+            p = (both + 1000 * (words[y] + 0.1) / (n + 0.1 * (v + 1))) / (words[x] + 1000)
+            if k > 1:
+                before = min(quantised(pairs[tokens[k - 2], x]), words[tokens[k - 2]], words[x])
+                p = (min(quantised(triples[tokens[k - 2], x, y]), before, both) + 16 * p) / (before + 16)
+            total += math.log10(p)
         near += math.isclose(got[i], total, rel_tol=1e-9)
     assert sum(c == 1 for c in pairs.values()) > 100 and near > 0.7 * len(rows)
 
