@@ -61,6 +61,31 @@ def gram_hashes(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.n
     return pairs & GRAM_BITS, triples & GRAM_BITS, inner
 
 
+def gram_counts(grams: np.ndarray, shown: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams in order, and how often each is shown: that flag goes through the sort in a bit that keys leave free."""
+    packed = np.sort(grams | shown.astype(np.uint64))
+    keys = packed & GRAM_BITS
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(packed & np.uint64(1), first).astype(np.int64) if len(first) else np.empty(0, np.int64)
+
+
+def levels_of(grams: np.ndarray, levels: np.ndarray, most: int = 1 << 24) -> np.ndarray:
+    """The level of each gram; levels has that of each distinct gram, in order. Places go through the sort in the bits that
+    keys leave free, in pieces of `most` grams."""
+    pieces = []
+    for start in range(0, len(grams), most):
+        part = grams[start : start + most]
+        packed = np.sort(part | np.arange(len(part), dtype=np.uint64))
+        keys = packed & GRAM_BITS
+        pieces.append((start + (packed & ~GRAM_BITS).astype(np.int64), keys, np.concatenate([[True], keys[1:] != keys[:-1]])))
+    out = np.zeros(len(grams), np.int8)
+    distinct = np.unique(np.concatenate([keys[new] for _, keys, new in pieces])) if len(pieces) > 1 else None
+    for place, keys, new in pieces:
+        at = np.cumsum(new) - 1
+        out[place] = levels[at if distinct is None else np.searchsorted(distinct, keys[new])[at]]
+    return out
+
+
 class LevelFilter:
     """Segmented Bloom filters, one for each level; keys are 64-bit hashes, the top bits name the segment."""
 
@@ -108,8 +133,7 @@ class LevelFilter:
 
 
 #: Count that a level stands for: the middle of [2^(q-1), 2^q), and 0 if unseen.
-def level_count(q: np.ndarray) -> np.ndarray:
-    return np.where(q <= 1, q.astype(np.float64), 1.5 * 2.0 ** (q.astype(np.float64) - 1) - 0.5)
+LEVEL_COUNTS = np.array([0.0] + [1.5 * 2.0 ** (q - 1) - 0.5 for q in range(1, 65)])
 
 
 def score(
@@ -144,7 +168,7 @@ def score(
         if words:
             keys, counts = ledger.unique_counts(np.concatenate(words), np.concatenate(known).astype(np.int64))
             rows = ledger.bucket_rows(g, keys, counts, n)
-            keys, counts = ledger.unique_counts(np.concatenate(grams), np.concatenate(shown).astype(np.int64))
+            keys, counts = gram_counts(np.concatenate(grams), np.concatenate(shown))
             rows += ledger.bucket_rows(g, keys, counts, n, n)
         else:
             rows = []
@@ -178,27 +202,30 @@ def score(
 
     def rate(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("bucket")
-        told = {k: b"".join(right.filter(pc.equal(right["kind"], k)).column("counts").to_pylist()) for k in (0, 1)}
-        totals, reached = np.frombuffer(told[0], "<i8"), np.frombuffer(told[1], np.int8)
-        keys, gram_keys = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-        for _, tokens, sizes in token_hashes(batch_column(left, "text")):
+        answer = {k: b"".join(right.filter(pc.equal(right["kind"], k)).column("counts").to_pylist()) for k in (0, 1)}
+        totals, reached = np.frombuffer(answer[0], "<i8"), np.frombuffer(answer[1], np.int8)
+        texts = list(token_hashes(batch_column(left, "text")))
+        keys, grams = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+        for _, tokens, sizes in texts:
             pairs, triples, inner = gram_hashes(tokens, sizes)
             keys.append(np.unique(tokens))
-            gram_keys += [np.unique(pairs), np.unique(triples[inner])]
-        keys, gram_keys = np.unique(np.concatenate(keys)), np.unique(np.concatenate(gram_keys))
+            grams += [pairs, triples[inner]]
+        keys, told = np.unique(np.concatenate(keys)), LEVEL_COUNTS[levels_of(np.concatenate(grams), reached)]
         log_base = np.log10(n_train + 0.1 * (n_distinct + 1))
         n_tokens, n_known, base, full = [], [], [], []
         ends = int(ledger.look_up(keys, totals, np.array([END]))[0])
-        for _, tokens, sizes in token_hashes(batch_column(left, "text")):
+        for _, tokens, sizes in texts:
             c = ledger.look_up(keys, totals, tokens)
-            first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            first = np.cumsum(sizes) - sizes
             logs = np.log10(c + 0.1) - log_base
-            pairs, triples, inner = gram_hashes(tokens, sizes)
             context = np.concatenate([[ends], c[:-1]]).astype(np.float64)
-            both = np.minimum(level_count(reached[np.searchsorted(gram_keys, pairs)]), np.minimum(context, c))
+            inner = np.ones(len(tokens), bool)
+            inner[first] = False
+            pairs, triples, told = np.split(told, [len(tokens), 2 * len(tokens) - len(sizes)])
+            both = np.minimum(pairs, np.minimum(context, c))
             probability = (both + prior[0] * 10.0**logs) / (context + prior[0])
             before = np.concatenate([[0.0], both[:-1]])[inner]
-            three = np.minimum(level_count(reached[np.searchsorted(gram_keys, triples[inner])]), np.minimum(before, both[inner]))
+            three = np.minimum(triples, np.minimum(before, both[inner]))
             probability[inner] = (three + prior[1] * probability[inner]) / (before + prior[1])
             n_tokens.append(sizes)
             n_known.append(np.add.reduceat((c > 0).astype(np.int64), first))

@@ -257,6 +257,22 @@ def test_lm_keeps_every_level_without_gathering(docs, rows, monkeypatch):
     assert sum(c == 1 for c in pairs.values()) > 100 and near > 0.7 * len(rows)
 
 
+def test_gram_keys_keep_counts_and_places():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    grams = rng.choice(rng.integers(0, 1 << 63, 300, dtype=np.uint64) * 2 & lm.GRAM_BITS, 5000)
+    shown = rng.random(5000) < 0.4
+    keys, counts = lm.gram_counts(grams, shown)
+    found, at = np.unique(grams, return_inverse=True)
+    assert (keys == found).all() and (counts == np.bincount(at, weights=shown)).all()
+    levels = rng.integers(0, 9, len(found)).astype(np.int8)
+    for most in (1 << 24, 700):
+        assert (lm.levels_of(grams, levels, most) == levels[at]).all()
+    none = np.empty(0, np.uint64)
+    assert not len(lm.levels_of(none, none.astype(np.int8))) and not len(lm.gram_counts(none, none.astype(bool))[0])
+
+
 def test_filter_levels_without_misses():
     import numpy as np
 
