@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chunking, decontaminate, edits, jaccard, lm, mixing, quality, repair, warc
+from . import ann, audit, chunking, decontaminate, edits, jaccard, lm, mixing, quality, ranked, repair, transducer, warc
 from .common import is_train
 
 
@@ -75,7 +75,23 @@ def op9_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.count_edits(docs, edit_script(docs), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_collision_ann, op2_quality_pu, op3_warc_index, op4_mix_ipf, op5_lm_scoring, op6_token_ids, op7_cdc_passages, op8_decontamination, op9_edit_counts, op10_ngram_jaccard)}
+def op11_bucket_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(spark, ranked.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op12_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_OPERATORS = (
+    op1_collision_ann, op2_quality_pu, op3_warc_index, op4_mix_ipf, op5_lm_scoring, op6_token_ids, op7_cdc_passages, op8_decontamination,
+    op9_edit_counts, op10_ngram_jaccard, op11_bucket_search, op12_bpe_transducer, op13_filter_audit,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
 
 #: SQL for the same rows, where it can say them.
 ORACLES: dict[str, str] = {
@@ -105,4 +121,23 @@ both_ AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r AS (SELECT doc_id, doc_id AS m FROM documents UNION SELECT b, m FROM r JOIN both_ ON r.doc_id = a WHERE m < b)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, l.component_id, x.n_equal FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(m) AS component_id FROM r GROUP BY doc_id) l USING (doc_id)
 JOIN (SELECT doc_id, count(*) OVER (PARTITION BY k) AS n_equal FROM (SELECT w.doc_id, coalesce(list_aggregate(list_sort(list(s.s || '|' || s.z) FILTER (s.s IS NOT NULL)), 'string_agg', chr(10)), 'none ' || w.doc_id) AS k FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id)) x USING (doc_id)""",
+    "op11_bucket_search": r"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+z AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0), s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM z),
+q AS (SELECT item_id, t, count(*) AS c FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY ALL),
+p AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY t, docs),
+r AS (SELECT item_id, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) AS BIGINT) AS score FROM q JOIN w USING (t) JOIN p USING (t) JOIN z USING (doc_id), s GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= 20""",
+    "op13_filter_audit": r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS q, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS x FROM labels GROUP BY doc_id),
+f AS (SELECT part, doc_id, CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END ||
+CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END ||
+CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS m FROM d),
+c AS (SELECT part, m, count(*) AS n, sum(coalesce(q, 0)) AS good, sum(coalesce(x, 0)) AS bad FROM f LEFT JOIN l USING (doc_id) GROUP BY part, m),
+v AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS v), o AS (SELECT a.v || b.v || c.v || d.v || e.v AS o FROM v a, v b, v c, v d, v e WHERE len(list_distinct([a.v, b.v, c.v, d.v, e.v])) = 5),
+s AS (SELECT part, o, k, m, n, good, bad, substr(o, k, 1) AS i, translate(m, substr(o, 1, k - 1), '') <> m AS gone FROM c, o, unnest([1, 2, 3, 4, 5]) AS u(k)),
+g AS (SELECT part, o AS filter_order, k AS step, i, sum(CASE WHEN gone OR contains(m, i) THEN 0 ELSE n END) AS kept, sum(CASE WHEN NOT gone AND contains(m, i) THEN n ELSE 0 END) AS removed, sum(CASE WHEN gone AND contains(m, i) THEN n ELSE 0 END) AS redundant,
+sum(CASE WHEN m = i THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN NOT gone AND contains(m, i) THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND contains(m, i) THEN bad ELSE 0 END) AS toxic_lost FROM s GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, i) AS BIGINT) AS shapley FROM g""",
 }
