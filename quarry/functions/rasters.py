@@ -124,6 +124,39 @@ def slices(column: pa.Array, rasters: Callable[[np.ndarray], np.ndarray] = lambd
         row = end
 
 
+def count_stage(docs: DataFrame, f: Callable[[Slice], np.ndarray], cells: int, key: str, most_keys: int = 1024) -> DataFrame:
+    """Samples of docs' texts by key and cell (f gives each sample's, 0 to cells - 1): key, cell, n. A task counts all that it reads
+    before it passes anything on; where it meets more than most_keys keys, it passes on what it has so far."""
+
+    def run(batches):
+        table: dict = {}
+
+        def out():
+            for k, counts in table.items():
+                at = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), kind), pa.array(at), pa.array(counts[at])], names=["key", "cell", "n"])
+            table.clear()
+
+        for batch in batches:
+            kind = batch.column(key).type
+            names = batch.column(key).to_pylist()
+            for row, part in slices(batch.column("text")):
+                cell = f(part)
+                own = names[row : row + part.n]
+                distinct = {k: i for i, k in enumerate(dict.fromkeys(own))}
+                of = np.array([distinct[k] for k in own])
+                counts = np.bincount(of[part.row] * cells + cell, minlength=len(distinct) * cells).reshape(-1, cells)
+                for k, c in zip(distinct, counts, strict=True):
+                    table[k] = table[k] + c if k in table else c
+                if len(table) > most_keys:
+                    yield from out()
+        yield from out()
+
+    some = docs.filter(F.length("text") > 0).select(key, "text")
+    counted = some.mapInArrow(run, f"key {some.schema[key].dataType.simpleString()}, cell long, n long")
+    return counted.groupBy(F.col("key").alias(key), "cell").agg(F.sum("n").alias("n"))
+
+
 def raster_stage(docs: DataFrame, f: Callable[[Slice], tuple], fields: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """f over the rasters of docs' texts (those with a character). f gives the raster of each row it makes, or None for one a
     raster, and the columns of `fields`; `keep` are columns of docs that come first."""
