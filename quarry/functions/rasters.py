@@ -124,35 +124,42 @@ def slices(column: pa.Array, rasters: Callable[[np.ndarray], np.ndarray] = lambd
         row = end
 
 
-def count_stage(docs: DataFrame, f: Callable[[Slice], np.ndarray], cells: int, key: str, most_keys: int = 1024) -> DataFrame:
-    """Samples of docs' texts by key and cell (f gives each sample's, 0 to cells - 1): key, cell, n. A task counts all that it reads
-    before it passes anything on; where it meets more than most_keys keys, it passes on what it has so far."""
+def spread(docs: DataFrame) -> DataFrame:
+    """docs over all cores where its files give fewer tasks than there are; a table of many row groups stays as it is."""
+    n = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(n) if docs.rdd.getNumPartitions() < n else docs
+
+
+def count_stage(docs: DataFrame, f: Callable[[Slice, np.ndarray, list], np.ndarray], key: str, most_keys: int = 1024) -> DataFrame:
+    """Counts over the samples of docs' texts, by key: key, cell, n. f gives a table of counts, a row for each of the keys (its third
+    argument; the second is the key's number of each raster). A task adds up all that it reads before it passes anything on;
+    where it meets more than most_keys keys, it passes on what it has so far."""
 
     def run(batches):
         table: dict = {}
 
-        def out():
+        def out(kind):
             for k, counts in table.items():
                 at = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), kind), pa.array(at), pa.array(counts[at])], names=["key", "cell", "n"])
             table.clear()
 
+        kind = None
         for batch in batches:
             kind = batch.column(key).type
             names = batch.column(key).to_pylist()
             for row, part in slices(batch.column("text")):
-                cell = f(part)
                 own = names[row : row + part.n]
                 distinct = {k: i for i, k in enumerate(dict.fromkeys(own))}
-                of = np.array([distinct[k] for k in own])
-                counts = np.bincount(of[part.row] * cells + cell, minlength=len(distinct) * cells).reshape(-1, cells)
+                counts = f(part, np.array([distinct[k] for k in own]), list(distinct))
                 for k, c in zip(distinct, counts, strict=True):
                     table[k] = table[k] + c if k in table else c
                 if len(table) > most_keys:
-                    yield from out()
-        yield from out()
+                    yield from out(kind)
+        if kind is not None:
+            yield from out(kind)
 
-    some = docs.filter(F.length("text") > 0).select(key, "text")
+    some = spread(docs.filter(F.length("text") > 0).select(key, "text"))
     counted = some.mapInArrow(run, f"key {some.schema[key].dataType.simpleString()}, cell long, n long")
     return counted.groupBy(F.col("key").alias(key), "cell").agg(F.sum("n").alias("n"))
 
@@ -171,7 +178,7 @@ def raster_stage(docs: DataFrame, f: Callable[[Slice], tuple], fields: str, keep
                 made = pa.RecordBatch.from_arrays(arrays, names=[f"c{k}" for k in range(len(arrays))])
                 yield made.cast(schema)
 
-    out = docs.filter(F.length("text") > 0).select(*keep, "text")
+    out = spread(docs.filter(F.length("text") > 0).select(*keep, "text"))
     kept = ", ".join(f"{c} {out.schema[c].dataType.simpleString()}" for c in keep)
     spec = f"{kept}, {fields}"
     kinds = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
