@@ -34,7 +34,7 @@ class Slice:
     def before(self, k: int) -> np.ndarray:
         """The sample k places earlier; of no meaning where the raster has none there."""
         out = np.zeros(len(self.v), np.int64)
-        out[k:] = self.v[: len(self.v) - k]
+        out[k:] = self.v[: max(0, len(self.v) - k)]
         return out
 
     def total(self, values: np.ndarray) -> np.ndarray:
