@@ -6,7 +6,7 @@ hashed blocks of bytes. A block that no window holds lets the search skip almost
 where the shift is 0, the bucket of the block's hash names the windows to compare byte by byte. Many cursors, one for
 each stretch of text, move in step, so that numpy does the work of the inner loop.
 
-The items are read in blocks of bounded bytes; one block at a time is broadcast and searched for, and between two blocks the
+The items are read in blocks of bounded bytes (a block of 4 MB has half a million windows, 25 MB in a worker); one block at a time is broadcast and searched for, and between two blocks the
 rows are written with the places found so far, so a worker holds the windows of one block whatever the benchmark's size. The
 words of documents never move: the operator has no shuffle.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, batch_column, first_of_row, lower_ascii, map_arrow, materialize, slices, text_buffers, word_spans
+from .common import ALNUM, batch_column, first_of_row, lower_ascii, map_arrow, materialize, slices, span_hashes, text_buffers, word_spans
 
 WINDOW = 13
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -59,23 +59,20 @@ def _slot(blocks: np.ndarray) -> np.ndarray:
 
 
 class Group:
-    """Windows of similar length with their shift table and suffix buckets."""
+    """Windows of similar length with their shift table and suffix buckets. A window is a stretch of the items' own text: nothing of it is
+    copied. numbers: those of the windows; start, size: their stretches in `data`."""
 
-    def __init__(self, patterns: list[bytes], numbers: list[int]):
-        self.m = min(map(len, patterns))
+    def __init__(self, data: np.ndarray, numbers: np.ndarray, start: np.ndarray, size: np.ndarray):
+        self.m = int(size.min())
         self.size = min(8, max(2, self.m // 2))
-        joined = np.frombuffer(b"".join(patterns) + b" " * 8, np.uint8)
-        begin = np.cumsum([0, *map(len, patterns)])[:-1]
         self.shift = np.full(1 << _TABLE_BITS, self.m - self.size + 1, np.int32)
         for j in range(self.m - self.size + 1):  # later blocks have smaller shifts
-            self.shift[_slot(_blocks(joined, begin + j, self.size))] = self.m - self.size - j
-        suffix = _blocks(joined, begin + self.m - self.size, self.size)
+            self.shift[_slot(_blocks(data, start + j, self.size))] = self.m - self.size - j
+        suffix = _blocks(data, start + self.m - self.size, self.size)
         order = np.argsort(suffix, kind="stable")
-        self.suffix = suffix[order]
-        self.patterns = [patterns[i] for i in order]
-        self.numbers = [numbers[i] for i in order]
+        self.suffix, self.numbers, self.start, self.length = suffix[order], numbers[order], start[order], size[order]
 
-    def search(self, data: np.ndarray, text: bytes, n: int):
+    def search(self, data: np.ndarray, text: bytes, n: int, items: bytes):
         """(position, window number) of every occurrence in the first n bytes."""
         last = n - self.m
         if last < 0:
@@ -92,8 +89,9 @@ class Group:
                 for k in np.flatnonzero(high > low):
                     p = int(at[zero[k]])
                     for i in range(low[k], high[k]):
-                        if text.startswith(self.patterns[i], p):
-                            yield p, self.numbers[i]
+                        a = int(self.start[i])
+                        if text.startswith(items[a : a + int(self.length[i])], p):
+                            yield p, int(self.numbers[i])
             at = at + np.maximum(shift, 1)
             live = at < stop
             if not live.all():
@@ -101,26 +99,48 @@ class Group:
 
 
 class Matcher:
-    """All windows of some items. items: (item id, text)."""
+    """All windows of some items, (item id, text): the items' text in one form, and for each distinct window its stretch there, its words
+    and the items that have it (`owner` from owner_at on). Some 40 bytes a window."""
 
     def __init__(self, items: list[tuple], window: int):
-        owners: dict[bytes, list] = defaultdict(list)
-        for item, text in items:
-            data = np.frombuffer((text or "").encode(), np.uint8)
-            form, at, counts, _ = normal_form(data, np.array([0, len(data)]))
-            words = int(counts[0])
-            body = form.tobytes()
-            for i in range(max(1, words - window + 1) if words else 0):
-                last = min(i + window, words) - 1
-                end = body.index(b" ", int(at[last])) + 1
-                owners[body[int(at[i]) - 1 : end]].append(item)
-        self.owners = [sorted(set(x), key=str) for x in owners.values()]
-        self.words = [p.count(b" ") - 1 for p in owners]
-        classes: dict[int, list[int]] = defaultdict(list)
-        patterns = list(owners)
-        for i, p in enumerate(patterns):
-            classes[min(7, len(p).bit_length())].append(i)
-        self.groups = [Group([patterns[i] for i in own], own) for own in classes.values()]
+        raw, offsets = text_buffers(pa.array([text or "" for _, text in items], pa.string()))
+        form, at, counts, first = normal_form(raw, offsets)
+        self.ids, self.text = [item for item, _ in items], form.tobytes()
+        row = first_of_row(first, len(at))
+        left = first[row + 1] - np.arange(len(at)) if len(at) else np.empty(0, np.int64)  # words from each on
+        begins = (left >= window) | (np.arange(len(at)) == first[row]) if len(at) else np.empty(0, bool)
+        begin = np.flatnonzero(begins)
+        words = np.minimum(left[begin], window)
+        start = at[begin] - 1
+        last = begin + words - 1
+        ends_row = last + 1 == first[row[begin] + 1] if len(begin) else np.empty(0, bool)
+        following = np.append(at, 0)[np.minimum(last + 1, len(at))]
+        row_end = np.append(at, 0)[first[row[begin] + 1] - 1] if len(begin) else np.empty(0, np.int64)
+        size = np.where(ends_row, self._word_ends(form, row_end) + 1, following) - start
+        key = np.empty(len(begin), np.uint64)
+        for k in range(0, len(begin), 1 << 16):  # windows in the order of the text
+            a, b = int(start[k]), int((start + size)[k : k + (1 << 16)].max())
+            key[k : k + (1 << 16)] = span_hashes(form[a:b], start[k : k + (1 << 16)] - a, (start + size)[k : k + (1 << 16)] - a, fold=False)
+        order = np.argsort(key, kind="stable")
+        start, size, words, item, key = start[order], size[order], words[order], row[begin][order], key[order]
+        new = np.ones(len(order), bool)
+        for k in np.flatnonzero(key[1:] == key[:-1]).tolist():  # equal hashes: the same window, unless the bytes say otherwise
+            a, b = int(start[k]), int(start[k + 1])
+            new[k + 1] = self.text[a : a + int(size[k])] != self.text[b : b + int(size[k + 1])]
+        self.owner_at = np.append(np.flatnonzero(new), len(order))
+        self.owner, self.words = item.astype(np.int32), words[new].astype(np.int32)
+        start, size = start[new], size[new].astype(np.int32)
+        kind = np.minimum(7, np.frexp(size.astype(np.float64))[1])
+        self.groups = []
+        for k in np.unique(kind):
+            own = np.flatnonzero(kind == k)
+            self.groups.append(Group(form, own.astype(np.int32), start[own], size[own]))
+
+    @staticmethod
+    def _word_ends(form: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where the words that begin at these places end."""
+        blank = np.flatnonzero(form == 32)
+        return blank[np.searchsorted(blank, at)]
 
     def find(self, raw: np.ndarray, offsets: np.ndarray):
         """Words of each row, hit words of each row, and the items found in each row."""
@@ -129,11 +149,12 @@ class Matcher:
         items: dict[int, set] = defaultdict(set)
         text = form.tobytes()
         for group in self.groups:
-            for position, number in group.search(form, text, len(form) - 8):
+            for position, number in group.search(form, text, len(form) - 8, self.text):
                 word = int(np.searchsorted(at, position + 1))
                 hit[word] += 1
-                hit[min(word + self.words[number], len(at))] -= 1
-                items[int(np.searchsorted(first, word, "right")) - 1].update(self.owners[number])
+                hit[min(word + int(self.words[number]), len(at))] -= 1
+                own = self.owner[self.owner_at[number] : self.owner_at[number + 1]]
+                items[int(np.searchsorted(first, word, "right")) - 1].update(self.ids[i] for i in own.tolist())
         return n_words, np.cumsum(hit)[:-1] > 0, items, first
 
 
@@ -154,7 +175,7 @@ _SOFAR = T.StructType([T.StructField("runs", T.BinaryType()), T.StructField("ite
 MARKS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 8 << 20, keep: bool = False) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 4 << 20, keep: bool = False) -> DataFrame:
     """Mark the rows of docs (doc_id, text) that hold passages of benchmark (item_id, text).
 
     Words are runs of ASCII letters and digits and of all non-ASCII characters, with A-Z in lower case. A document
@@ -168,28 +189,31 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     """
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c.lower() not in MARKS] if keep else ["doc_id"]
-    rows = docs.select(*dict.fromkeys([*kept, "text"])).withColumn("sofar_", F.lit(None).cast(_SOFAR))
+    held = "sofar_"
+    while held in {c.lower() for c in docs.columns}:
+        held += "_"
+    rows = docs.select(*dict.fromkeys([*kept, "text"])).withColumn(held, F.lit(None).cast(_SOFAR))
     blocks = _blocks_of_items(benchmark, block_bytes)
     block = next(blocks)
     while block is not None:
         following = next(blocks, None)
         shared = spark.sparkContext.broadcast(Matcher(block, window))
         if following:
-            rows = materialize(_searched(rows, shared, kept, last=False), "searched")
+            rows = materialize(_searched(rows, shared, kept, held, last=False), "searched")
             shared.destroy()
         else:
-            rows = _searched(rows, shared, kept, last=True)
+            rows = _searched(rows, shared, kept, held, last=True)
         block = following or None
     return rows
 
 
-def _searched(rows: DataFrame, shared, kept: list[str], last: bool) -> DataFrame:
+def _searched(rows: DataFrame, shared, kept: list[str], held: str, last: bool) -> DataFrame:
     """Rows with what a block's windows add to the places found; after the last block, with the marks."""
-    columns = [c for c in rows.columns if c != "sofar_"]
+    columns = [c for c in rows.columns if c != held]
 
     def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw, offsets = text_buffers(batch_column(batch, "text"))
-        before = batch.column("sofar_").to_pylist()
+        before = batch.column(held).to_pylist()
         words, hits, counts, digests, sofar = [], [], [], [], []
         for a, b in slices(offsets):
             own, part = offsets[a : b + 1] - offsets[a], raw[offsets[a] : offsets[b]]
@@ -211,7 +235,7 @@ def _searched(rows: DataFrame, shared, kept: list[str], last: bool) -> DataFrame
                     sofar.append({"runs": edges.tobytes(), "items": sorted(items)} if len(edges) else None)
             words.append(n_words)
         if not last:
-            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(sofar, pa.struct([("runs", pa.binary()), ("items", pa.list_(pa.string()))]))], names=[*columns, "sofar_"])
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(sofar, pa.struct([("runs", pa.binary()), ("items", pa.list_(pa.string()))]))], names=[*columns, held])
         n, h = np.concatenate(words), np.array(hits, np.int64)
         return pa.RecordBatch.from_arrays(
             [*(batch.column(c) for c in kept), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array((h > 0) & (20 * h >= n))],
@@ -219,6 +243,6 @@ def _searched(rows: DataFrame, shared, kept: list[str], last: bool) -> DataFrame
         )
 
     if not last:
-        return map_arrow(rows, mark, T.StructType([*(rows.schema[c] for c in columns), T.StructField("sofar_", _SOFAR)]))
+        return map_arrow(rows, mark, T.StructType([*(rows.schema[c] for c in columns), T.StructField(held, _SOFAR)]))
     marks = [T.StructField(c, T.LongType()) for c in MARKS[:3]] + [T.StructField(MARKS[3], T.StringType()), T.StructField(MARKS[4], T.BooleanType())]
     return map_arrow(rows, mark, T.StructType([*(rows.schema[c] for c in kept), *marks]))

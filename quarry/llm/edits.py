@@ -8,6 +8,8 @@ document of a group, are encoded together.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,15 +23,17 @@ PIECES = 32
 
 
 class DocumentTree:
-    """Leaves of one text; sums of bytes and of tokens over a complete binary tree."""
+    """Leaves of one text; sums of bytes and of tokens over a complete binary tree. A leaf may be empty: room for others to be split."""
 
     def __init__(self, leaves: list[bytes], counts: list[int]):
-        self.leaves = leaves or [b""]
-        counts = counts or [0]
-        self.n = 1 << (len(self.leaves) - 1).bit_length()
+        self._build(leaves or [b""], counts or [0])
+
+    def _build(self, leaves: list[bytes], counts: list[int]) -> None:
+        self.leaves = leaves
+        self.n = 1 << (len(leaves) - 1).bit_length()
         self.size = [0] * (2 * self.n)
         self.tokens = [0] * (2 * self.n)
-        self.size[self.n : self.n + len(self.leaves)] = map(len, self.leaves)
+        self.size[self.n : self.n + len(leaves)] = map(len, leaves)
         self.tokens[self.n : self.n + len(counts)] = counts
         for i in range(self.n - 1, 0, -1):
             self.size[i] = self.size[2 * i] + self.size[2 * i + 1]
@@ -70,9 +74,21 @@ class DocumentTree:
         return low, high, old[:at] + new + old[at + end - start :]
 
     def rewrite(self, low: int, high: int, data: bytes, starts: np.ndarray, counts: np.ndarray) -> None:
-        """Put data, cut into pieces at starts, into the leaves from low to high, and update the sums above."""
+        """Put data, cut into pieces at starts, into the leaves from low to high, and update the sums above.
+
+        Where these leaves would hold over 2 * PIECES pieces each, they are split into leaves of PIECES, and the tree is built anew. Some
+        empty leaves follow (the square root of all), so that comes to pass once in so many splits of a place.
+        """
         slots = high - low + 1
-        share = -(-len(starts) // slots) if len(starts) else 1
+        if len(starts) > 2 * PIECES * slots:
+            at = [*starts[::PIECES].tolist(), len(data)]
+            own = [data[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+            sums = np.add.reduceat(counts, np.arange(0, len(counts), PIECES)).tolist()
+            before, after = self._filled(0, low), self._filled(high + 1, len(self.leaves))
+            room = 8 + math.isqrt(len(before[0]) + len(own) + len(after[0]))
+            self._build([*before[0], *own, *[b""] * room, *after[0]], [*before[1], *sums, *[0] * room, *after[1]])
+            return
+        share = max(PIECES, -(-len(starts) // slots))
         for k in range(slots):
             own = starts[k * share : (k + 1) * share]
             end = starts[(k + 1) * share] if (k + 1) * share < len(starts) else len(data)
@@ -86,6 +102,11 @@ class DocumentTree:
                 self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
             a, b = a // 2, b // 2
 
+    def _filled(self, low: int, high: int) -> tuple[list[bytes], list[int]]:
+        """The leaves from low up to high that are not empty, and their tokens."""
+        own = [k for k in range(low, high) if self.leaves[k]]
+        return [self.leaves[k] for k in own], [self.tokens[self.n + k] for k in own]
+
     def text(self) -> bytes:
         return b"".join(self.leaves)
 
@@ -128,13 +149,14 @@ def count_edits(docs: DataFrame, edits: DataFrame, tokenizer_path: str, group_by
     start to end are replaced by new. Positions beyond the text are clipped to it, those within a character moved back to its
     beginning; null positions are 0, a null new is empty. A null text is empty, and can be edited. Edits of unknown documents
     are ignored; repeated rows of a doc_id are all edited. Returns doc_id, tokens_before, tokens_after, n_edits,
-    n_bytes (after), reencoded_bytes (of all regions that the edits touched). Rows with a null doc_id have no edits.
+    n_bytes (after), reencoded_bytes (of all regions that the edits touched). Rows with a null doc_id have no edits. A group holds
+    about group_bytes of texts and edits; a document's own edits, which follow each other, are never parted.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    edits = edits.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("seq").cast("long"), F.lit(0)).alias("seq"), F.coalesce(F.col("start").cast("long"), F.lit(0)).alias("start"), F.coalesce(F.col("end").cast("long"), F.lit(0)).alias("end"), F.coalesce(F.col("new").cast("string"), F.lit("")).alias("new")).filter("doc_id IS NOT NULL")
+    total = (docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0) + (edits.agg(F.sum(F.octet_length("new") + 64).alias("b")).first()["b"] or 0)
     n = max(4, -(-int(total) // group_bytes))
     key = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
-    edits = edits.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("seq").cast("long"), F.lit(0)).alias("seq"), F.coalesce(F.col("start").cast("long"), F.lit(0)).alias("start"), F.coalesce(F.col("end").cast("long"), F.lit(0)).alias("end"), F.coalesce(F.col("new").cast("string"), F.lit("")).alias("new")).filter("doc_id IS NOT NULL")
 
     def f(left: pa.Table, right: pa.Table) -> pa.Table:
         encoder = encoder_for(tokenizer_path, load)

@@ -141,17 +141,29 @@ def tempered(cells: DataFrame, temper: float = 0.5) -> DataFrame:
     return out.withColumn("w", F.col("w") / F.lit(float(out.agg(F.sum("w")).first()[0] or 1)))
 
 
+def margins(cells: DataFrame) -> DataFrame:
+    """Shares that cells with w have by margin and value: margin, value, share."""
+    out = None
+    for m in MARGINS:
+        own = cells.groupBy(F.col(m).alias("value")).agg(F.sum("w").alias("share")).select(F.lit(m).alias("margin"), "value", "share")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def weighted(cells: DataFrame, target: DataFrame | None, tolerance: float = 1e-4) -> DataFrame:
-    """Cells with w, raked to target. Given targets that cannot be met raise; default ones give way to `tempered`, with a warning."""
+    """Cells with w, raked to target. Targets that the cells cannot meet raise. Default ones that they cannot meet, since cells are
+    missing, give way to those shares that `tempered` cells have, with a warning: these can be met, and are raked to."""
     goal = targets(cells) if target is None else target
     raked = materialize(rake(cells, goal), "raked")
     off = most_off(raked, goal)
-    if off <= tolerance:
-        return raked
-    if target is not None:
+    if off > tolerance and target is None:
+        warnings.warn(f"raking leaves a default share off by {off:.3g}; the targets are the shares of tempered cells instead", stacklevel=2)
+        goal = materialize(margins(tempered(cells)), "goal")
+        raked = materialize(rake(cells, goal), "raked")
+        off = most_off(raked, goal)
+    if off > tolerance:
         raise ValueError(f"raking leaves a target share off by {off:.3g}: no weights of these cells meet all targets, or more rounds are needed")
-    warnings.warn(f"raking leaves a default share off by {off:.3g}; cells are tempered by all margins at once instead", stacklevel=2)
-    return tempered(cells)
+    return raked
 
 
 def calibrated(raked: DataFrame, budget: float) -> DataFrame:

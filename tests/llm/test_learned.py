@@ -164,6 +164,58 @@ def test_index_blocks(spark, tmp_path):
     assert sorted(r["page_id"] for r in warc.look_up(urls, index).collect()) == sorted([i for i in range(700) if i % 37 == 5] + [1000 + i for i in range(900)])
 
 
+def dense_raking(cells, rounds=200):
+    """Default targets and raking in plain arrays: p of every cell at half of the tokens."""
+    tokens = np.array([c[3] for c in cells], float)
+    margin = []
+    for k in range(3):
+        sums = {}
+        for c in cells:
+            sums[c[k]] = sums.get(c[k], 0) + c[3]
+        root = {v: t**0.5 for v, t in sums.items()}
+        margin.append({v: r / sum(root.values()) for v, r in root.items()})
+    w = tokens / tokens.sum()
+    for _ in range(rounds):
+        for k in range(3):
+            now = {}
+            for c, x in zip(cells, w, strict=True):
+                now[c[k]] = now.get(c[k], 0) + x
+            w = np.array([x * margin[k][c[k]] / now[c[k]] for c, x in zip(cells, w, strict=True)])
+    low, high = 0.0, 1e18
+    for _ in range(300):  # the factor at which the expected tokens are half of all
+        mid = (low + high) / 2
+        low, high = (mid, high) if np.minimum(w * mid, tokens).sum() < tokens.sum() / 2 else (low, mid)
+    return dict(zip((c[:3] for c in cells), np.minimum(w * low / tokens, 1.0), strict=True))
+
+
+def test_mixing_query_equals_dense_raking(spark):
+    sf = "/root/testdata/sf0.001"
+    got = queries.op4_mix_ipf(spark, sf).collect()
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    cells = {}
+    for r in got:
+        if r["m_tokens"]:
+            k = (r["m_source"], r["m_lang"], r["m_topic"])
+            cells[k] = cells.get(k, 0) + r["m_tokens"]
+    want = dense_raking([(*k, n) for k, n in cells.items()])
+    for r in got:
+        p = want[r["m_source"], r["m_lang"], r["m_topic"]] if r["m_tokens"] else 0.0
+        assert abs(r["p"] - p) < 1e-5 and (r["p"] > 0 or not r["selected"])
+
+
+def test_default_targets_that_cells_cannot_meet(spark):
+    # 'b' has one topic alone, which has nothing else: no weights give both their tempered shares
+    rows = [("a", "x", "t", 900), ("a", "y", "t", 90), ("b", "x", "u", 10), ("b", "y", "u", 4000), ("c", "x", "v", 1)]
+    cells = spark.createDataFrame(rows, "m_source string, m_lang string, m_topic string, tokens long")
+    odd = spark.createDataFrame([("a", "x", "t", 1000), ("b", "y", "t", 10), ("a", "y", "u", 0)], cells.schema)
+    for table in (cells, odd):
+        raked = mixing.weighted(table, None)
+        assert mixing.most_off(raked, mixing.margins(raked)) < 1e-9 and abs(sum(r["w"] for r in raked.collect()) - 1) < 1e-6
+    goal = spark.createDataFrame([("m_source", "a", 0.5), ("m_source", "b", 0.5), ("m_lang", "x", 0.1), ("m_lang", "y", 0.9), ("m_topic", "t", 1.0)], "margin string, value string, share double")
+    with pytest.raises(ValueError, match="off by"):
+        mixing.weighted(odd, goal)
+
+
 def test_raking_meets_margins(spark):
     cells = spark.createDataFrame([(s, lang, t, 100 * (i + 1)) for i, (s, lang, t) in enumerate((s, lang, t) for s in "abc" for lang in "xy" for t in "pq")], "m_source string, m_lang string, m_topic string, tokens long")
     goal = mixing.targets(cells)
@@ -306,6 +358,32 @@ def test_edits(spark, docs, rows):
     assert edits.count_edits(docs, frame.limit(0), path).filter("tokens_before != tokens_after or n_edits != 0").count() == 0
 
 
+def test_growing_texts_are_encoded_by_regions(spark):
+    rows = [(1, ""), (2, sentence(3, 900)), (3, None), (4, "start " * 40)]
+    script = [(1, k, 10**9, 10**9, sentence(k, 110) + ". ") for k in range(60)]  # appended
+    script += [(2, k, 400, 400, sentence(k, 90) + "! ") for k in range(60)]  # always at one place
+    script += [(4, k, 37 * k * k, 37 * k * k + 15, sentence(k, 70)) for k in range(60)]  # all over
+    script += [(3, 0, 0, 0, "x")]
+    frame = spark.createDataFrame(script, "doc_id long, seq long, start long, end long, new string")
+    path = queries.tokenizer_path()
+    tokenizer = Tokenizer.from_file(path)
+    got = {r["doc_id"]: r for r in edits.count_edits(spark.createDataFrame(rows, "doc_id long, text string"), frame, path).collect()}
+    for i, t in rows:
+        data = (t or "").encode()
+        for _, _, a, b, new in sorted(s for s in script if s[0] == i):
+            a, b = min(a, len(data)), min(b, len(data))
+            while 0 < a < len(data) and data[a] & 0xC0 == 0x80:
+                a -= 1
+            while 0 < b < len(data) and data[b] & 0xC0 == 0x80:
+                b -= 1
+            data = data[:a] + new.encode() + data[max(a, b) :]
+        assert (got[i]["n_bytes"], got[i]["tokens_after"]) == (len(data), len(tokenizer.encode(data.decode(), add_special_tokens=False).ids)), i
+    for i in (1, 2, 4):
+        added = sum(len(s[4].encode()) for s in script if s[0] == i)
+        assert got[i]["n_edits"] == 60 and got[i]["reencoded_bytes"] < added + 60 * 4096
+    assert got[1]["n_bytes"] > 30_000
+
+
 def test_edit_regions_are_local():
     encoder = repair.WordEncoder(repair.load_tokenizer(queries.tokenizer_path()))
     text = sentence(4, 4000).encode()

@@ -49,6 +49,32 @@ def test_decontamination(spark, docs, rows):
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_keeps_clashing_columns(spark, docs, rows):
+    bench = spark.createDataFrame([(k, t) for k, t in rows[12:20]], "item_id long, text string")
+    clash = docs.selectExpr("doc_id", "text", "'mine' AS sofar_", "doc_id AS SOFAR__")
+    for block in (1 << 20, 300):
+        got = decontaminate.decontaminate(clash, bench, block_bytes=block, keep=True)
+        assert got.columns == ["doc_id", "text", "sofar_", "SOFAR__", *decontaminate.MARKS]
+        assert got.filter("sofar_ = 'mine' AND SOFAR__ <=> doc_id").count() == len(rows) and got.filter("n_hit > 0").count() >= 8
+
+
+def test_windows_share_the_items_text():
+    items = [(k, " ".join(f"w{(k * i * 7 + i) % 50}" for i in range(120))) for k in range(40)] + [(7, "w1 w2"), (8, "w1 w2"), (9, "")]
+    m = decontaminate.Matcher(items, 13)
+    words = [t.split() for _, t in items]
+    want = {}
+    for (k, _), w in zip(items, words, strict=True):
+        for i in range(max(1, len(w) - 12) if w else 0):
+            want.setdefault(tuple(w[i : i + 13]), set()).add(k)
+    got = {}
+    for g in m.groups:
+        for n, a, size in zip(g.numbers.tolist(), g.start.tolist(), g.length.tolist(), strict=True):
+            text = m.text[a : a + size].decode()
+            assert text[0] == text[-1] == " " and m.words[n] == len(text.split())
+            got[tuple(text.split())] = {m.ids[i] for i in m.owner[m.owner_at[n] : m.owner_at[n + 1]].tolist()}
+    assert got == want
+
+
 def brute_classes(rows, words=5, percent=80):
     sets = {}
     for i, t in rows:
