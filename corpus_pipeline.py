@@ -21,11 +21,12 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates, the rows with its smallest doc_id; of those that repeat that doc_id, one for each
-    distinct text. Rows without a doc_id or without words are no near duplicate of anything, and all stay."""
+    distinct text, the least one by its other columns. Rows without a doc_id or without words are no near duplicate of anything, and all stay."""
     classes = jaccard.near_duplicates(docs)
     kept = classes.filter("n_shingles > 0 AND doc_id = component_id").select("doc_id").distinct()
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) & F.col("doc_id").isNotNull()
-    firsts = docs.filter(worded).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    firsts, others = docs.filter(worded).join(kept, "doc_id", "left_semi"), F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")])
+    firsts = firsts.groupBy("doc_id", "text").agg(F.min_by(others, F.to_json(others)).alias("others")).select("doc_id", "text", "others.*")
     return firsts.select(*docs.columns).unionByName(docs.filter(~worded))
 
 
