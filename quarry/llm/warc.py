@@ -170,17 +170,38 @@ _ENTRY = "key string, page_id long, file string, offset long, length long"
 _NAMED = "file string, offset long, length long, wanted array<string>"
 
 
+#: Blocks of the directory that are searched together.
+STRETCH = 256
+
+
+def _stretches(directory: DataFrame, most: int = 1 << 20) -> list[tuple]:
+    """The first level: part, stretch, first and last key of every STRETCH blocks, in the order of keys. One row for some
+    130 000 captures; more than `most` rows are an error, as the level is broadcast."""
+    rows = directory.groupBy("part", F.floor(F.col("block") / STRETCH).alias("stretch")).agg(F.min("first_key").alias("lo"), F.max("last_key").alias("hi"))
+    rows = [tuple(r) for r in rows.limit(most + 1).collect()]
+    if len(rows) > most:
+        raise ValueError(f"the first level of the index has over {most} rows: raise STRETCH")
+    return sorted(rows, key=lambda r: (r[2], r[3], r[0], r[1]))
+
+
 def named_blocks(wanted: DataFrame, index_path: str) -> DataFrame:
     """Blocks that may hold the keys (column wanted, distinct): file, offset, length, and the keys wanted of each.
 
-    The first level has one row for each part of the index, which are as many as Spark has partitions, and is all that is
-    broadcast. The directory of a part is searched where its rows are.
+    Keys are searched in the first level, which is broadcast, in the tasks that read them, and dealt to its stretches; there
+    they meet the directory's rows and are searched again. A key with many captures goes to all stretches that have it.
     """
     directory = wanted.sparkSession.read.parquet(f"{index_path}/directory")
-    top = F.broadcast(directory.groupBy("part").agg(F.min("first_key").alias("lo"), F.max("last_key").alias("hi")))
-    wanted = wanted.join(top, (F.col("wanted") >= F.col("lo")) & (F.col("wanted") <= F.col("hi"))).select(F.col("part").alias("in_part"), "wanted")
+    top = wanted.sparkSession.sparkContext.broadcast(_stretches(directory))
+
+    def deal(batches):
+        rows = top.value
+        lows, highs = [r[2] for r in rows], [r[3] for r in rows]
+        for batch in batches:
+            out = [(rows[k][0], rows[k][1], key) for key in batch.column("wanted").to_pylist() for k in range(bisect_left(highs, key), bisect_right(lows, key))]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.string()), strict=True)], names=["part", "stretch", "wanted"])
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(left, right):
         right = right.sort_by("block")
         firsts, lasts, files, offsets, lengths = (right.column(c).to_pylist() for c in ("first_key", "last_key", "file", "offset", "length"))
         found: dict[int, list[str]] = {}
@@ -190,7 +211,9 @@ def named_blocks(wanted: DataFrame, index_path: str) -> DataFrame:
         columns = [[files[k] for k in found], [offsets[k] for k in found], [lengths[k] for k in found], list(found.values())]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string())), strict=True)], names=["file", "offset", "length", "wanted"])
 
-    return wanted.groupBy("in_part").cogroup(directory.groupBy("part")).applyInArrow(run, _NAMED)
+    dealt = wanted.mapInArrow(deal, "part int, stretch long, wanted string")
+    rows = directory.withColumn("stretch", F.floor(F.col("block") / STRETCH))
+    return dealt.groupBy("part", "stretch").cogroup(rows.groupBy("part", "stretch")).applyInArrow(run, _NAMED)
 
 
 def look_up(urls: DataFrame, index_path: str) -> DataFrame:
@@ -244,5 +267,6 @@ def read(captures: DataFrame, folder: str) -> DataFrame:
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
-    ordered = captures.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    places = materialize(captures.select("file", "offset", "length"), "places")  # the ranges are found by a sample: look up once
+    ordered = places.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string")

@@ -155,11 +155,15 @@ def test_archives(spark, tmp_path):
     assert sorted((r["page_id"], r["record_type"]) for r in warc.read(warc.look_up(again, index), folder).collect() if r["page_id"] in (1, 9)) == [(1, "revisit")] * 2 + [(9, "response")] * 2
 
 
-def test_index_blocks(spark, tmp_path):
+@pytest.mark.parametrize("stretch", [256, 2])
+def test_index_blocks(spark, tmp_path, monkeypatch, stretch):
+    monkeypatch.setattr(warc, "STRETCH", stretch)
     rows = [(f"com,h{i % 37})/", i, "f", i, 1) for i in range(700)] + [("com,hot)/", 1000 + i, "f", i, 1) for i in range(900)]
     index = warc.index(spark.createDataFrame(rows, "key string, page_id long, file string, offset long, length long"), block=64)
     urls = spark.createDataFrame([("http://hot.com/",), ("http://h5.com",)], "url string")
     named = warc.named_blocks(spark.createDataFrame([("com,h5)/",), ("com,h9)/",)], "wanted string"), index).collect()
+    wide = warc.look_up(urls, index)
+    assert "NestedLoop" not in wide._jdf.queryExecution().toString()
     assert len(named) <= 4 < spark.read.parquet(f"{index}/directory").count()  # no other block is read
     assert sorted(r["page_id"] for r in warc.look_up(urls, index).collect()) == sorted([i for i in range(700) if i % 37 == 5] + [1000 + i for i in range(900)])
 
