@@ -134,7 +134,6 @@ def run_lengths(spark, sf_dir):
     return _stage(spark, sf_dir, lambda s: (None, s.size, s.total((s.place == 0) | (s.v != s.before(1)))), "n long, runs long")
 
 
-_T = "CASE WHEN {b} >= {a} AND {a} >= {n} THEN {d} WHEN {b} <= {a} AND {a} <= {n} THEN {u} ELSE 0 END"
 
 
 def squeeze_sql(line: str, at: str) -> str:
@@ -170,31 +169,61 @@ def row_squeeze(spark, sf_dir):
 
 @query("w07_column_squeeze", f"WITH {RASTER_SQL}, {squeeze_sql('p % 32', 'p // 32')}")
 def column_squeeze(spark, sf_dir):
-    """A squeeze step along columns, with tendency. Each raster is a matrix of its own, as tall as it is."""
+    """A squeeze step along columns, with tendency. The columns of rasters of like heights (up to twice the least) are one matrix."""
 
     def f(s):
         out = np.zeros((3, s.n), np.int64)
-        for i in range(s.n):
-            v, tall = s.v[s.start[i] : s.start[i] + s.size[i]], -(-int(s.size[i]) // 32)
-            lines = np.zeros((tall * 32,), np.int64)
-            lines[: len(v)] = v
-            width = min(32, len(v))
-            lines = lines.reshape(tall, 32)[:, :width].T
-            size = np.bincount(np.arange(len(v)) % 32, minlength=width)[:width]
-            lines = np.concatenate([lines, np.zeros((width, tall % 2), np.int64)], 1) if tall % 2 else lines
-            out[:, i] = [x[0] for x in _squeezed(lines, size, np.zeros(width, np.int64), np.arange(width), 1)]
+        tall = -(-s.size // 32)
+        kind = np.frexp(tall.astype(float))[1]
+        for k in np.unique(kind[tall > 0]):
+            own = np.flatnonzero(kind == k)
+            height = int(tall[own].max())
+            height += height % 2
+            number = np.full(s.n, -1)
+            number[own] = np.arange(len(own))
+            at = np.flatnonzero(number[s.row] >= 0)
+            line = number[s.row[at]] * 32 + s.x[at]
+            lines = np.zeros((len(own) * 32, height), np.int64)
+            lines[line, s.y[at]] = s.v[at]
+            size = np.bincount(line, minlength=len(lines))
+            some = np.flatnonzero(size)
+            out[:, own] = _squeezed(lines[some], size[some], some // 32, some % 32, len(own))
         return None, *out
 
     return _stage(spark, sf_dir, f, "averages long, residuals long, magnitude long")
 
 
-@query("w09_unsqueezed", f"WITH {RASTER_SQL} SELECT doc_id, {DIGEST.format('v')} AS digest, count(*) AS n FROM px GROUP BY doc_id")
+
+
+def tendency_sql(b: str, a: str, n: str) -> str:
+    """SQL for the expected difference of a pair with average a, after the sample b and before the average n."""
+    twelfth = lambda x: f"CAST(trunc(({x}) / 12) AS BIGINT)"
+    x, y = twelfth(f"4 * {b} - 3 * {n} - {a} + 6"), twelfth(f"4 * {b} - 3 * {n} - {a} - 6")
+    x = f"CASE WHEN {x} - ({x} & 1) > 2 * ({b} - {a}) THEN 2 * ({b} - {a}) + 1 ELSE {x} END"
+    y = f"CASE WHEN {y} + ({y} & 1) < 2 * ({b} - {a}) THEN 2 * ({b} - {a}) - 1 ELSE {y} END"
+    down = f"CASE WHEN ({x}) + (({x}) & 1) > 2 * ({a} - {n}) THEN 2 * ({a} - {n}) ELSE {x} END"
+    up = f"CASE WHEN ({y}) - (({y}) & 1) < 2 * ({a} - {n}) THEN 2 * ({a} - {n}) ELSE {y} END"
+    return f"CASE WHEN {b} >= {a} AND {a} >= {n} THEN {down} WHEN {b} <= {a} AND {a} <= {n} THEN {up} ELSE 0 END"
+
+
+@query(
+    "w09_unsqueezed",
+    f"""WITH RECURSIVE {RASTER_SQL}, e AS (SELECT doc_id, p // 32 AS y, p % 32 // 2 AS k, max(CASE WHEN p % 2 = 0 THEN v END) AS a, max(CASE WHEN p % 2 = 1 THEN v END) - 128 AS r FROM px GROUP BY ALL),
+f AS (SELECT *, CASE WHEN r IS NULL THEN NULL ELSE coalesce(lead(a) OVER (PARTITION BY doc_id, y ORDER BY k), a) END AS n FROM e),
+u AS (SELECT doc_id, y, k, a, NULL::BIGINT AS one, NULL::BIGINT AS two, r, n, a AS before FROM f WHERE k = 0
+UNION ALL SELECT f.doc_id, f.y, f.k, f.a, NULL, NULL, f.r, f.n, ((2 * g.a + g.dif + CASE WHEN g.dif > 0 THEN -(g.dif & 1) ELSE g.dif & 1 END) >> 1) - g.dif FROM (SELECT *, r + {{tendency}} AS dif FROM u WHERE r IS NOT NULL) g JOIN f ON f.doc_id = g.doc_id AND f.y = g.y AND f.k = g.k + 1),
+o AS (SELECT doc_id, y, k, a, r, r + {{tendency}} AS dif FROM u), z AS (SELECT doc_id, y * 32 + 2 * k AS p, CASE WHEN r IS NULL THEN a ELSE (2 * a + dif + CASE WHEN dif > 0 THEN -(dif & 1) ELSE dif & 1 END) >> 1 END AS v FROM o
+UNION ALL SELECT doc_id, y * 32 + 2 * k + 1, ((2 * a + dif + CASE WHEN dif > 0 THEN -(dif & 1) ELSE dif & 1 END) >> 1) - dif FROM o WHERE r IS NOT NULL)
+SELECT doc_id, {DIGEST.format('v')} AS digest, count(*) AS n FROM z GROUP BY doc_id""".format(tendency=tendency_sql("before", "a", "n")),
+)
 def unsqueezed(spark, sf_dir):
-    """Rows taken apart by a squeeze step and put together again: the samples as they were."""
+    """Rows put together from averages and residuals that no squeeze step made: a row's even samples, and its odd ones less 128."""
 
     def f(s):
         lines, size, _ = rasters.row_lines(s)
-        back = rasters.unsqueeze(*rasters.squeeze(lines, size), size)
+        pairs = np.arange(16) < size[:, None] // 2
+        averages = np.concatenate([lines[:, 0::2], np.zeros((len(lines), 1), np.int64)], 1)
+        back = rasters.unsqueeze(averages, np.where(pairs, lines[:, 1::2] - 128, 0), size)
         return None, s.digest(back[:, :32][np.arange(32) < size[:, None]]), s.size
 
     return _stage(spark, sf_dir, f, "digest long, n long")
@@ -234,17 +263,27 @@ def colour_transforms(spark, sf_dir):
     return _stage(spark, sf_dir, f, "kind int, first long, second long, third long")
 
 
-@query("d08_colour_inverses", f"WITH {RASTER_SQL}, {_TRIPLETS} SELECT doc_id, CAST(sum(r * (k % 97 + 1)) AS BIGINT) * 42 AS r, CAST(sum(g * (k % 97 + 1)) AS BIGINT) * 42 AS g, CAST(sum(b * (k % 97 + 1)) AS BIGINT) * 42 AS b FROM t WHERE b IS NOT NULL GROUP BY doc_id")
+_PLACES = [[order.index(k) for k in range(3)] for order in rasters.PERMUTATIONS]
+
+
+@query(
+    "d08_colour_inverses",
+    f"""WITH {RASTER_SQL}, {_TRIPLETS}, q AS (SELECT doc_id, k, kind, kind % 7 AS s, r AS a, g AS b, b AS c FROM t, (SELECT range AS kind FROM range(42)) WHERE b IS NOT NULL),
+c AS (SELECT *, CASE WHEN s = 6 THEN a - (c >> 1) ELSE c + CASE WHEN s % 2 = 1 THEN a ELSE 0 END END AS m FROM q),
+i AS (SELECT doc_id, k, kind, CASE WHEN s = 6 THEN [m - (b >> 1) + b, c + m, m - (b >> 1)] ELSE [a, b + CASE s // 2 WHEN 1 THEN a WHEN 2 THEN (a + m) >> 1 ELSE 0 END, m] END AS o FROM c),
+z AS (SELECT doc_id, k, kind, CASE kind // 7 {' '.join(f"WHEN {i} THEN [{', '.join(f'o[{k + 1}]' for k in own)}]" for i, own in enumerate(_PLACES))} END AS o FROM i)
+SELECT doc_id, CAST(kind AS INT) AS kind, {', '.join(f'CAST(sum(o[{c + 1}] * (k % 97 + 1)) AS BIGINT) AS {name}' for c, name in enumerate('rgb'))} FROM z GROUP BY doc_id, kind""",
+)
 def colour_inverses(spark, sf_dir):
-    """The channels that all 42 inverse transforms give back, summed."""
+    """All 42 inverse colour transforms of a document's sample triplets, taken as transformed channels: digests of the three channels they give."""
 
     def f(s):
         channels, of, number = _channels(s)
-        back = [rasters.colour_inverse(rasters.colour_forward(channels, kind), kind) for kind in range(42)]
-        some = np.flatnonzero(s.size >= 3)
-        return some, *(rasters.total(sum(x[c] for x in back) * (number % 97 + 1), of, s.n)[some] for c in range(3))
+        weight, some = number % 97 + 1, np.flatnonzero(s.size >= 3)
+        sums = [[rasters.total(x * weight, of, s.n)[some] for x in rasters.colour_inverse(channels, kind)] for kind in range(42)]
+        return np.tile(some, 42), np.repeat(np.arange(42), len(some)), *(np.concatenate([x[c] for x in sums]) for c in range(3))
 
-    return _stage(spark, sf_dir, f, "r long, g long, b long")
+    return _stage(spark, sf_dir, f, "kind int, r long, g long, b long")
 
 
 @query("d16_quantised_residuals", f"WITH {RASTER_SQL}, {RESIDUAL_SQL}, q AS (SELECT doc_id, sign(r) * ((abs(r) + 2) // 4) * 4 AS q, r FROM res) SELECT doc_id, CAST(sum(CASE WHEN q = 0 THEN 1 ELSE 0 END) AS BIGINT) AS zeros, CAST(sum(abs(q)) AS BIGINT) AS magnitude, CAST(sum(abs(r - q)) AS BIGINT) AS loss FROM q GROUP BY doc_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..sources.tables import CELLS_SQL, cells
+from .statistics import quantiles
 
 # Tie bands of the axes. Bytes in per cent; the two metrics absolute, or relative with a floor.
 BYTES_TIE, NEAR, HIGHER_TIE, LOWER_RELATIVE, LOWER_FLOOR = 0.1, 2.0, 0.25, 0.02, 0.005
@@ -108,8 +109,11 @@ def backend_report(spark, sf_dir):
 )
 def time_ratios(spark, sf_dir):
     """Median of either side, their ratio, whether it keeps within the budget of 1.2, and the least of either side."""
-    side = lambda f, s: f(F.when(F.col("strategy") == s, F.col("distance")))
-    t = cells(spark, sf_dir).groupBy("effort").agg(side(F.median, "A").alias("o"), side(F.median, "R").alias("t"), side(F.min, "A").alias("our_least"), side(F.min, "R").alias("their_least"), F.count("*").alias("n"))
+    c = cells(spark, sf_dir)
+    side = lambda s: F.when(F.col("strategy") == s, F.col("distance"))
+    t = c.groupBy("effort").agg(F.min(side("A")).alias("our_least"), F.min(side("R")).alias("their_least"), F.count("*").alias("n"))
+    for name, s in (("o", "A"), ("t", "R")):
+        t = t.join(quantiles(c, ["effort"], side(s), {name: 0.5}), "effort", "left")
     ratio = F.col("o") / F.col("t")
     return t.select("effort", F.round("o", 6).alias("ours"), F.round("t", 6).alias("theirs"), F.round(ratio, 6).alias("ratio"), (ratio <= 1.2).cast("int").alias("within"), "our_least", "their_least", "n")
 

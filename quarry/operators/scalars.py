@@ -87,18 +87,26 @@ def _float_sql(at: int, word: str) -> str:
 _FLOATS = ", ".join(_float_sql(4 * k, "('0x' || {})::BIGINT") + f" AS {name}" for k, name in enumerate(KNOBS))
 
 
-@query("s13_parameter_blobs", f"SELECT doc_id, {_FLOATS} FROM (SELECT doc_id, substr(hex(encode(text)), 1, 2 * (20 + doc_id % 5)) AS h FROM documents)")
+@query("s13_parameter_blobs", f"SELECT doc_id, CAST(k AS INT) AS k, {_FLOATS} FROM (SELECT doc_id, unnest(range((octet_length(encode(text)) + 23) // 24)) AS k, substr(hex(encode(text)), 48 * k + 1, 48) AS h FROM documents)")
 def parameter_blobs(spark, sf_dir):
-    """Six little-endian 32-bit floats from blobs of 24 bytes; null from blobs of another length. Arrow converts whole batches."""
+    """A text's bytes as blobs of 24, each six little-endian 32-bit floats; a shorter last one is no blob, and null."""
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     def run(batches):
         for batch in batches:
-            blobs = [x if x is not None and len(x) == 24 else None for x in batch.column("blob").to_pylist()]
-            values = np.frombuffer(b"".join(x or bytes(24) for x in blobs), "<f4").reshape(-1, 6).astype(np.float64)
-            missing = np.array([x is None for x in blobs], bool)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(values[:, k], mask=missing) for k in range(6))], names=["doc_id", *KNOBS])
-
-    blob = F.expr("substring(encode(text, 'UTF-8'), 1, CAST(20 + doc_id % 5 AS INT))")
-    return table(spark, sf_dir, "documents").select("doc_id", blob.alias("blob")).mapInArrow(run, "doc_id long, " + ", ".join(f"{k} double" for k in KNOBS))
+            blob = batch.column("blob")
+            whole = pc.fill_null(pc.equal(pc.binary_length(blob), 24), False)
+            dense = blob.filter(whole)
+            data = dense.cast(pa.large_binary()).buffers()
+            at = np.frombuffer(data[1], np.int64, len(dense) + 1, dense.offset * 8) if len(dense) else np.zeros(1, np.int64)
+            floats = np.frombuffer(data[2], "<f4", 6 * len(dense), int(at[0])) if len(dense) else np.empty(0, "<f4")
+            ok = whole.to_numpy(zero_copy_only=False).astype(bool)
+            values = np.zeros((batch.num_rows, 6))
+            values[ok] = floats.reshape(-1, 6)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k"), *(pa.array(values[:, k], mask=~ok) for k in range(6))], names=["doc_id", "k", *KNOBS])
+
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b")).filter(F.octet_length("b") > 0)
+    cut = texts.select("doc_id", "b", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("b") - 1) / 24).cast("int"))).alias("k"))
+    return cut.select("doc_id", "k", F.expr("substring(b, 24 * k + 1, 24)").alias("blob")).mapInArrow(run, "doc_id long, k int, " + ", ".join(f"{k} double" for k in KNOBS))

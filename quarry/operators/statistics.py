@@ -20,6 +20,19 @@ def _counted(spark, sf_dir, value):
     return c.withColumns({"upto": F.sum("n").over(w), "total": F.sum("n").over(Window.partitionBy("image"))})
 
 
+def quantiles(rows, keys: list[str], value, points: dict[str, float], name: str = "value_"):
+    """Quantiles of a column by keys, between the two values nearest in rank where the rank is not whole. Values are counted before they are ordered;
+    nulls have no rank."""
+    c = rows.withColumn(name, value).filter(F.col(name).isNotNull()).groupBy(*keys, name).agg(F.count("*").alias("n_"))
+    w = Window.partitionBy(*keys)
+    c = c.withColumns({"upto_": F.sum("n_").over(w.orderBy(name)), "total_": F.sum("n_").over(w)})
+    rank = lambda q: F.lit(q) * (F.col("total_") - 1)
+    at = lambda r: F.min(F.when(F.col("upto_") > r, F.col(name)))
+    ends = c.groupBy(*keys).agg(F.max("total_").alias("total_"), *[f for p, q in points.items() for f in (at(F.floor(rank(q))).alias(f"{p}_low"), at(F.ceil(rank(q))).alias(f"{p}_high"))])
+    part = lambda q: rank(q) - F.floor(rank(q))
+    return ends.select(*keys, *[(F.col(f"{p}_low") + part(q) * (F.col(f"{p}_high") - F.col(f"{p}_low"))).alias(p) for p, q in points.items()])
+
+
 @query("w18_average_rank", f"WITH {CELLS_SQL}, r AS (SELECT image, quality, rank() OVER (PARTITION BY image ORDER BY quality) + (count(*) OVER (PARTITION BY image, quality) - 1) / 2.0 AS r FROM cells) SELECT image, quality, count(*) AS n, avg(r) AS rank FROM r GROUP BY ALL")
 def average_rank(spark, sf_dir):
     """Rank of each value of an image, the mean one for equal values."""
@@ -87,9 +100,10 @@ def nearest_rank(spark, sf_dir):
 
 @query("g40_rate_quartiles", f"WITH {CELLS_SQL} SELECT image, round(quantile_cont(bytes / distance, 0.25), 6) AS p25, round(quantile_cont(bytes / distance, 0.5), 6) AS p50, round(quantile_cont(bytes / distance, 0.75), 6) AS p75, round(max(bytes / distance), 6) AS top FROM cells GROUP BY image")
 def rate_quartiles(spark, sf_dir):
-    rate = F.col("bytes") / F.col("distance")
-    t = cells(spark, sf_dir).groupBy("image").agg(F.percentile(rate, [0.25, 0.5, 0.75]).alias("p"), F.round(F.max(rate), 6).alias("top"))
-    return t.select("image", *[F.round(F.get("p", F.lit(i)), 6).alias(c) for i, c in enumerate(("p25", "p50", "p75"))], "top")
+    """Quartiles and maximum of the bytes for each unit of distance."""
+    points = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "top": 1.0}
+    q = quantiles(cells(spark, sf_dir), ["image"], F.col("bytes") / F.col("distance"), points)
+    return q.select("image", *[F.round(p, 6).alias(p) for p in points])
 
 
 @query(
@@ -260,7 +274,13 @@ def isotonic_curves(spark, sf_dir):
 
 @query("a26_cell_summary", f"WITH {CELLS_SQL} SELECT image, effort, count(*) AS n, min(distance) AS least, round(median(bytes), 4) AS median_bytes, round(median(butter), 6) AS median_butter FROM cells GROUP BY ALL")
 def cell_summary(spark, sf_dir):
-    return cells(spark, sf_dir).groupBy("image", "effort").agg(F.count("*").alias("n"), F.min("distance").alias("least"), F.round(F.median("bytes"), 4).alias("median_bytes"), F.round(F.median("butter"), 6).alias("median_butter"))
+    """Cells, least distance and medians by image and effort."""
+    c, keys = cells(spark, sf_dir), ["image", "effort"]
+    t = c.groupBy(*keys).agg(F.count("*").alias("n"), F.min("distance").alias("least"))
+    for name, digits in (("bytes", 4), ("butter", 6)):
+        q = quantiles(c, keys, F.col(name), {f"median_{name}": 0.5})
+        t = t.join(q.withColumn(f"median_{name}", F.round(f"median_{name}", digits)), keys, "left")
+    return t
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..sources.tables import CELLS_SQL, cells, table
+from .statistics import quantiles
 
 
 @query("u01_merge_keep_last", f"WITH {CELLS_SQL} SELECT image, effort, strategy, distance, params, bytes FROM (SELECT *, row_number() OVER (PARTITION BY image, effort, strategy ORDER BY l_orderkey DESC, bytes DESC, params DESC, distance DESC) AS k FROM cells) WHERE k = 1")
@@ -41,10 +42,20 @@ def pareto_front(spark, sf_dir):
 _BAND = "CASE WHEN distance < 1 THEN 'low' WHEN distance < 2.5 THEN 'mid' ELSE 'high' END"
 
 
-@query("g38_band_summary", f"WITH {CELLS_SQL} SELECT {_BAND} AS band, strategy, count(*) AS n, round(median(bytes), 4) AS median_bytes, round(quantile_cont(butter, 0.9), 6) AS p90_butter, round(regr_slope(quality, distance), 8) AS slope, round(corr(bytes, distance), 8) AS r FROM cells GROUP BY ALL")
+@query(
+    "g38_band_summary",
+    f"""WITH {CELLS_SQL} SELECT {_BAND} AS band, strategy, count(*) AS n, round(avg(bytes), 4) AS mean_bytes, round(quantile_cont(bytes, 0.25), 4) AS p25_bytes, round(median(bytes), 4) AS median_bytes, round(quantile_cont(bytes, 0.75), 4) AS p75_bytes,
+round(quantile_cont(butter, 0.9), 6) AS p90_butter, round(regr_slope(quality, distance), 8) AS slope, round(corr(bytes, distance), 8) AS r FROM cells GROUP BY ALL""",
+)
 def band_summary(spark, sf_dir):
+    """Cells of each band and strategy: bytes' mean and quartiles, the metric's ninth tenth, slope and correlation."""
     band = F.when(F.col("distance") < 1, "low").when(F.col("distance") < 2.5, "mid").otherwise("high")
-    return cells(spark, sf_dir).groupBy(band.alias("band"), "strategy").agg(F.count("*").alias("n"), F.round(F.median("bytes"), 4).alias("median_bytes"), F.round(F.percentile("butter", 0.9), 6).alias("p90_butter"), F.round(F.regr_slope("quality", "distance"), 8).alias("slope"), F.round(F.corr("bytes", "distance"), 8).alias("r"))
+    c, keys = cells(spark, sf_dir).withColumn("band", band), ["band", "strategy"]
+    t = c.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg("bytes"), 4).alias("mean_bytes"), F.round(F.regr_slope("quality", "distance"), 8).alias("slope"), F.round(F.corr("bytes", "distance"), 8).alias("r"))
+    points = {"p25_bytes": 0.25, "median_bytes": 0.5, "p75_bytes": 0.75}
+    b = quantiles(c, keys, F.col("bytes"), points).select(*keys, *[F.round(p, 4).alias(p) for p in points])
+    p = quantiles(c, keys, F.col("butter"), {"p90_butter": 0.9}).withColumn("p90_butter", F.round("p90_butter", 6))
+    return t.join(b, keys).join(p, keys)
 
 
 @query("cell_totals", f"WITH {CELLS_SQL} SELECT coalesce(strategy, 'TOTAL') AS strategy, coalesce(CAST(effort AS VARCHAR), 'TOTAL') AS effort, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM cells GROUP BY ROLLUP (strategy, effort)")
@@ -53,9 +64,18 @@ def totals_rollup(spark, sf_dir):
     return t.select(F.coalesce("strategy", F.lit("TOTAL")).alias("strategy"), F.coalesce(F.col("effort").cast("string"), F.lit("TOTAL")).alias("effort"), "n", "bytes")
 
 
-@query("g36_strategy_pivot", f"WITH {CELLS_SQL} SELECT effort, CAST(sum(bytes) FILTER (strategy = 'A') AS BIGINT) AS a, CAST(sum(bytes) FILTER (strategy = 'N') AS BIGINT) AS n, CAST(sum(bytes) FILTER (strategy = 'R') AS BIGINT) AS r FROM cells GROUP BY effort")
+_SIDES = {"a": "A", "n": "N", "r": "R"}
+
+
+@query(
+    "g36_strategy_pivot",
+    f"""WITH {CELLS_SQL} SELECT effort, count(*) AS cells, {', '.join(f"CAST(sum(bytes) FILTER (strategy = '{v}') AS BIGINT) AS {k}, round(avg(bytes) FILTER (strategy = '{v}'), 4) AS mean_{k}, count(*) FILTER (strategy = '{v}' AND quality >= 95) AS good_{k}" for k, v in _SIDES.items())} FROM cells GROUP BY effort""",
+)
 def strategy_pivot(spark, sf_dir):
-    return cells(spark, sf_dir).groupBy("effort").pivot("strategy", ["A", "N", "R"]).agg(F.sum("bytes")).select("effort", F.col("A").alias("a"), F.col("N").alias("n"), F.col("R").alias("r"))
+    """Bytes, their mean, and cells of quality 95 or more, of each strategy beside the others."""
+    own = lambda v, x: F.when(F.col("strategy") == v, x)
+    columns = [f for k, v in _SIDES.items() for f in (F.sum(own(v, F.col("bytes"))).alias(k), F.round(F.avg(own(v, F.col("bytes"))), 4).alias(f"mean_{k}"), F.count_if((F.col("strategy") == v) & (F.col("quality") >= 95)).alias(f"good_{k}"))]
+    return cells(spark, sf_dir).groupBy("effort").agg(F.count("*").alias("cells"), *columns)
 
 
 @query("curve_rises", f"WITH {CELLS_SQL}, c AS (SELECT image, distance, min(bytes) AS b FROM cells GROUP BY ALL), l AS (SELECT image, b - lag(b) OVER (PARTITION BY image ORDER BY distance) AS s FROM c) SELECT image, count(s) AS steps, CAST(sum(CASE WHEN s > 0 THEN 1 ELSE 0 END) AS BIGINT) AS rises, max(s) AS worst FROM l GROUP BY image")

@@ -100,13 +100,20 @@ def length_cost(spark, sf_dir):
     f"""WITH {_SAMPLES}, a AS (SELECT l_orderkey, l_linenumber, [c8, c16 % 256, CAST(floor(q) AS BIGINT)] AS a, [c16 // 256, CAST(floor(u * 255) AS BIGINT), c8 // 2] AS b FROM samples),
 s AS (SELECT *, (a[1] + b[1] + a[2] + b[2] + a[3] + b[3]) * (1.21::DOUBLE / 3) AS m FROM a),
 w AS (SELECT *, 3 + CASE WHEN a[1] + b[1] >= m THEN 1.15 ELSE 0 END AS w1, 5 + CASE WHEN a[2] + b[2] >= m THEN 1.15 ELSE 0 END AS w2, 2 + CASE WHEN a[3] + b[3] >= m THEN CASE WHEN a[3] + b[3] < 1.22::DOUBLE * m THEN 0.62 ELSE 1.12 END ELSE 0 END AS w3 FROM s)
-SELECT l_orderkey, l_linenumber, round((a[1] - b[1]) ** 2 * w1 * w1::DOUBLE + (a[2] - b[2]) ** 2 * w2 * w2::DOUBLE + (a[3] - b[3]) ** 2 * w3 * w3::DOUBLE, 4) AS weighted FROM w""",
+SELECT l_orderkey, l_linenumber, round(4 * ((a[1] - b[1]) ** 2 * w1 * w1::DOUBLE + (a[2] - b[2]) ** 2 * w2 * w2::DOUBLE + (a[3] - b[3]) ** 2 * w3 * w3::DOUBLE) + (3 * (a[1] - b[1]) + 5 * (a[2] - b[2]) + (a[3] - b[3])) ** 2, 4) AS weighted FROM w""",
 )
 def colour_distance(spark, sf_dir):
-    """Squared differences of two colours, each channel weighted, bright channels more."""
+    """Distance of two colours: see colour_distance_of."""
     s = samples(spark, sf_dir).selectExpr(*_KEY, "array(c8, c16 % 256, floor(q)) AS a", "array(c16 div 256, floor(u * 255), c8 div 2) AS b")
-    part = lambda k: F.get("a", F.lit(k)) + F.get("b", F.lit(k))
+    return s.select(*_KEY, F.round(colour_distance_of("a", "b"), 4).alias("weighted"))
+
+
+def colour_distance_of(a: str, b: str):
+    """Distance of two colours (arrays of three): four times the squared differences, each channel weighted and bright channels more, and the
+    square of the difference of their weighted sums."""
+    one, two = (lambda k: F.get(a, F.lit(k))), (lambda k: F.get(b, F.lit(k)))
+    part = lambda k: one(k) + two(k)
     mean = (part(0) + part(1) + part(2)) * F.lit(1.21 / 3)
     extra = [F.when(part(0) >= mean, 1.15), F.when(part(1) >= mean, 1.15), F.when(part(2) >= mean, F.when(part(2) < 1.22 * mean, 0.62).otherwise(1.12))]
-    total = sum((F.pow(F.get("a", F.lit(k)) - F.get("b", F.lit(k)), 2) * F.pow(F.lit(float(base)) + F.coalesce(x, F.lit(0.0)), 2) for k, (base, x) in enumerate(zip((3, 5, 2), extra, strict=True))), F.lit(0.0))
-    return s.select(*_KEY, F.round(total, 4).alias("weighted"))
+    squares = sum((F.pow(one(k) - two(k), 2) * F.pow(F.lit(float(base)) + F.coalesce(x, F.lit(0.0)), 2) for k, (base, x) in enumerate(zip((3, 5, 2), extra, strict=True))), F.lit(0.0))
+    return 4 * squares + F.pow(3 * (one(0) - two(0)) + 5 * (one(1) - two(1)) + (one(2) - two(2)), 2)
