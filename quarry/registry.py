@@ -24,5 +24,5 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from .operators import blocks, design, entropy, learned, matching, raster, reports, scalars, statistics, stencils, strings, sweep, transfer, trees  # noqa: E402, F401
+from .operators import blocks, design, entropy, learned, matching, planes, raster, reports, scalars, statistics, stencils, strings, sweep, transfer, trees  # noqa: E402, F401
 from .streaming import ingest  # noqa: E402, F401
