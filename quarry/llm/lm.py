@@ -11,25 +11,34 @@ much as `prior` sightings of the context (Dirichlet smoothing), down to the word
 With exact counts these add up to 1 for any context, and unseen contexts leave the lower order as it is. A count is at
 most that of any shorter n-gram in it.
 
-A text's first word follows the end token and has no trigram. The filter is never gathered: each bucket of the key
-space builds its own segment, with every level, and answers the n-grams that the groups ask of it there. An answer is the levels (or, of
-words, the counts) alone, in the order of the group's keys, which the group knows.
+A text's first word follows the end token and has no trigram. Buckets of the key space add up what the training documents show,
+and each writes its segment of the filter, with every level, and its words with their exact counts, to a file of the shared folder.
+Workers map these files into memory, all of them or a bounded group at a time, and probe them where the documents are: only the
+training documents' counts are shuffled, nothing passes through the driver, and a worker's memory does not grow with the filter.
 """
 
 from __future__ import annotations
 
+import json
+import math
+import uuid
+from urllib.parse import urlsplit
+from urllib.request import url2pathname
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ledger
-from .common import SPACED, batch_column, materialize, mix64, slices, span_hashes, text_buffers, word_spans
+from .common import SPACED, batch_column, map_arrow, materialize, mix64, scratch_path, slices, span_hashes, text_buffers, word_spans
 
 END = np.uint64(0x5851F42D4C957F2D)
-#: 40 bits of an n-gram's hash do for a lossy filter: 3 billion distinct n-grams give 0.3 % of unseen ones a count.
-GRAM_BITS = np.uint64(0xFFFFFFFFFF000000)
+#: Bytes of text handled at once where n-grams are probed.
+PROBED = 4 << 20
 _PAIR, _TRIPLE = np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -52,83 +61,54 @@ def pair_hashes(tokens: np.ndarray) -> np.ndarray:
     return mix64(before * _PAIR + tokens)
 
 
-def gram_hashes(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def gram_hashes(tokens: np.ndarray, sizes: np.ndarray, mask: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the pairs that end in each token, those of the triples, and which tokens have one: all but a text's first."""
     pairs = pair_hashes(tokens)
     triples = mix64(np.concatenate([[END], pairs[:-1]]) * _TRIPLE + tokens)
     inner = np.ones(len(tokens), bool)
     inner[np.cumsum(sizes) - sizes] = False
-    return pairs & GRAM_BITS, triples & GRAM_BITS, inner
-
-
-def gram_counts(grams: np.ndarray, shown: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct grams in order, and how often each is shown: that flag goes through the sort in a bit that keys leave free."""
-    packed = np.sort(grams | shown.astype(np.uint64))
-    keys = packed & GRAM_BITS
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    return keys[first], np.add.reduceat(packed & np.uint64(1), first).astype(np.int64) if len(first) else np.empty(0, np.int64)
-
-
-def levels_of(grams: np.ndarray, levels: np.ndarray, most: int = 1 << 24) -> np.ndarray:
-    """The level of each gram; levels has that of each distinct gram, in order. Places go through the sort in the bits that
-    keys leave free, in pieces of `most` grams."""
-    pieces = []
-    for start in range(0, len(grams), most):
-        part = grams[start : start + most]
-        packed = np.sort(part | np.arange(len(part), dtype=np.uint64))
-        keys = packed & GRAM_BITS
-        pieces.append((start + (packed & ~GRAM_BITS).astype(np.int64), keys, np.concatenate([[True], keys[1:] != keys[:-1]])))
-    out = np.zeros(len(grams), np.int8)
-    distinct = np.unique(np.concatenate([keys[new] for _, keys, new in pieces])) if len(pieces) > 1 else None
-    for place, keys, new in pieces:
-        at = np.cumsum(new) - 1
-        out[place] = levels[at if distinct is None else np.searchsorted(distinct, keys[new])[at]]
-    return out
+    return pairs & mask, triples & mask, inner
 
 
-class LevelFilter:
-    """Segmented Bloom filters, one for each level; keys are 64-bit hashes, the top bits name the segment."""
+def key_mask(text_bytes: int) -> np.uint64:
+    """The bits of an n-gram's hash that make its key: so many that, of all n-grams of so much text, some one in a thousand shares its key."""
+    bits = min(64, max(40, math.ceil(math.log2(max(text_bytes, 1))) + 10))
+    return np.uint64((1 << 64) - (1 << 64 - bits))
 
-    def __init__(self, levels: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], n_segments: int, probes: int):
-        self.levels, self.n_segments, self.probes = levels, n_segments, probes
 
-    @staticmethod
-    def segment(keys: np.ndarray, n_segments: int) -> np.ndarray:
-        edges = (np.arange(1, n_segments, dtype=np.float64) * (2.0**64 / n_segments)).astype(np.uint64)
-        return np.searchsorted(edges, keys, "right")
+class LevelFilter:
+    """Bloom filters of one segment, one for each level."""
+
+    def __init__(self, levels: dict[int, np.ndarray], probes: int):
+        self.levels, self.probes = levels, probes
 
     @staticmethod
-    def positions(keys: np.ndarray, size, level: int, probe: int) -> np.ndarray:
+    def positions(keys: np.ndarray, size: int, level: int, probe: int) -> np.ndarray:
         h = mix64(keys + np.uint64((level * 0x9E3779B97F4A7C15 + 1) & (2**64 - 1)))
         step = (h >> np.uint64(32)) | np.uint64(1)
-        return (((h & np.uint64(0xFFFFFFFF)) + np.uint64(probe) * step) & np.uint64(0xFFFFFFFF)) * size >> np.uint64(32)
+        return (((h & np.uint64(0xFFFFFFFF)) + np.uint64(probe) * step) & np.uint64(0xFFFFFFFF)) * np.uint64(size) >> np.uint64(32)
 
     @classmethod
     def build(cls, keys: np.ndarray, level: int, bits_per_key: int, probes: int) -> bytes:
         size = max(64, int(len(keys)) * bits_per_key)
         bits = np.zeros(-(-size // 8) * 8, bool)
         for probe in range(probes):
-            bits[cls.positions(keys, np.uint64(len(bits)), level, probe)] = True
+            bits[cls.positions(keys, len(bits), level, probe)] = True
         return np.packbits(bits, bitorder="little").tobytes()
 
     def quantised(self, keys: np.ndarray) -> np.ndarray:
         """Level reached by each key: 0 if the lowest level misses."""
         reached = np.zeros(len(keys), np.int8)
-        if not self.levels:
-            return reached
-        alive, segment = np.arange(len(keys)), self.segment(keys, self.n_segments)
+        alive = np.arange(len(keys))
         for level in sorted(self.levels):
-            data, start, size = self.levels[level]
-            own, seg = keys[alive], segment[alive]
-            ok = size[seg] > 0
+            data = self.levels[level]
             for probe in range(self.probes):
-                at = self.positions(own, np.maximum(size[seg], 1).astype(np.uint64), level, probe)
-                byte = data[np.minimum(start[seg] + (at >> np.uint64(3)).astype(np.int64), len(data) - 1)]
-                ok &= (byte >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            alive = alive[ok]
-            reached[alive] = level
+                at = self.positions(keys[alive], 8 * len(data), level, probe)
+                byte = data[(at >> np.uint64(3)).astype(np.int64)]
+                alive = alive[(byte >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
             if not len(alive):
                 break
+            reached[alive] = level
         return reached
 
 
@@ -136,107 +116,219 @@ class LevelFilter:
 LEVEL_COUNTS = np.array([0.0] + [1.5 * 2.0 ** (q - 1) - 0.5 for q in range(1, 65)])
 
 
+def edges(n: int) -> np.ndarray:
+    """Where the buckets of the key space end, but the last."""
+    return (np.arange(1, n, dtype=np.float64) * (2.0**64 / n)).astype(np.uint64)
+
+
+def learn(docs: DataFrame, n: int, mask: np.uint64, bits_per_key: int = 16, probes: int = 4, chunk_bytes: int = 16 << 20) -> DataFrame:
+    """Count the words and n-grams of docs (text) and write n segments: bucket, file (below the folder `folder`), words (distinct), total (of their
+    counts), grams (distinct), bytes (of its filter).
+
+    A task counts chunk_bytes of text before it passes counts on. A file: JSON of its arrays, then words' hashes in order and their counts, and
+    the filter of each level.
+    """
+    folder = scratch_path(docs.sparkSession, "model")
+
+    def ask(batches):
+        words, grams, size = [], [], 0
+
+        def out():
+            rows = []
+            for base, parts in ((0, words), (n, grams)):
+                keys = np.sort(np.concatenate(parts))
+                first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                rows += ledger.bucket_rows(0, keys[first], np.diff(np.append(first, len(keys))), n, base)
+            words.clear()
+            grams.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] % n for r in rows], pa.int32()), pa.array([int(r[0] >= n) for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], names=["bucket", "g", "keys", "counts"])
+
+        for batch in batches:
+            for _, tokens, sizes in token_hashes(batch_column(batch, "text")):
+                pairs, triples, inner = gram_hashes(tokens, sizes, mask)
+                words.append(tokens)
+                grams += [pairs, triples[inner]]
+                size += 7 * len(tokens)
+                if size >= chunk_bytes:
+                    yield out()
+                    size = 0
+        if words:
+            yield out()
+
+    def settle(table):
+        bucket = table.column("bucket")[0].as_py()
+        found = []
+        for kind in (0, 1):
+            own = table.filter(pc.equal(table["g"], kind))
+            found += [np.empty(0, np.uint64), np.empty(0, np.int64)] if not own.num_rows else ledger.added(own)[2:]
+        keys, totals, grams, counts = found
+        levels = np.floor(np.log2(counts)).astype(np.int64) + 1 if len(counts) else np.empty(0, np.int64)
+        filters = {k: LevelFilter.build(grams[levels >= k], k, bits_per_key, probes) for k in range(1, int(levels.max(initial=0)) + 1)}
+        head = json.dumps({"words": len(keys), "levels": {k: len(x) for k, x in filters.items()}}).encode()
+        store, base = pa.fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        name = f"{uuid.uuid4().hex}.bin"
+        with store.open_output_stream(f"{base}/{name}", compression=None) as f:
+            f.write(len(head).to_bytes(8, "little") + head + keys.astype("<u8").tobytes() + totals.astype("<i8").tobytes())
+            for x in filters.values():
+                f.write(x)
+        row = (bucket, f"{folder}/{name}", len(keys), int(totals.sum()), len(grams), sum(map(len, filters.values())))
+        return pa.Table.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["bucket", "file", "words", "total", "grams", "bytes"])
+
+    asked = docs.select("text").mapInArrow(ask, ledger.REQUEST)
+    return materialize(asked.groupBy("bucket").applyInArrow(settle, "bucket int, file string, words long, total long, grams long, bytes long"), "segments")
+
+
+class Segment:
+    """A segment's file, mapped into memory."""
+
+    def __init__(self, path: str, probes: int):
+        with open(path, "rb") as f:
+            size = int.from_bytes(f.read(8), "little")
+            head = json.loads(f.read(size))
+        data, at, n = np.memmap(path, np.uint8, "r"), 8 + size, head["words"]
+        self.keys, self.totals = (np.frombuffer(data, t, n, at + 8 * n * k) for k, t in enumerate(("<u8", "<i8")))
+        at += 16 * n
+        levels = {}
+        for k, length in head["levels"].items():
+            levels[int(k)] = data[at : at + length]
+            at += length
+        self.filter = LevelFilter(levels, probes)
+
+
+_SEGMENTS: dict[str, Segment] = {}
+
+
+def _segment(file: str, probes: int) -> Segment:
+    """A mounted file is mapped where it is; of another store's, Spark has given the executor a copy."""
+    if file not in _SEGMENTS:
+        if len(_SEGMENTS) > 100_000:
+            _SEGMENTS.clear()
+        parts = urlsplit(file)
+        path = url2pathname(parts.path) if parts.scheme in ("", "file") else SparkFiles.get(file.rpartition("/")[2])
+        _SEGMENTS[file] = Segment(path, probes)
+    return _SEGMENTS[file]
+
+
+def probed(keys: np.ndarray, files: dict[int, str], n: int, probes: int, words: bool) -> np.ndarray:
+    """Counts of words, or levels of n-grams; 0 where the key's bucket is not among the files."""
+    order = np.argsort(keys)
+    own = keys[order]
+    cuts = np.concatenate([[0], np.searchsorted(own, edges(n)), [len(own)]])
+    out = np.zeros(len(keys), np.int64 if words else np.int8)
+    for bucket in np.flatnonzero(np.diff(cuts)).tolist():
+        if bucket not in files:
+            continue
+        segment, part = _segment(files[bucket], probes), slice(cuts[bucket], cuts[bucket + 1])
+        out[order[part]] = ledger.look_up(segment.keys, segment.totals, own[part]) if words else segment.filter.quantised(own[part])
+    return out
+
+
 def score(
     docs: DataFrame,
     train_column: str,
     prior: tuple[float, float] = (1000.0, 16.0),
-    group_bytes: int = 8 << 20,
+    group_bytes: int = 16 << 20,
     bits_per_key: int = 16,
     probes: int = 4,
+    mapped_bytes: int = 64 << 30,
 ) -> DataFrame:
     """Score each row of docs (doc_id, text, boolean train_column) with a trigram model learnt from the training rows.
 
     Words are the runs of bytes other than ASCII white space, with A-Z in lower case. Null and empty texts have the
-    end token alone. Repeated rows are counted and scored as often as they occur. With no training rows every word
-    is unknown, and N = V = 0. Returns doc_id, train, n_tokens, n_known, train_tokens, base_score, score.
+    end token alone. Repeated rows are counted and scored as often as they occur, rows without a doc_id too; a null train_column counts as false.
+    With no training rows every word is unknown, and N = V = 0. Returns doc_id, train, n_tokens, n_known, train_tokens, base_score,
+    score. Up to mapped_bytes of segments are mapped at a time; a larger model is probed in several passes, between which the rows
+    are written with what they have found. group_bytes: text for each segment.
     """
+    spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(train_column), F.lit(False)).alias("train"))
-    docs, n_groups = ledger.dealt(docs, group_bytes)
-    n = n_groups
-
-    def ask(table: pa.Table) -> pa.Table:
-        g = table.column("g")[0].as_py()
-        train = np.asarray(batch_column(table, "train").to_numpy(zero_copy_only=False), bool)
-        words, known, grams, shown = [], [], [], []
-        for a, tokens, sizes in token_hashes(batch_column(table, "text")):
-            own = np.repeat(train[a : a + len(sizes)], sizes)
-            words.append(tokens)
-            known.append(own)
-            pairs, triples, inner = gram_hashes(tokens, sizes)
-            grams += [pairs, triples[inner]]
-            shown += [own, own[inner]]
-        if words:
-            keys, counts = ledger.unique_counts(np.concatenate(words), np.concatenate(known).astype(np.int64))
-            rows = ledger.bucket_rows(g, keys, counts, n)
-            keys, counts = gram_counts(np.concatenate(grams), np.concatenate(shown))
-            rows += ledger.bucket_rows(g, keys, counts, n, n)
-        else:
-            rows = []
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)] if rows else [pa.array([], t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.binary())], names=["bucket", "g", "keys", "counts"])
-
-    def settle(table: pa.Table) -> pa.Table:
-        """A unigram bucket answers its groups; an n-gram bucket makes its segment of the filter, and answers from it."""
-        bucket = table.column("bucket")[0].as_py()
-        groups, lists, keys, totals = ledger.added(table)
-        if bucket < n:
-            told = [totals[np.searchsorted(keys, x)].astype("<i8").tobytes() for x in lists]
-            rows = [(0, g, bucket, int((totals > 0).sum()) * (i == 0), int(totals.sum()) * (i == 0), x) for i, (g, x) in enumerate(zip(groups, told, strict=True))]
-        else:
-            seen, totals = keys[totals > 0], totals[totals > 0]
-            levels = np.floor(np.log2(totals)).astype(np.int64) + 1
-            held = {}
-            for level in range(1, int(levels.max(initial=0)) + 1):
-                bits = np.frombuffer(LevelFilter.build(seen[levels >= level], level, bits_per_key, probes), np.uint8)
-                held[level] = (bits, np.zeros(1, np.int64), np.array([len(bits) * 8]))
-            reached = LevelFilter(held, 1, probes).quantised(keys)
-            rows = [(1, g, bucket, 0, 0, reached[np.searchsorted(keys, x)].tobytes()) for g, x in zip(groups, lists, strict=True)]
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["kind", "g", "bucket", "n", "total", "counts"])
-
-    asked = docs.groupBy("g").applyInArrow(ask, ledger.REQUEST)
-    settled = materialize(asked.groupBy("bucket").applyInArrow(settle, "kind int, g int, bucket int, n long, total long, counts binary"), "lm")
-    # written, so that the shuffle files of the requests are dropped before the texts are shuffled again
-    sums = materialize(settled.filter("kind = 0").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("N"), F.coalesce(F.sum("n"), F.lit(0)).alias("V")), "sums").first()
+    known = docs.filter("train")
+    size = known.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
+    n, mask, ends = max(4, -(-int(size["b"]) // group_bytes)), key_mask(int(size["b"])), int(size["n"])
+    segments = learn(known, n, mask, bits_per_key, probes)
+    sums = segments.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("N"), F.coalesce(F.sum("words"), F.lit(0)).alias("V")).first()
     n_train, n_distinct = int(sums["N"]), int(sums["V"])
-
-    def rate(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("bucket")
-        answer = {k: b"".join(right.filter(pc.equal(right["kind"], k)).column("counts").to_pylist()) for k in (0, 1)}
-        totals, reached = np.frombuffer(answer[0], "<i8"), np.frombuffer(answer[1], np.int8)
-        texts = list(token_hashes(batch_column(left, "text")))
-        keys, grams = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-        for _, tokens, sizes in texts:
-            pairs, triples, inner = gram_hashes(tokens, sizes)
-            keys.append(np.unique(tokens))
-            grams += [pairs, triples[inner]]
-        keys, told = np.unique(np.concatenate(keys)), LEVEL_COUNTS[levels_of(np.concatenate(grams), reached)]
-        log_base = np.log10(n_train + 0.1 * (n_distinct + 1))
+    groups: list[dict[int, str]] = [{}]
+    held = 0
+    for r in segments.select("bucket", "file", (F.col("bytes") + 16 * F.col("words")).alias("b")).orderBy("bucket").toLocalIterator():  # a row for each segment
+        if held and held + r["b"] > mapped_bytes:
+            groups.append({})
+            held = 0
+        groups[-1][r["bucket"]] = r["file"]
+        held += r["b"]
+        if urlsplit(r["file"]).scheme not in ("", "file"):
+            spark.sparkContext.addFile(r["file"])
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.withColumn("found", F.lit(None).cast("binary"))
+    for k, files in enumerate(groups):
+        shared = spark.sparkContext.broadcast(files)  # names alone
+        if k + 1 < len(groups):
+            rows = materialize(map_arrow(rows, _prober(shared, n, mask, probes), f"doc_id {id_type}, text string, train boolean, found binary"), "probed")
+        else:
+            rater = _rater(shared, n, mask, probes, prior, n_train, n_distinct, ends)
+            rows = map_arrow(rows, rater, f"doc_id {id_type}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows
+
+
+def _looked_up(batch: pa.RecordBatch, shared, n: int, mask: np.uint64, probes: int):
+    """For slices of the rows: first row, tokens, their number in each row, counts of the words, levels of pairs and triples (of those that there are), with
+    what earlier passes have found."""
+    files = shared.value
+    _, offsets = text_buffers(batch_column(batch, "text"))
+    before = batch.column("found").to_pylist() if batch.column("found").null_count < batch.num_rows else None
+    text = batch_column(batch, "text")
+    for a, b in slices(offsets, PROBED):
+        parts = list(token_hashes(text.slice(a, b - a)))
+        tokens, sizes = np.concatenate([t for _, t, _ in parts]), np.concatenate([s for _, _, s in parts])
+        pairs, triples, inner = gram_hashes(tokens, sizes, mask)
+        distinct, back = np.unique(tokens, return_inverse=True)
+        counts = probed(distinct, files, n, probes, True)[back]
+        both = probed(pairs, files, n, probes, False)
+        three = np.zeros(len(tokens), np.int8)
+        three[inner] = probed(triples[inner], files, n, probes, False)
+        if before is not None:
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            for r in range(b - a):
+                m, own = int(sizes[r]), slice(at[r], at[r + 1])
+                counts[own] += np.frombuffer(before[a + r], "<i8", m)
+                both[own] += np.frombuffer(before[a + r], np.int8, m, 8 * m)
+                three[own] += np.frombuffer(before[a + r], np.int8, m, 9 * m)
+        yield a, sizes, counts, both, three, inner
+
+
+def _prober(shared, n, mask, probes):
+    def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = []
+        for _, sizes, counts, both, three, _ in _looked_up(batch, shared, n, mask, probes):
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            found += [counts[i:j].astype("<i8").tobytes() + both[i:j].tobytes() + three[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "text", "train")), pa.array(found, pa.binary())], names=["doc_id", "text", "train", "found"])
+
+    return f
+
+
+def _rater(shared, n, mask, probes, prior, n_train, n_distinct, ends):
+    log_base = np.log10(n_train + 0.1 * (n_distinct + 1))
+
+    def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         n_tokens, n_known, base, full = [], [], [], []
-        ends = int(ledger.look_up(keys, totals, np.array([END]))[0])
-        for _, tokens, sizes in texts:
-            c = ledger.look_up(keys, totals, tokens)
+        for _, sizes, c, pairs, triples, inner in _looked_up(batch, shared, n, mask, probes):
             first = np.cumsum(sizes) - sizes
             logs = np.log10(c + 0.1) - log_base
             context = np.concatenate([[ends], c[:-1]]).astype(np.float64)
-            inner = np.ones(len(tokens), bool)
-            inner[first] = False
-            pairs, triples, told = np.split(told, [len(tokens), 2 * len(tokens) - len(sizes)])
-            both = np.minimum(pairs, np.minimum(context, c))
+            context[first] = ends
+            both = np.minimum(LEVEL_COUNTS[pairs], np.minimum(context, c))
             probability = (both + prior[0] * 10.0**logs) / (context + prior[0])
             before = np.concatenate([[0.0], both[:-1]])[inner]
-            three = np.minimum(triples, np.minimum(before, both[inner]))
+            three = np.minimum(LEVEL_COUNTS[triples[inner]], np.minimum(before, both[inner]))
             probability[inner] = (three + prior[1] * probability[inner]) / (before + prior[1])
             n_tokens.append(sizes)
             n_known.append(np.add.reduceat((c > 0).astype(np.int64), first))
             base.append(np.add.reduceat(logs, first))
             full.append(np.add.reduceat(np.log10(probability), first))
-        empty = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
-        rows = left.num_rows
-        return pa.Table.from_arrays(
-            [left.column("doc_id"), left.column("train"), pa.array(empty(n_tokens, np.int64), pa.int64()), pa.array(empty(n_known, np.int64), pa.int64()), pa.array(np.full(rows, n_train), pa.int64()), pa.array(empty(base, np.float64), pa.float64()), pa.array(empty(full, np.float64), pa.float64())],
-            names=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-        )
+        rows = batch.num_rows
+        columns = [pa.array(np.concatenate(n_tokens), pa.int64()), pa.array(np.concatenate(n_known), pa.int64()), pa.array(np.full(rows, n_train), pa.int64()), pa.array(np.concatenate(base)), pa.array(np.concatenate(full))]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("train"), *columns], names=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.groupBy("g").cogroup(settled.select("g", "kind", "bucket", "counts").groupBy("g")).applyInArrow(rate, f"doc_id {id_type}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return f

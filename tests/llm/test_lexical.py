@@ -233,18 +233,3 @@ def test_removal_polynomial():
             before = sum(1 << j for j in order[: order.index(i)])
             total += p.corner(before | 1 << i) - p.corner(before)
         assert p.shapley(i) * 120 == total
-
-
-@pytest.mark.parametrize("name", ["op11_bucket_search", "op13_filter_audit"])
-def test_sql(spark, name):
-    import duckdb
-
-    sf = "/root/testdata/sf0.001"
-    con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    got = queries.QUERIES[name](spark, sf)
-    want = con.execute(queries.ORACLES[name])
-    names = [d[0] for d in want.description]
-    assert sorted(got.columns) == sorted(names)
-    assert sorted(tuple(r[c] for c in names) for r in got.collect()) == sorted(want.fetchall())

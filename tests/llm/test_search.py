@@ -239,11 +239,14 @@ def test_lm(docs, rows):
     alone = lm.score(docs.withColumn("train", F.lit(False)), "train").collect()
     assert {r["train_tokens"] for r in alone} == {0}
     assert lm.score(train.limit(0), "train").count() == 0
+    odd = train.unionByName(train.filter("doc_id = 12").selectExpr("CAST(NULL AS BIGINT) AS doc_id", *[c for c in train.columns if c not in ("doc_id", "train")], "CAST(NULL AS BOOLEAN) AS train"))
+    odd = {r["doc_id"]: r for r in lm.score(odd, "train", group_bytes=4000).collect()}
+    assert odd[None]["score"] == odd[12]["score"] and not odd[None]["train"] and odd[None]["train_tokens"] == n
 
 
-def test_lm_keeps_every_level_without_gathering(docs, rows, monkeypatch):
-    """Bigrams and trigrams seen once count too, and the filter is neither broadcast nor collected."""
-    from pyspark import SparkContext
+@pytest.mark.parametrize("mapped", [64 << 30, 20_000])
+def test_lm_keeps_every_level_in_stored_segments(docs, rows, monkeypatch, mapped):
+    """Bigrams and trigrams seen once count too; the driver gets neither counts nor filters, whether they are mapped at once or in groups."""
     from pyspark.sql import DataFrame
     from pyspark.sql import functions as F
 
@@ -252,9 +255,8 @@ def test_lm_keeps_every_level_without_gathering(docs, rows, monkeypatch):
 
     train = docs.withColumn("train", F.col("doc_id") % 3 != 0)
     with monkeypatch.context() as m:
-        m.setattr(SparkContext, "broadcast", gathered)
         m.setattr(DataFrame, "collect", gathered)
-        scored = lm.score(train, "train", group_bytes=4000)
+        scored = lm.score(train, "train", group_bytes=4000, mapped_bytes=mapped)
     got = {r["doc_id"]: r["score"] for r in scored.collect()}
     words, pairs, triples = Counter(), Counter(), Counter()
     for i, t in rows:
@@ -283,30 +285,36 @@ def test_lm_keeps_every_level_without_gathering(docs, rows, monkeypatch):
     assert sum(c == 1 for c in pairs.values()) > 100 and near > 0.7 * len(rows)
 
 
-def test_gram_keys_keep_counts_and_places():
-    import numpy as np
-
-    rng = np.random.default_rng(3)
-    grams = rng.choice(rng.integers(0, 1 << 63, 300, dtype=np.uint64) * 2 & lm.GRAM_BITS, 5000)
-    shown = rng.random(5000) < 0.4
-    keys, counts = lm.gram_counts(grams, shown)
-    found, at = np.unique(grams, return_inverse=True)
-    assert (keys == found).all() and (counts == np.bincount(at, weights=shown)).all()
-    levels = rng.integers(0, 9, len(found)).astype(np.int8)
-    for most in (1 << 24, 700):
-        assert (lm.levels_of(grams, levels, most) == levels[at]).all()
-    none = np.empty(0, np.uint64)
-    assert not len(lm.levels_of(none, none.astype(np.int8))) and not len(lm.gram_counts(none, none.astype(bool))[0])
-
-
 def test_filter_levels_without_misses():
-    import numpy as np
-
-    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64) * 2)
-    bits = np.frombuffer(lm.LevelFilter.build(keys, 1, 8, 4), np.uint8)
-    model = lm.LevelFilter({1: (bits, np.zeros(1, np.int64), np.array([len(bits) * 8]))}, 1, 4)
-    assert (model.quantised(keys) == 1).all()
-    assert model.quantised(keys + np.uint64(1)).mean() < 0.06
+    rng = np.random.default_rng(1)
+    keys = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64) * 2
+    counts = rng.integers(1, 40, len(keys))
+    level = np.floor(np.log2(counts)).astype(int) + 1
+    held = {k: np.frombuffer(lm.LevelFilter.build(keys[level >= k], k, 16, 4), np.uint8) for k in range(1, level.max() + 1)}
+    model = lm.LevelFilter(held, 4)
+    reached = model.quantised(keys)
+    assert (reached >= level).all() and (reached > level).mean() < 0.02
+    unseen = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64) * 2 + 1
+    assert (model.quantised(unseen) > 0).mean() < 0.01
+    assert not lm.LevelFilter({}, 4).quantised(unseen).any() and not len(model.quantised(unseen[:0]))
+    # a filter of 16 bits a key for each level takes less than keys and counts in the clear
+    assert sum(map(len, held.values())) < 0.6 * len(keys) * 16
+
+
+def test_segments_answer_their_bucket(spark, docs, rows):
+    segments = lm.learn(docs, 5, lm.key_mask(10_000), chunk_bytes=700).collect()
+    files = {r["bucket"]: r["file"] for r in segments}
+    assert set(files) == set(range(5))
+    count = Counter(w for _, t in rows for w in [*spaced(t), None])
+    assert sum(r["words"] for r in segments) == len(count) and sum(r["total"] for r in segments) == sum(count.values())
+    import pyarrow as pa
+
+    words = sorted({w for w in count if w})
+    keys = np.concatenate([t[:1] for w in words for _, t, _ in lm.token_hashes(pa.array([w]))])
+    assert lm.probed(keys, files, 5, 4, True).tolist() == [count[w] for w in words]
+    some = {k: v for k, v in files.items() if k < 2}
+    assert [x for x in lm.probed(keys, some, 5, 4, True).tolist() if x] and not lm.probed(keys + np.uint64(1), files, 5, 4, True).any()
+    assert int(lm.key_mask(1)) == (1 << 64) - (1 << 24) and int(lm.key_mask(1 << 60)) == (1 << 64) - 1
 
 
 def test_pack():
@@ -324,7 +332,7 @@ def test_query_against_sql(spark, name):
 
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     want = con.execute(queries.ORACLES[name])
     columns = [d[0] for d in want.description]
