@@ -402,3 +402,86 @@ def quantised_nonzeros(spark, sf_dir):
     error = F.pow(F.col("x") - q / 16, 2)
     t = x.groupBy("vec_id", "label").agg(F.sum((q != 0).cast("long")).alias("nonzeros"), F.sum(F.abs(q)).cast("long").alias("magnitude"), F.avg(error).alias("mse"))
     return t.select("vec_id", "label", "nonzeros", "magnitude", F.round(F.when(F.col("mse") == 0, 100.0).otherwise(10 * F.log10(1 / F.col("mse"))), 5).alias("psnr"))
+
+
+_TUPLES_SQL = "u AS (SELECT doc_id, k, r * 65536 + g * 256 + b AS c FROM t WHERE b IS NOT NULL)"
+#: Colours of a palette at most; a raster with more has none.
+MOST_COLOURS = 1024
+
+
+@query(
+    "g19_colour_palette",
+    f"""WITH {RASTER_SQL}, {_TRIPLETS}, {_TUPLES_SQL}, d AS (SELECT doc_id, k, dense_rank() OVER (PARTITION BY doc_id ORDER BY c) - 1 AS i, c FROM u),
+s AS (SELECT doc_id, count(*) AS pixels, max(i) + 1 AS colours, sum(i * (k % 97 + 1)) AS digest, sum(DISTINCT c) AS total FROM d GROUP BY doc_id)
+SELECT doc_id, pixels, colours, colours <= {MOST_COLOURS} AS fits, CASE WHEN colours <= {MOST_COLOURS} THEN CAST(digest AS BIGINT) END AS digest, CAST(total AS BIGINT) AS colour_sum FROM s""",
+)
+def colour_palette(spark, sf_dir):
+    """Palettes of whole colours (three samples): distinct ones in order, whether they are few enough, and every pixel as its place among them."""
+
+    def f(s):
+        (r, g, b), of, number = _channels(s)
+        colour = r * 65536 + g * 256 + b
+        key, back = np.unique(of * (1 << 24) + colour, return_inverse=True)
+        owner = key >> 24
+        index = (np.arange(len(key)) - np.searchsorted(owner, owner))[back]
+        some = np.flatnonzero(s.size >= 3)
+        colours = np.bincount(owner, minlength=s.n)[some]
+        digest = rasters.total(index * (number % 97 + 1), of, s.n)[some]
+        return some, np.bincount(of, minlength=s.n)[some], colours, colours <= MOST_COLOURS, digest, rasters.total(key & 0xFFFFFF, owner, s.n)[some]
+
+    out = _stage(spark, sf_dir, f, "pixels long, colours long, fits boolean, digest long, colour_sum long")
+    return out.withColumn("digest", F.when(F.col("fits"), F.col("digest")))
+
+
+_QUANT = "least(255, CAST(floor({0} / 8.0 + 0.5) AS BIGINT) * 8)"
+_LUMA = "(0.2126::DOUBLE * {r} + 0.7152::DOUBLE * {g} + 0.0722::DOUBLE * {b})"
+
+
+@query(
+    "g15_colour_psnr",
+    f"""WITH {RASTER_SQL}, {_TRIPLETS}, q AS (SELECT doc_id, r, g, b, {', '.join(f'{_QUANT.format(c)} AS q{c}' for c in 'rgb')} FROM t WHERE b IS NOT NULL),
+e AS (SELECT doc_id, count(*) AS n, {', '.join(f'avg(({c} - q{c}) * ({c} - q{c})) AS m{c}' for c in 'rgb')}, avg(power({_LUMA.format(r='r', g='g', b='b')} - {_LUMA.format(r='qr', g='qg', b='qb')}, 2)) AS luma FROM q GROUP BY doc_id)
+SELECT doc_id, n AS pixels, round(CASE WHEN mr + mg + mb = 0 THEN 99 ELSE least(99, 10 * log10(65025.0 * 3 / (mr + mg + mb))) END, 6) AS rgb, round(CASE WHEN luma < 1e-12 THEN 99 ELSE least(99, 10 * log10(65025.0 / luma)) END, 6) AS luma FROM e""",
+)
+def colour_psnr(spark, sf_dir):
+    """Peak signal to noise, over three channels and over luma, of colours brought to multiples of 8; 99 at most."""
+
+    def f(s):
+        channels, of, _ = _channels(s)
+        some = np.flatnonzero(s.size >= 3)
+        n = np.bincount(of, minlength=s.n)[some]
+        error = [x - np.minimum(255, np.floor(x / 8.0 + 0.5).astype(np.int64) * 8) for x in channels]
+        mean = sum(rasters.total(e * e, of, s.n)[some] / n for e in error) / 3
+        luma = np.bincount(of, (0.2126 * error[0] + 0.7152 * error[1] + 0.0722 * error[2]) ** 2, s.n)[some] / n
+        db = lambda m: np.where(m < 1e-12, 99.0, np.minimum(99.0, 10 * np.log10(65025.0 / np.maximum(m, 1e-300))))
+        return some, n, db(mean), db(luma)
+
+    return _stage(spark, sf_dir, f, "pixels long, rgb double, luma double").withColumns({c: F.round(c, 6) for c in ("rgb", "luma")})
+
+
+FACTORS = (2, 4, 8)
+
+
+@query(
+    "p43_box_factors",
+    f"""WITH {RASTER_SQL}, c AS (SELECT doc_id, f, p // 32 // f AS y, p % 32 // f AS x, sum(v) AS s, count(*) AS n FROM px, (SELECT unnest({list(FACTORS)}) AS f) GROUP BY ALL)
+SELECT doc_id, CAST(f AS INT) AS factor, count(*) AS n, CAST(sum(CAST((s + n // 2) // n AS BIGINT) * ((y * (32 // f) + x) % 97 + 1)) AS BIGINT) AS digest FROM c GROUP BY doc_id, f""",
+)
+def box_factors(spark, sf_dir):
+    """Rounded means of boxes of three sizes; boxes at the edge have fewer samples."""
+
+    def f(s):
+        rows = []
+        for factor in FACTORS:
+            wide = 32 // factor
+            boxes = -(-(-(-s.size // 32)) // factor) * wide
+            first = np.cumsum(boxes) - boxes
+            at = first[s.row] + s.y // factor * wide + s.x // factor
+            total, n = (np.bincount(at, w, int(boxes.sum())).astype(np.int64) for w in (s.v, None))
+            of = np.repeat(np.arange(s.n), boxes)
+            place = np.arange(len(of)) - first[of]
+            mean = np.where(n > 0, (total + n // 2) // np.maximum(n, 1), 0)
+            rows.append((np.arange(s.n), np.full(s.n, factor), rasters.total(n > 0, of, s.n), rasters.total(mean * (place % 97 + 1), of, s.n)))
+        return tuple(np.concatenate(c) for c in zip(*rows, strict=True))
+
+    return _stage(spark, sf_dir, f, "factor int, n long, digest long")
