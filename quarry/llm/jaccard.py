@@ -8,7 +8,7 @@ o = ceil(t (a+b) / (1+t)) shingles, so each lists all its o-subsets for every pa
 link without further check. Heavy sets are matched by inverted lists of their prefixes: in one order of all shingles, two
 linked sets share one of their first n - ceil(t n) + 1; as their first common one leaves o - 1 more behind it in both, a
 pair is only checked where its places in both sets allow that. The boundary is where listing subsets would cost more
-than the lists, summed over the size histogram of the corpus.
+than the lists, summed over the size histogram of the corpus: the lists of small sets are measured, with the checks that they cause.
 
 Shingles found in many prefixes (shared passages) go last in that order, so that few prefixes hold them. In each list
 all sets are first compared with the list's smallest one (a star, as many pairs as list entries). Sets of one list that are
@@ -21,6 +21,7 @@ returns one link for each two components that it joins. So no pair is a row, and
 
 from __future__ import annotations
 
+from functools import cache
 from itertools import combinations
 from math import comb
 
@@ -84,10 +85,15 @@ def _digests(docs: DataFrame, words: int) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), f, "doc_id long, n long, d1 long, d2 long")
 
 
+#: What the check of a pair costs, in entries: cutting and comparing its texts takes 13 times as long as an entry (measured on texts of 20 words), and
+#: their bytes, some ten times an entry's, pass two joins.
+CHECK = 25.0
+
+
 def choose_boundary(sizes: dict[int, int], lists: dict[int, float], percent: int) -> int:
-    """The largest size to be light: where the sum of subsets below and prefix entries above is least.
+    """The largest size to be light: where the sum of subsets below and of lists above is least.
 
-    sizes: number of sets of each size up to MOST_LIGHT + 1; lists: cost of a set's prefix entries by size.
+    sizes: number of sets of each size up to MOST_LIGHT + 8; lists: what a set of each size costs in lists, entries and checks.
     """
     best, at = None, 0
     for x in range(0, MOST_LIGHT + 1):
@@ -96,19 +102,37 @@ def choose_boundary(sizes: dict[int, int], lists: dict[int, float], percent: int
             if 0 < n <= x:
                 partners = range(-(-percent * n // 100), min(x, 100 * n // percent) + 1)
                 cost += c * sum(comb(n, needed(n, b, percent)) for b in partners if needed(n, b, percent) <= n)
-        if best is None or cost <= best:
+        if best is None or cost < best:
             best, at = cost, x
     return at
 
 
+def _list_costs(small: DataFrame, words: int, percent: int, short_list: int) -> dict[int, float]:
+    """What a set costs in inverted lists, by size: its prefix entries, and a check for each other set in their lists, of which a long list causes short_list at most.
+    small: distinct sets of the sizes in question and of all sizes that these can link with."""
+    entries = _entries(small, words, percent, 0, None).groupBy("key", "n").agg(F.count("*").alias("m"))
+    entries = materialize(entries, "small")
+    others = entries.groupBy("key").agg(F.sum("m").alias("c"))
+    checks = F.least(F.col("c") - 1, F.lit(short_list)) * CHECK / 2  # a pair's check is shared by the two
+    by = entries.join(others, "key").groupBy("n").agg(F.sum(F.col("m") * (1 + checks)).alias("cost"))
+    out = {r["n"]: float(r["cost"]) for r in by.collect()}  # as many rows as sizes
+    discard(entries)
+    return out
+
+
+@cache
+def _picks(a: int, o: int) -> np.ndarray:
+    """The places of all o-subsets of a members."""
+    return np.array(list(combinations(range(a), o)), np.int64)
+
+
 def _subset_keys(keys: np.ndarray, partner: int, percent: int) -> np.ndarray:
     """Keys of all subsets of the size that a partner of that size must share."""
     a = len(keys)
     o = needed(a, partner, percent)
     if o > min(a, partner):
         return np.empty(0, np.uint64)
-    picks = np.array(list(combinations(range(a), o)), np.int64)
-    own = mix64(keys ^ np.uint64(0x5DEECE66D))[picks].sum(1, dtype=np.uint64)
+    own = mix64(keys ^ np.uint64(0x5DEECE66D))[_picks(a, o)].sum(1, dtype=np.uint64)
     low, high = min(a, partner), max(a, partner)
     return mix64(own + np.uint64(low * 1_000_003 + high))
 
@@ -329,8 +353,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, hot_entr
     reps = docs.join(known.select("doc_id", "alone"), "doc_id")
 
     histogram = {r["n"]: r["c"] for r in rep_ids.filter(F.col("n") <= MOST_LIGHT + 8).groupBy("n").agg(F.count("*").alias("c")).collect()}
-    prefix_cost = {n: float(n - -(-percent * n // 100) + 1) * 4.0 for n in range(1, MOST_LIGHT + 9)}  # an entry also costs the check of its pairs
-    boundary = choose_boundary(histogram, prefix_cost, percent)
+    most = 100 * (MOST_LIGHT + 8) // percent  # sizes that sets of the histogram can link with
+    small = docs.join(rep_ids.filter((F.col("n") > 0) & (F.col("n") <= most)).select("doc_id").distinct(), "doc_id", "left_semi").withColumn("alone", F.lit(False))
+    total = _list_costs(small, words, percent, short_list) if histogram else {}
+    boundary = choose_boundary(histogram, {n: total[n] / c for n, c in histogram.items() if n in total}, percent)
 
     # copies are counted too: that changes the order of shingles at most
     often = materialize(_entries(docs.withColumn("alone", F.lit(True)), words, percent, boundary, None).filter("NOT sure").groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") >= hot_entries), "often")

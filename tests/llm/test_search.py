@@ -130,6 +130,35 @@ def test_boundary_follows_cost():
     cheap = jaccard.choose_boundary({n: 10 for n in range(1, 33)}, {n: 1e6 for n in lists}, 80)
     assert cheap > 20
     assert jaccard.choose_boundary({n: 10 for n in range(1, 33)}, {n: 1.0 for n in lists}, 80) < cheap
+    assert jaccard.choose_boundary({30: 4}, {30: 3.0}, 80) == 0
+
+
+def test_measured_lists_make_the_light_half_link_unlike_sets(spark, monkeypatch):
+    """With the sizes of a registered table, and more small near copies among them, sets of different sizes meet by their subsets."""
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    small = [(10**6 + 100 * g + k, " ".join([f"g{g}w{i}" for i in range(13)] + [f"end{k}"] * (k > 0))) for g in range(6) for k in range(30)]
+    given = docs.unionByName(spark.createDataFrame(small, "doc_id long, text string"))
+    chosen, seen = [], []
+    choose, entries = jaccard.choose_boundary, jaccard._entries
+
+    def spy(sizes, lists, percent):
+        chosen.append(choose(sizes, lists, percent))
+        assert all(lists[n] >= 1 for n in lists)
+        return chosen[-1]
+
+    def kept(*args):
+        out = entries(*args)
+        if args[-1] is not None:
+            seen.append(out.filter("sure").select("key", "rep", "n").toPandas())
+        return out
+
+    monkeypatch.setattr(jaccard, "choose_boundary", spy)
+    monkeypatch.setattr(jaccard, "_entries", kept)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(given).collect()}
+    assert chosen and chosen[0] >= 10
+    sizes = seen[-1].groupby("key")["n"].nunique()
+    assert (sizes > 1).any()  # one subset, two sizes of set
+    assert all(got[i] == 10**6 + (i - 10**6) // 100 * 100 for i, _ in small)
 
 
 def test_token_files(spark, docs, rows, tmp_path):
