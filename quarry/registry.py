@@ -24,5 +24,5 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from .operators import blocks, curves, design, entropy, learned, matching, merging, planes, raster, regions, reports, scalars, statistics, stencils, strings, sweep, transfer, trees  # noqa: E402, F401
+from .operators import blocks, content, curves, design, entropy, learned, matching, merging, planes, raster, regions, reports, scalars, statistics, stencils, strings, sweep, transfer, trees  # noqa: E402, F401
 from .streaming import ingest  # noqa: E402, F401
