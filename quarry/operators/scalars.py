@@ -60,6 +60,38 @@ _V = "((u * 8D - 4D) * (1D + w))"
 projection("v11_dead_zone_quantised", "Weighted coefficients, 0 in the dead zone, else the nearest integer, ties to even.", y=f"CASE WHEN abs({_V}) < CASE WHEN c8 % 4 = 0 THEN {FIRST}D ELSE {OTHERS}D END THEN 0D WHEN abs({_V}) - floor(abs({_V})) = 0.5D THEN sign({_V}) * 2D * floor((abs({_V}) + 1D) / 2D) ELSE sign({_V}) * floor(abs({_V}) + 0.5D) END")
 projection("f16_overrides", "Settings with those overridden that are given.", a="coalesce(CASE WHEN c8 % 3 = 0 THEN u END, w)", b="coalesce(CASE WHEN c8 % 5 = 0 THEN CAST(c8 AS DOUBLE) END, CASE WHEN c8 % 2 = 0 THEN u END, 0D)")
 
+projection("g25_quantised_field", "A field of multipliers as whole steps from 1 to 255, half a step up.", y="CAST(least(greatest(floor(u * 300D + 0.5D), 1D), 255D) AS BIGINT)")
+
+#: Target of a tile's error, and bounds of its step; a tile's error, its step now and at first, and the round.
+_ERROR, _STEP, _FIRST_STEP, _ROUND = "(w * 2.5D)", "(1 + c8 % 200)", "(1 + c16 % 200)", "(c16 % 3)"
+_RAISED = f"{_STEP} * ({_ERROR} / 1.2D)"
+_BLENDED = f"(CASE WHEN {_ROUND} = 1 THEN 0.6D * {_RAISED} + 0.4D * {_FIRST_STEP} ELSE {_RAISED} END)"
+projection("l03_adjusted_field", "Steps of tiles whose error is over the target, raised by the same ratio (in round 1 mixed with the first ones), by one at least, within bounds.", y=f"CAST(CASE WHEN {_ERROR} <= 1.2D THEN {_STEP} ELSE floor(least(greatest(greatest({_BLENDED}, {_STEP} + 1D), 4D), 180D)) END AS BIGINT)")
+
+#: A value with 16 significant bits: whole number, sign, and halvings.
+_WHOLE, _SIGN, _HALVED = "abs(c16 - 32768)", "(CASE WHEN c16 < 32768 THEN 32768 ELSE 0 END)", "(c8 % 42 - 2)"
+_EXPONENT = f"(length(bin({_WHOLE})) - 1 - {_HALVED} + 15)"
+projection(
+    "p17_half_bits", "Values as 16-bit floats, cut off: sign, five bits of exponent, ten of mantissa; small ones without an exponent, too small ones 0, too large ones null.",
+    bits=f"CAST(CASE WHEN {_WHOLE} = 0 THEN 0 WHEN {_EXPONENT} >= 31 THEN NULL WHEN {_EXPONENT} < -10 THEN {_SIGN} WHEN {_EXPONENT} <= 0 THEN {_SIGN} + floor({_WHOLE} * pow(2D, 24 - {_HALVED})) "
+    f"ELSE {_SIGN} + {_EXPONENT} * 1024 + floor({_WHOLE} * pow(2D, 11 - length(bin({_WHOLE})))) - 1024 END AS BIGINT)",
+)
+
+# Coefficients that foretell a quality: of the constant, the target, its hinges at 50, 60, 70, 80 and 85, and the size; of eight features; of these times the
+# target; of these times the hinge at 80.
+SEED = (
+    18.236299968062756, 14.225576735397231, 6.851106604548416, 5.964310698099696, -4.165298017327582, -1.2199460933094541, -18.607663900312122, -5.701052276921821,
+    -53.93417957141681, -44.31518225784404, 2.8328625158937566, 9.268970257945522, 3.337965136386378, -2.6861110238041777, 3.468920603273567, -34.44467613388063,
+    -57.349554683122214, -15.942396314039918, 0.4188634254074954, 1.1366157440838158, 12.60834299763201, 2.9856010278392433, 2.6055194222082547, -59.37628136420917,
+    103.47921161919237, 36.821402449311186, -0.9023333281312831, -14.009579928131277, -8.837165071050778, 3.0575694167432457, -3.6172174158927266, 78.4065070669234,
+)
+_TARGET = "(least(greatest(q, 40D), 90D))"
+_HINGE = lambda k: f"(greatest({_TARGET} - {k}D, 0D) / 10D)"
+_SEEN = ("(u)", "(w)", "(ln(1D + c8))", "(u * w)", "(c8 / 255D)", "(c16 / 65535D)", "(c8 % 8)", "(w * c8 / 255D)")
+_NORMAL = f"(({_TARGET} - 65D) / 25D)"
+_INPUTS = ["1D", _NORMAL, *map(_HINGE, (50, 60, 70, 80, 85)), "((ln(1D + c16) - 13D) / 3D)", *_SEEN, *[f"({f} * {_NORMAL})" for f in _SEEN], *[f"({f} * {_HINGE(80)})" for f in _SEEN]]
+projection("m19_foretold_quality", "The quality to start from, foretold from a target, a size and eight features.", digits=6, y="least(greatest(" + " + ".join(f"({c!r}D * {x})" for c, x in zip(SEED, _INPUTS, strict=True)) + ", 1D), 100D)")
+
 _WRITTEN = "CASE l_linenumber WHEN 1 THEN 'NA' WHEN 2 THEN '' WHEN 3 THEN 'nan' WHEN 4 THEN ' 1.5 ' WHEN 5 THEN '1.5d' ELSE CAST(CAST(l_quantity AS INT) AS {s}) END"
 _NUMBER = r"^\s*[-+]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][-+]?[0-9]+)?\s*$"
 

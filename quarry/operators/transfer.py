@@ -65,17 +65,11 @@ projection("p42_finite", "Values that are not finite as 0.", v=t.FINITE.format(v
 
 @query("p18_half_floats", "SELECT vec_id, CAST(p AS INT) AS p, CASE WHEN a = 0 THEN 0.0 WHEN a < pow(2, -14) THEN s * round_even(a * pow(2, 24), 0) / pow(2, 24) ELSE s * round_even(a * pow(2, 10 - e), 0) * pow(2, e - 10) END AS v FROM (SELECT vec_id, p, abs(x) AS a, CASE WHEN x < 0 THEN -1.0 ELSE 1.0 END AS s, floor(log2(CASE WHEN x = 0 THEN 1 ELSE abs(x) END)) AS e FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS p FROM embeddings))")
 def half_floats(spark, sf_dir):
-    """Samples brought to 16-bit floats (ten bits after the first, ties to even) and back. Arrow converts whole batches."""
-    import numpy as np
-    import pyarrow as pa
-
-    def run(batches):
-        for batch in batches:
-            x = batch.column("x").to_numpy(zero_copy_only=False).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("p"), pa.array(x.astype(np.float64))], names=["vec_id", "p", "v"])
-
-    x = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "x"))
-    return x.mapInArrow(run, "vec_id long, p int, v double")
+    """Samples brought to 16-bit floats (ten bits after the first, ties to even) and back; those under 2 ** -14 to multiples of 2 ** -24."""
+    x = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "x")).withColumn("x", F.col("x").cast("double"))
+    a = F.abs("x")
+    step = F.when(a < 2.0**-14, F.lit(2.0**-24)).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(F.when(a == 0, 1.0).otherwise(a))) - 10))
+    return x.select("vec_id", "p", (F.bround(F.col("x") / step) * step + 0.0).alias("v"))
 
 
 # Empirical costs of run lengths by token.
