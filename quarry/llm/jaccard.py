@@ -4,8 +4,8 @@ A document is its set of distinct word shingles (64-bit hashes). Equal sets fall
 representative of each goes on.
 
 Light sets (up to a boundary size) are matched by subsets: two sets of sizes a and b link when they share
-o = ceil(t (a+b) / (1+t)) shingles, so each lists all its o-subsets for every partner size b, and an equal subset is a
-link without further check. Heavy sets are matched by inverted lists of their prefixes: in one order of all shingles, two
+o = ceil(t (a+b) / (1+t)) shingles, so each lists all its o-subsets for every partner size b, and an equal subset of sets of both
+sizes is a link without further check (sets of one size that share a subset meant for another size need not link). Heavy sets are matched by inverted lists of their prefixes: in one order of all shingles, two
 linked sets share one of their first n - ceil(t n) + 1; as their first common one leaves o - 1 more behind it in both, a
 pair is only checked where its places in both sets allow that. The boundary is where listing subsets would cost more
 than the lists, summed over the size histogram of the corpus: the lists of small sets are measured, with the checks that they cause.
@@ -140,7 +140,8 @@ def _subset_keys(keys: np.ndarray, partner: int, percent: int) -> np.ndarray:
 def _entries(reps: DataFrame, words: int, percent: int, boundary: int, hot: np.ndarray | None) -> DataFrame:
     """key, rep, n, pos, sure: subset keys of light sets, and prefix entries of those that may have a heavy partner.
 
-    pos: place of the key in the set's order, from 1; 0 for subset keys and for ids that are not `alone` (one set only).
+    pos: place of the key in the set's order, from 1; 0 for ids that are not `alone` (one set only). Of subset keys: 1 if they are for
+    partners of another size, else 0.
     """
     shared = reps.sparkSession.sparkContext.broadcast(hot if hot is not None else np.empty(0, np.uint64))
 
@@ -170,13 +171,13 @@ def _entries(reps: DataFrame, words: int, percent: int, boundary: int, hot: np.n
             for r in np.flatnonzero((sizes > 0) & (sizes <= boundary)):
                 n = int(sizes[r])
                 own = keys[at[r] : at[r + 1]]
-                found = [_subset_keys(own, b, percent) for b in range(-(-percent * n // 100), min(boundary, 100 * n // percent) + 1)]
-                found = np.concatenate(found) if found else np.empty(0, np.uint64)
-                out_key.append(found)
-                out_rep.append(np.full(len(found), ids[a + r]))
-                out_n.append(np.full(len(found), n))
-                out_pos.append(np.zeros(len(found), np.int64))
-                out_sure.append(np.ones(len(found), bool))
+                for b in range(-(-percent * n // 100), min(boundary, 100 * n // percent) + 1):
+                    found = _subset_keys(own, b, percent)
+                    out_key.append(found)
+                    out_rep.append(np.full(len(found), ids[a + r]))
+                    out_n.append(np.full(len(found), n))
+                    out_pos.append(np.full(len(found), int(b != n)))
+                    out_sure.append(np.ones(len(found), bool))
         join = lambda x, t: np.concatenate(x).astype(t) if x else np.empty(0, t)
         return pa.RecordBatch.from_arrays([pa.array(join(out_key, np.uint64).view(np.int64)), pa.array(join(out_rep, np.int64)), pa.array(join(out_n, np.int32)), pa.array(join(out_pos, np.int32)), pa.array(join(out_sure, bool))], names=["key", "rep", "n", "pos", "sure"])
 
@@ -374,7 +375,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, hot_entr
 
     # lists with one set are no use
     place = F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")
-    first = entries.groupBy("key", "sure").agg(F.min("rep").alias("pivot"), F.min_by(place, "rep").alias("p_place"), F.count("*").alias("c")).filter("c > 1").select("key", "sure", "pivot", "p_place")
+    first = entries.groupBy("key", "sure").agg(F.min("rep").alias("pivot"), F.min_by(place, "rep").alias("p_place"), F.count("*").alias("c"), F.max("pos").alias("other"), F.min("n").alias("n_low"), F.max("n").alias("n_high"))
+    # a subset for two sizes says nothing of sets of one of them; with both, each links with those of the other size, so all are one class
+    first = first.filter("c > 1 AND (NOT sure OR other = 0 OR n_low < n_high)").select("key", "sure", "pivot", "p_place")
     listed = materialize(entries.join(first, ["key", "sure"]), "lists")
     discard(entries)
     texts = materialize(docs.join(listed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")

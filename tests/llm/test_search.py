@@ -133,6 +133,21 @@ def test_boundary_follows_cost():
     assert jaccard.choose_boundary({30: 4}, {30: 3.0}, 80) == 0
 
 
+@pytest.mark.parametrize("boundary", [3, 9, 14, 20])
+def test_light_sets_link_as_brute_force_says(spark, monkeypatch, boundary):
+    """Small sets of many sizes that share most of their shingles: whatever is light, the classes are the same."""
+    rng = np.random.default_rng(boundary)
+    rows = []
+    for g in range(14):
+        words = [f"g{g}w{i}" for i in range(int(rng.integers(6, 24)))]
+        for _ in range(9):
+            a, b = int(rng.integers(0, 4)), int(rng.integers(0, 4))
+            rows.append((len(rows), " ".join(words[a : len(words) - b] + [f"x{rng.integers(3)}"] * int(rng.integers(0, 3)))))
+    monkeypatch.setattr(jaccard, "choose_boundary", lambda *_: boundary)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: x[1] for i, x in brute_classes(rows).items()}
+
+
 def test_measured_lists_make_the_light_half_link_unlike_sets(spark, monkeypatch):
     """With the sizes of a registered table, and more small near copies among them, sets of different sizes meet by their subsets."""
     docs = queries.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
