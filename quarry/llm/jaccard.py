@@ -375,9 +375,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, hot_entr
 
     # lists with one set are no use
     place = F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")
-    first = entries.groupBy("key", "sure").agg(F.min("rep").alias("pivot"), F.min_by(place, "rep").alias("p_place"), F.count("*").alias("c"), F.max("pos").alias("other"), F.min("n").alias("n_low"), F.max("n").alias("n_high"))
+    heads = F.min("rep").alias("pivot"), F.min_by(place, "rep").alias("p_place"), F.count("*").alias("c")
+    first = entries.filter("NOT sure OR pos = 0").groupBy("key", "sure").agg(*heads).filter("c > 1")
     # a subset for two sizes says nothing of sets of one of them; with both, each links with those of the other size, so all are one class
-    first = first.filter("c > 1 AND (NOT sure OR other = 0 OR n_low < n_high)").select("key", "sure", "pivot", "p_place")
+    both = entries.filter("sure AND pos = 1").groupBy("key", "sure").agg(*heads, F.min("n").alias("n_low"), F.max("n").alias("n_high")).filter("n_low < n_high")
+    first = first.select("key", "sure", "pivot", "p_place").unionByName(both.select("key", "sure", "pivot", "p_place"))
     listed = materialize(entries.join(first, ["key", "sure"]), "lists")
     discard(entries)
     texts = materialize(docs.join(listed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
