@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..registry import query
+from ..registered import query
 from ..sources.tables import table
 
 BLOCK_SQL = "e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS p FROM embeddings WHERE len(embedding) = 64)"

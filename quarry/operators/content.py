@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import planes
 from ..functions.rasters import Slice, raster_stage
-from ..registry import query
+from ..registered import query
 from ..sources.tables import WIDTH, table
 
 #: Range of a channel up to which a block is flat; gradient above which a pixel is an edge; bounds above which a raster is a screen.

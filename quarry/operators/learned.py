@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boosting
 from ..functions.boosting import BINS, Model
-from ..registry import query
+from ..registered import query
 from ..sources import tables
 from ..sources.tables import CELLS_SQL, table
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..registry import query
+from ..registered import query
 from ..sources.tables import CELLS_SQL, cells
 
 #: The parts of a cell's key.

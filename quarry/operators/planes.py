@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import planes
 from ..functions.planes import digest, plane_stage
-from ..registry import query
+from ..registered import query
 from ..sources.tables import table
 from .stencils import CORNER, SIDE, TAPS
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rasters
 from ..functions.rasters import Slice, raster_stage, residuals
-from ..registry import query
+from ..registered import query
 from ..sources.tables import DIGEST, RASTER_SQL, RESIDUAL_SQL, table
 
 

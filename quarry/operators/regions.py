@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import planes, rasters
 from ..functions.planes import digest, plane_stage
 from ..functions.rasters import raster_stage, residuals, zigzag
-from ..registry import query
+from ..registered import query
 from ..sources import separated
 from ..sources.shared import shared_path
 from ..sources.tables import CELLS_SQL, RASTER_SQL, RESIDUAL_SQL, cells, table

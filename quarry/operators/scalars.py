@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..registry import query
+from ..registered import query
 from ..sources.tables import table
 from .transfer import projection
 

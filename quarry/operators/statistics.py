@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..registry import query
+from ..registered import query
 from ..sources.tables import CELLS_SQL, cells, table
 
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.rasters import WIDTH, raster_stage, residuals, zigzag
-from ..registry import query
+from ..registered import query
 from ..sources.tables import DIGEST, RASTER_SQL, RESIDUAL_SQL, table
 from .blocks import AROUND_SQL, BLOCK_SQL, _blocks, block_stage
 from .scalars import ONES, RECIPROCAL

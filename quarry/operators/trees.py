@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import trees
 from ..functions.rasters import count_stage
 from ..functions.trees import BINS, CHOICES, HIGH, LOW, PROPERTIES, TOKENS, Node
-from ..registry import query
+from ..registered import query
 from ..sources.tables import RASTER_SQL, RESIDUAL_SQL, table
 
 #: Levels of splits, and the bits that a split has to save.

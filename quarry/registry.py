@@ -2,27 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a function (spark, sf_dir) -> DataFrame, and its SQL."""
-
-    def add(f):
-        if name in QUERIES:
-            raise ValueError(f"{name} twice")
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-from .operators import blocks, content, curves, design, entropy, learned, matching, merging, planes, raster, regions, reports, scalars, statistics, stencils, strings, sweep, transfer, trees  # noqa: E402, F401
-from .streaming import ingest  # noqa: E402, F401
+from .operators import blocks, content, curves, design, entropy, learned, matching, merging, planes, raster, regions, reports, scalars, statistics, stencils, strings, sweep, transfer, trees  # noqa: F401
+from .registered import ORACLES, QUERIES, query  # noqa: F401
+from .streaming import ingest  # noqa: F401

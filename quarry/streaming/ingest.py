@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..registry import query
+from ..registered import query
 from ..sources.shared import shared_path
 
 
