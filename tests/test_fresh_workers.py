@@ -38,3 +38,7 @@ def first_query(name):
 
 def test_context_clusters_first():
     first_query("n06_context_clusters")
+
+
+def test_code_lengths_first():
+    first_query("n07_code_lengths")
