@@ -58,12 +58,15 @@ def _arrow(schema: T.StructType, batch: pa.RecordBatch) -> pa.Schema:
     return pa.schema([*batch.schema, pa.field("m_tokens", pa.int64()), pa.field("m_topic", pa.string())])
 
 
+def _by_margin(cells: DataFrame, *kept: str) -> DataFrame:
+    """A row for each cell and margin: margin, value and the columns kept."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("margin"), F.col(m).alias("value")) for m in MARGINS]))
+    return cells.select(each.alias("k"), *kept).select("k.*", *kept)
+
+
 def targets(cells: DataFrame, temper: float = 0.5) -> DataFrame:
     """Default target shares: each margin's token shares tempered (power `temper`) towards equal ones. margin, value, share."""
-    sums = None
-    for m in MARGINS:
-        own = cells.groupBy(F.col(m).alias("value")).agg(F.sum("tokens").alias("t")).select(F.lit(m).alias("margin"), "value", F.pow(F.col("t").cast("double"), temper).alias("x"))
-        sums = own if sums is None else sums.unionByName(own)
+    sums = _by_margin(cells, "tokens").groupBy("margin", "value").agg(F.pow(F.sum("tokens").cast("double"), temper).alias("x"))
     total = sums.groupBy("margin").agg(F.sum("x").alias("all"))
     return sums.join(total, "margin").filter("x > 0").select("margin", "value", (F.col("x") / F.col("all")).alias("share"))
 
@@ -76,7 +79,7 @@ def rake(cells: DataFrame, target: DataFrame, rounds: int = 60, tolerance: float
     get none. The steps are the same. Targets that no weights meet leave some share off: see most_off.
     """
     cells = cells.filter("tokens > 0")
-    present = cells.select(F.explode(F.array(*[F.struct(F.lit(m).alias("margin"), F.col(m).alias("value")) for m in MARGINS])).alias("k")).select("k.*").distinct()
+    present = _by_margin(cells).distinct()
     target = target.join(present, ["margin", "value"])
     target = target.join(target.groupBy("margin").agg(F.sum("share").alias("all")), "margin").select("margin", "value", (F.col("share") / F.col("all")).alias("share"))
     if cells.count() <= most_local:
@@ -119,13 +122,11 @@ def rake(cells: DataFrame, target: DataFrame, rounds: int = 60, tolerance: float
 
 def most_off(raked: DataFrame, target: DataFrame) -> float:
     """The largest distance of a margin value's weight from its target, over the values that have tokens."""
-    worst = 0.0
-    for m in MARGINS:
-        goal = target.filter(F.col("margin") == m).select(F.col("value").alias(m), "share")
-        sums = raked.groupBy(m).agg(F.sum("w").alias("sum_w")).join(goal, m, "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
-        top = sums.agg(F.sum("share").alias("all")).first()["all"] or 1.0
-        worst = max(worst, sums.agg(F.max(F.abs(F.col("sum_w") - F.col("share") / F.lit(top)))).first()[0] or 0.0)
-    return worst
+    goal = target.select("margin", "value", "share")
+    sums = _by_margin(raked, "w").groupBy("margin", "value").agg(F.sum("w").alias("sum_w")).join(goal, ["margin", "value"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+    tops = sums.groupBy("margin").agg(F.sum("share").alias("all"))
+    top = F.when(F.col("all") > 0, F.col("all")).otherwise(F.lit(1.0))
+    return sums.join(tops, "margin").agg(F.max(F.abs(F.col("sum_w") - F.col("share") / top))).first()[0] or 0.0
 
 
 def tempered(cells: DataFrame, temper: float = 0.5) -> DataFrame:
@@ -143,17 +144,13 @@ def tempered(cells: DataFrame, temper: float = 0.5) -> DataFrame:
 
 def margins(cells: DataFrame) -> DataFrame:
     """Shares that cells with w have by margin and value: margin, value, share."""
-    out = None
-    for m in MARGINS:
-        own = cells.groupBy(F.col(m).alias("value")).agg(F.sum("w").alias("share")).select(F.lit(m).alias("margin"), "value", "share")
-        out = own if out is None else out.unionByName(own)
-    return out
+    return _by_margin(cells, "w").groupBy("margin", "value").agg(F.sum("w").alias("share"))
 
 
 def weighted(cells: DataFrame, target: DataFrame | None, tolerance: float = 1e-4) -> DataFrame:
     """Cells with w, raked to target. Targets that the cells cannot meet raise. Default ones that they cannot meet, since cells are
     missing, give way to those shares that `tempered` cells have, with a warning: these can be met, and are raked to."""
-    goal = targets(cells) if target is None else target
+    goal = materialize(targets(cells), "goal") if target is None else target
     raked = materialize(rake(cells, goal), "raked")
     off = most_off(raked, goal)
     if off > tolerance and target is None:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, batch_column, first_of_row, map_arrow, slices, span_hashes, text_buffers, word_spans
+from .common import SPACED, batch_column, first_of_row, map_arrow, release, slices, span_hashes, text_buffers, word_spans
 
 #: Classes of bytes whose pairs are counted: letters by case, digits, white space, each other visible sign, non-ASCII.
 _CLASS = np.zeros(256, np.int64)
@@ -200,6 +200,7 @@ def score(docs: DataFrame, labels: DataFrame, eligible=None, threshold: float =
     are replaced (see common.beside to keep them).
     """
     model = train(docs, labels, F.lit(True) if eligible is None else eligible)
+    release()  # the sample's features
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
     from pyspark.sql import types as T
