@@ -18,10 +18,15 @@ avg(quality) FILTER (strategy = 'R') AS their_q, avg(butter) FILTER (strategy =
 
 
 def pairs(spark, sf_dir):
-    """Strategy A ("ours") beside R ("theirs") of each image and effort that has both."""
+    """Strategy A ("ours") beside R ("theirs") of each image and effort that has both. Means are added up in the order of the table's rows:
+    doubles add up to another last bit in another order, and on that bit hang the ties of the axes."""
     side = lambda c, s: F.avg(F.when(F.col("strategy") == s, F.col(c)))
-    t = cells(spark, sf_dir).groupBy("image", "effort").agg(side("bytes", "A").alias("ours"), side("bytes", "R").alias("theirs"), side("quality", "A").alias("our_q"), side("quality", "R").alias("their_q"), side("butter", "A").alias("our_b"), side("butter", "R").alias("their_b"))
-    return t.filter("ours IS NOT NULL AND theirs IS NOT NULL")
+    group = Window.partitionBy("image", "effort").orderBy("file", "row")
+    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    means = {"ours": side("bytes", "A"), "theirs": side("bytes", "R"), "our_q": side("quality", "A"), "their_q": side("quality", "R"), "our_b": side("butter", "A"), "their_b": side("butter", "R")}
+    t = cells(spark, sf_dir, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).filter("strategy IN ('A', 'R')")
+    t = t.select("image", "effort", *[m.over(whole).alias(k) for k, m in means.items()], F.row_number().over(group).alias("place"))
+    return t.filter("place = 1 AND ours IS NOT NULL AND theirs IS NOT NULL").drop("place")
 
 
 #: Axes of a pair, in SQL that both engines read.
