@@ -39,7 +39,7 @@ def split_groups(tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["f18_axes"])
+@pytest.mark.parametrize("name", ["f18_axes", "f22_calibrated"])
 def test_means_in_the_order_of_rows(spark, split_groups, name):
     import duckdb
 
