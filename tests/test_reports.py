@@ -39,7 +39,7 @@ def split_groups(tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["f18_axes", "f22_calibrated"])
+@pytest.mark.parametrize("name", ["f18_axes", "f22_calibrated", "g37_verdict_counts"])
 def test_means_in_the_order_of_rows(spark, split_groups, name):
     import duckdb
 
