@@ -122,8 +122,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, projections: int
     left = materialize(_in_blocks(_usable(vectors), block), "blocks").withColumnsRenamed({"ids": "v_ids", "vectors": "v", "block": "v_block"})
     right = materialize(_in_blocks(_usable(queries), query_block), "queries").withColumnsRenamed({"ids": "q_ids", "vectors": "q", "block": "q_block"})
     n_left = left.agg(F.coalesce(F.max("v_block"), F.lit(0))).first()[0] + 1
-    # the query set meets all rows, in blocks
-    met = right.withColumn("v_block", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1)))).join(left, ["v_block", "dim"])
+    # the query set meets all rows, in blocks; Spark takes the queries, repeated for each block, for as small as they are once, and would
+    # gather and broadcast them in the driver
+    met = right.withColumn("v_block", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1)))).join(left.hint("merge"), ["v_block", "dim"])
 
     def f(batches):
         held = (None, None)

@@ -434,3 +434,13 @@ def test_pipeline(spark):
         start += r["n_tokens"]
     whole = corpus_pipeline.run(spark, sf).collect()
     assert 0.3 * spark.read.parquet(f"{sf}/documents.parquet").count() < len(whole) <= left[-1] + 10
+
+
+def test_queries_of_a_search_are_not_broadcast(spark):
+    """They are repeated for every block: many times the size that Spark takes them for, all of it in the driver."""
+    x = np.random.default_rng(2).standard_normal((400, 8))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(frame, frame.filter("vec_id % 50 = 0"), block=50, query_block=4)
+    plan = got._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert got.count() == 8 * 5
