@@ -7,7 +7,6 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,19 +41,17 @@ def cells(spark, sf_dir) -> DataFrame:
 
 def binned(t: DataFrame) -> tuple[DataFrame, list[tuple[float, float]]]:
     """Cells with x0, x1, ... (equal bins between the extremes), y0, y1, flags (bit f: not in fold f; 8 + f: in fold f; 16: all; 20 + b: in band b); and
-    the extremes of each column. Kept on executors' disks too; lost parts are made again from the table."""
+    the extremes of each column."""
     ends = t.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(COLUMNS) for n, f in (("a", F.min), ("b", F.max))]).first()
     ends = [(float(ends[f"a{i}"] or 0.0), float(ends[f"b{i}"] or 0.0)) for i in range(len(COLUMNS))]
     place = lambda c, a, b: F.least(F.floor((F.col(c) - F.lit(a)) / F.lit((b - a) or 1.0) * BINS), F.lit(BINS - 1)).cast("int")
-    flags = F.lit(1 << 16).cast("long")
-    for f in range(FOLDS):
-        flags = flags + F.when(F.col("fold") == f, F.lit(1 << 8 + f)).otherwise(F.lit(1 << f)).cast("long")
-    for b, name in enumerate(BANDS):
-        flags = flags + F.when(F.col("band") == name, F.lit(1 << 20 + b)).otherwise(F.lit(0)).cast("long")
+    of_fold = [(1 << 16) + sum(1 << (8 + g if f == g else g) for g in range(FOLDS)) for f in range(FOLDS)]
+    of_band = F.element_at(F.create_map(*[F.lit(x) for b, name in enumerate(BANDS) for x in (name, 1 << 20 + b)]), F.col("band"))
+    flags = F.get(F.array(*[F.lit(x) for x in of_fold]), F.col("fold")).cast("long") + of_band.cast("long")  # one use of a fold, which is a hash
     n = t.sparkSession.sparkContext.defaultParallelism
     t = t.repartition(n) if t.rdd.getNumPartitions() < n else t
     out = t.select(*[place(c, a, b).alias(f"x{i}") for i, (c, (a, b)) in enumerate(zip(COLUMNS, ends, strict=True))], *[F.col(c).alias(f"y{i}") for i, c in enumerate(OUTCOMES)], flags.alias("flags"))
-    return out.persist(StorageLevel.MEMORY_AND_DISK), ends
+    return out, ends
 
 
 def _fitted(spark, sf_dir, models: list[Model]):
@@ -73,7 +70,6 @@ def boosted_fits(spark, sf_dir):
     for r in boosting.scores(data, models, [8 + m.flag for m in models], len(COLUMNS), len(OUTCOMES)):
         m, spread_ = models[r["m"]], r["ss"] - r["s"] ** 2 / r["n"] if r["n"] else 0.0
         rows.append((m.name.split("/")[0], OUTCOMES[m.outcome], int(m.name.split("/")[1]), bool(r["held_out"]), int(r["n"]), round(1 - r["e"] / spread_, 6) if spread_ > 0 else None))
-    data.unpersist()
     return spark.createDataFrame(rows, "inputs string, outcome string, fold int, held_out boolean, n long, r2 double")
 
 
@@ -95,7 +91,6 @@ _SURFACE = "model string, outcome string, one string, two string, class string,
 def dependence(spark, sf_dir):
     """Surfaces of a model's mean prediction by every two parameters: extremes and class."""
     data, ends, models = _fitted(spark, sf_dir, [Model("all", o, 16, tuple(range(len(COLUMNS)))) for o in range(2)])
-    data.unpersist()
     return spark.createDataFrame(_surfaces(models, ends), _SURFACE)
 
 
@@ -104,7 +99,6 @@ def band_dependence(spark, sf_dir):
     """The same with a model for each band of the distance."""
     models = [Model(name, 0, 20 + b, tuple(range(len(COLUMNS)))) for b, name in enumerate(BANDS)]
     data, ends, models = _fitted(spark, sf_dir, models)
-    data.unpersist()
     return spark.createDataFrame(_surfaces([m for m in models if m.trees[0].rows[0]], ends), _SURFACE)
 
 
@@ -114,7 +108,6 @@ def gradient_basis(spark, sf_dir):
     parameters in the middle, by central differences of two bins; a row of an outcome is over that outcome's mean square."""
     t = cells(spark, sf_dir)
     data, ends, models = _fitted(spark, sf_dir, [Model("all", o, 16, tuple(range(len(COLUMNS)))) for o in range(2)])
-    data.unpersist()
     at = t.groupBy("band", "effort").agg(F.min_by(F.struct(*COLUMNS[:2]), F.struct("l_orderkey", "l_linenumber")).alias("c")).select("c.*").collect()  # bands by efforts
     if not at:
         return spark.createDataFrame([], "component int, singular double, share double, cumulative double, anchors int")

@@ -151,3 +151,21 @@ def test_queries(spark):
         own = {r["term"]: r for r in shares if r["outcome"] == outcome}
         assert math.isclose(sum(r["pct"] for r in own.values()), 100, abs_tol=0.01) and min(r["sum_sq"] for r in own.values()) > -1e-3
     assert max(shares, key=lambda r: r["pct"] if r["outcome"] == "log_charge" and r["term"] != "residual" else -1)["term"] == "distance"
+
+
+def test_rows_meet_in_slabs(spark):
+    """What a pass over the rows reads is bounded by the bins that occur, and holds all that the rows do."""
+    rng = np.random.default_rng(4)
+    n = 30_000
+    x = np.stack([rng.integers(0, k, n) for k in (2, 3, 2)])
+    y = rng.normal(size=n)
+    y[:5] = (np.nan, np.inf, -np.inf, np.nan, np.nan)
+    flags = rng.integers(0, 4, n)
+    frame = spark.createDataFrame([(*x[:, i].tolist(), None if i == 0 else float(y[i]), int(flags[i])) for i in range(n)], "x0 int, x1 int, x2 int, y0 double, flags long").repartition(4)
+    table, codes = boosting.slabs(frame, 1, 3, 1)
+    rows = table.collect()
+    assert len(rows) * codes.size <= 2 * 3 * 2
+    own = (flags & 1 == 1) & np.isfinite(y)
+    assert sum(int(np.frombuffer(r["n0"], "<u4").sum()) for r in rows) == own.sum()
+    assert sum(int(np.frombuffer(r["s0"], "<f8").sum()) for r in rows) == boosting.whole(y[own]).sum()
+    table.unpersist()
