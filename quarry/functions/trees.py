@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 
-from .rasters import Slice, predictions, zigzag
+from .rasters import Slice, clamped_gradient, zigzag
 
 #: Predictors that a leaf can have; the first one is the root's.
 CHOICES = ("gradient", "west", "north", "average0")
@@ -38,7 +38,10 @@ def properties(s: Slice, a: dict[str, np.ndarray]) -> np.ndarray:
     before = np.zeros_like(gradient)
     before[1:] = gradient[:-1]
     before[s.x == 0] = 0
-    return np.clip(np.stack([s.y, s.x, np.abs(n), np.abs(w), n, w, w - before, gradient, w - nw, nw - n, n - a["ne"], n - a["nn"], w - a["ww"]]), LOW, HIGH)
+    out = np.empty((len(PROPERTIES), len(s.v)), np.int16)
+    for k, x in enumerate((s.y, s.x, np.abs(n), np.abs(w), n, w, w - before, gradient, w - nw, nw - n, n - a["ne"], n - a["nn"], w - a["ww"])):
+        out[k] = np.clip(x, LOW, HIGH)
+    return out
 
 
 def token_bits(token: np.ndarray) -> np.ndarray:
@@ -48,10 +51,15 @@ def token_bits(token: np.ndarray) -> np.ndarray:
 
 def residual_tokens(s: Slice, a: dict[str, np.ndarray]) -> np.ndarray:
     """Token of each sample's residual, a row for each choice of predictor: itself below 16, else its exponent, its next and its two last bits."""
-    guess = predictions(a)
-    u = zigzag(s.v - np.stack([guess[k] for k in CHOICES]))
+    guess = {"gradient": clamped_gradient(a["n"], a["w"], a["nw"]), "west": a["w"], "north": a["n"], "average0": (a["w"] + a["n"]) >> 1}
+    most = int(max(x.max() for x in (s.v, *guess.values())) - min(x.min() for x in (s.v, *guess.values()))) if len(s.v) else 0
+    u = zigzag(np.arange(-most, most + 1))
     e = np.frexp(np.maximum(u, 1).astype(np.float64))[1] - 1
-    return np.where(u < 16, u, 16 + (e - 4) * 8 + ((u >> np.maximum(e - 1, 0)) & 1) * 4 + (u & 3))
+    token = np.where(u < 16, u, 16 + (e - 4) * 8 + ((u >> np.maximum(e - 1, 0)) & 1) * 4 + (u & 3))
+    out = np.empty((len(CHOICES), len(s.v)), np.int64)
+    for k, c in enumerate(CHOICES):
+        out[k] = token[s.v - guess[c] + most]
+    return out
 
 
 def thresholds(counts: np.ndarray, bins: int = BINS) -> np.ndarray:

@@ -23,8 +23,7 @@ def property_counts(docs):
     """Occurrences of every value of every property: prop, value, n."""
 
     def f(s, of, keys):
-        p = trees.properties(s, s.neighbours()) - LOW
-        return np.stack([np.bincount(row, minlength=HIGH - LOW + 1) for row in p]).reshape(1, -1)
+        return np.stack([np.bincount(row, minlength=HIGH - LOW + 1) for row in trees.properties(s, s.neighbours()) - LOW]).reshape(1, -1)
 
     counted = count_stage(docs.withColumn("all", F.lit("")), f, "all")
     size = HIGH - LOW + 1
@@ -61,25 +60,29 @@ def _routed(forest: dict, key, bins: np.ndarray, slots: list[str]) -> np.ndarray
 def _level(docs, ends: list[np.ndarray], forest: dict, open_: dict[str | None, list[str]]):
     """Counts of a level's open nodes: lang, cell."""
     most = max(map(len, open_.values()))
+    bin_of = [np.searchsorted(e, np.arange(LOW, HIGH + 1), "left").astype(np.int8) for e in ends]
+    size = BINS * TOKENS
 
     def f(s, of, keys):
         a = s.neighbours()
-        p = trees.properties(s, a)
-        bins = np.stack([np.searchsorted(e, row, "left") for e, row in zip(ends, p, strict=True)])
+        bins = np.stack([b[row] for b, row in zip(bin_of, trees.properties(s, a) - LOW, strict=True)])
         token = trees.residual_tokens(s, a)
         key_of = of[s.row]
-        out = np.zeros((len(keys), most * _NODE), np.int64)
+        out = np.zeros((len(keys), most, len(CHOICES), len(PROPERTIES), size), np.int64)
         for k, key in enumerate(keys):
             if not open_.get(key):
                 continue
             own = np.flatnonzero(key_of == k)
             slot = _routed(forest, key, bins[:, own], open_[key])
             own, slot = own[slot >= 0], slot[slot >= 0]
-            for c in range(len(CHOICES)):
-                for q in range(len(PROPERTIES)):
-                    cell = (((slot * len(CHOICES) + c) * len(PROPERTIES) + q) * BINS + bins[q, own]) * TOKENS + token[c, own]
-                    out[k] += np.bincount(cell, minlength=out.shape[1])
-        return out
+            many = len(open_[key])
+            # the table of one predictor and property is small enough to stay in a core's cache
+            at = [slot * size + t[own] for t in token]
+            for q in range(len(PROPERTIES)):
+                b = bins[q, own].astype(np.int64) * TOKENS
+                for c in range(len(CHOICES)):
+                    out[k, :many, c, q] += np.bincount(at[c] + b, minlength=many * size).reshape(many, size)
+        return out.reshape(len(keys), -1)
 
     return count_stage(docs, f, "lang")
 

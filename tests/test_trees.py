@@ -151,3 +151,17 @@ def test_joined_query(spark):
         if r["property"] is not None:
             kids = [k for k in one if k["lang"] == r["lang"] and k["path"] in (r["path"] + "0", r["path"] + "1")]
             assert math.isclose(r["bits"] - r["saved"], sum(k["bits"] for k in kids), abs_tol=0.01) and r["saved"] > operators.SAVES
+
+
+def test_counting_a_level_takes_little_per_table(monkeypatch):
+    """A level's counts are gathered predictor by predictor and property by property in tables of the open nodes alone: none spans all of them."""
+    got = {}
+    monkeypatch.setattr(operators, "count_stage", lambda docs, f, key: got.setdefault("f", f))
+    ends = [np.arange(1, trees.BINS) * 64 - 512] * len(trees.PROPERTIES)
+    operators._level(None, ends, {"en": {"": trees.Node(0, 0, 0.0)}}, {"en": [""]})
+    sizes, count = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, *a, **k: sizes.append(k.get("minlength", 0)) or count(x, *a, **k))
+    v = np.random.default_rng(1).integers(0, 256, 3000)
+    s = Slice(v, np.array([1000, 2000]))
+    out = got["f"](s, np.zeros(2, int), ["en"])
+    assert max(sizes) <= trees.BINS * trees.TOKENS and (out.reshape(len(trees.CHOICES) * len(trees.PROPERTIES), -1).sum(1) == 3000).all()
